@@ -35,6 +35,7 @@ def standardize(
     vocab: Vocabulary | None = None,
     label: str = "raw_label",
     dataset: str | None = None,
+    digits_are_ids: bool = True,
 ) -> DataFrame:
     """Map the class, clamp the box and test its size; nothing is dropped.
 
@@ -42,7 +43,7 @@ def standardize(
     ``class_name``, ``outcome``, ``was_clamped`` and the clamped ``out_*`` box.
     """
     vocab = vocab or Vocabulary()
-    mapped = map_classes(df, vocab, label, dataset)
+    mapped = map_classes(df, vocab, label, dataset, digits_are_ids=digits_are_ids)
     cut = boxes.clamp(boxes.from_yolo(), vocab.sanitize)
     parts = dict(zip(OUT_BOX, (cut.box.xc, cut.box.yc, cut.box.w, cut.box.h)))
     clamped = compute_once(mapped, {"_visible": cut.visible, "was_clamped": cut.moved, **parts})
