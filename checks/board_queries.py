@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views as v
-from gridmark.functions import boxes, geometry, scores
+from gridmark.functions import geometry, scores
 from gridmark.operators import parallax, positions
 from gridmark.operators.contracts import (
     box_checks, classification_checks, contract_violations, square_checks,
@@ -116,16 +116,12 @@ SELECT deg AS elevation_deg, count(*) AS total_pieces, round(avg(nx), 5) AS mean
 
 @query(f"WITH {v.PIECES}, {SWEEP}")
 def angle_sweep_boxes(spark, sf_dir):
-    swept = v.pieces(spark, sf_dir).withColumn(
-        "elevation_deg", F.explode(F.array(*[F.lit(d) for d in parallax.SWEEP_DEGREES]))
-    )
-    warp = geometry.unit_square_to_quad(*geometry.elevation_quad(F.col("elevation_deg"), 640.0, 640.0))
-    moved, inside = geometry.tilt_box(boxes.from_yolo(), warp)
-    return swept.filter(inside).groupBy("elevation_deg").agg(
+    tilted = parallax.tilted_boxes(v.pieces(spark, sf_dir))
+    return tilted.groupBy("elevation_deg").agg(
         F.count("*").alias("total_pieces"),
-        F.round(F.avg(moved.xc), 5).alias("mean_x"),
-        F.round(F.avg(moved.yc), 5).alias("mean_y"),
-        F.round(F.avg(moved.h), 5).alias("mean_h"),
+        F.round(F.avg("xc"), 5).alias("mean_x"),
+        F.round(F.avg("yc"), 5).alias("mean_y"),
+        F.round(F.avg("h"), 5).alias("mean_h"),
     )
 
 
@@ -154,10 +150,12 @@ def perspective_boxes(spark, sf_dir):
 SELECT {ROW}, round((xc - s * yc) * 800, 4) AS x, round(yc * 800, 4) AS y FROM q""")
 def homography_point(spark, sf_dir):
     shear = (F.col("l_suppkey") % 7) / F.lit(100.0)
-    one, zero = F.lit(1.0), F.lit(0.0)
-    rectify = geometry.quad_to_square((zero, zero), (one, zero), (one + shear, one), (shear, one), 800.0)
+    corners = (0.0, 0.0), (1.0, 0.0), (shear + 1.0, F.lit(1.0)), (shear, F.lit(1.0))
+    pieces, rectify = geometry.attach(
+        v.pieces(spark, sf_dir), geometry.quad_to_square(*corners, size=800.0)
+    )
     x, y = rectify.apply(F.col("xc"), F.col("yc"))
-    return v.pieces(spark, sf_dir).select(
+    return pieces.select(
         "image_id", *v.ROW_KEY, (F.round(x, 4) + 0.0).alias("x"), (F.round(y, 4) + 0.0).alias("y")
     )
 

@@ -4,38 +4,48 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmark.functions.boxes import Box
 from gridmark.functions.classes import file_letter
 from gridmark.functions.numeric import clip
+from gridmark.functions.once import compute_once
 
 # Fixed value: largest coordinate that still belongs to the last cell.
 LAST = 0.999999
 
 
+Number = Column | float
+
+
+def _nonzero(value: Number) -> Number:
+    """The value, or NULL (NaN for a plain number) when it is zero."""
+    if isinstance(value, Column):
+        return F.when(value != 0.0, value)
+    return value or float("nan")
+
+
 @dataclass(frozen=True)
 class Homography:
-    """A 3x3 projective map given by nine column expressions, row by row."""
+    """A 3x3 projective map, row by row; cells are columns or plain numbers."""
 
-    cells: tuple[Column, ...]
+    cells: tuple[Number, ...]
 
     @classmethod
     def from_columns(cls, prefix: str = "h") -> "Homography":
         """Columns ``h11`` to ``h33``."""
-        return cls(tuple(F.col(f"{prefix}{r}{c}") for r in (1, 2, 3) for c in (1, 2, 3)))
+        return cls(tuple(F.col(n) for n in cell_names(prefix)))
 
-    def columns(self, prefix: str = "h") -> list[Column]:
-        names = [f"{prefix}{r}{c}" for r in (1, 2, 3) for c in (1, 2, 3)]
-        return [cell.alias(name) for cell, name in zip(self.cells, names)]
+    def named(self, prefix: str = "h") -> dict[str, Column]:
+        cells = [c if isinstance(c, Column) else F.lit(float(c)) for c in self.cells]
+        return dict(zip(cell_names(prefix), cells))
 
     def apply(self, x: Column, y: Column) -> tuple[Column, Column]:
         """Image of a point; NULL when it lies on the vanishing line."""
         a, b, c, d, e, f, g, h, i = self.cells
-        w = g * x + h * y + i
-        w = F.when(w != 0.0, w)
-        return (a * x + b * y + c) / w, (d * x + e * y + f) / w
+        w = _nonzero(x * g + y * h + i)
+        return (x * a + y * b + c) / w, (x * d + y * e + f) / w
 
     def inverse(self) -> "Homography":
         """Adjugate matrix: the inverse up to scale, which is all a projective map needs."""
@@ -47,40 +57,45 @@ class Homography:
         ))
 
 
+def cell_names(prefix: str) -> list[str]:
+    return [f"{prefix}{r}{c}" for r in (1, 2, 3) for c in (1, 2, 3)]
+
+
+def attach(df: DataFrame, warp: Homography, prefix: str = "h") -> tuple[DataFrame, Homography]:
+    """Store a per-row matrix in nine columns, computed once per row."""
+    return compute_once(df, warp.named(prefix)), Homography.from_columns(prefix)
+
+
 def unit_square_to_quad(tl, tr, br, bl) -> Homography:
-    """Closed-form map of the unit square onto a quadrilateral (corners as (x, y) columns)."""
+    """Closed-form map of the unit square onto a quadrilateral (corners as (x, y))."""
     (x0, y0), (x1, y1), (x2, y2), (x3, y3) = tl, tr, br, bl
     dx1, dx2, sx = x1 - x2, x3 - x2, x0 - x1 + x2 - x3
     dy1, dy2, sy = y1 - y2, y3 - y2, y0 - y1 + y2 - y3
-    det = dx1 * dy2 - dx2 * dy1
-    det = F.when(det != 0.0, det)
+    det = _nonzero(dx1 * dy2 - dx2 * dy1)
     g = (sx * dy2 - dx2 * sy) / det
     h = (dx1 * sy - sx * dy1) / det
     return Homography((
         x1 - x0 + g * x1, x3 - x0 + h * x3, x0,
         y1 - y0 + g * y1, y3 - y0 + h * y3, y0,
-        g, h, F.lit(1.0),
+        g, h, 1.0,
     ))
 
 
 def quad_to_square(tl, tr, br, bl, size: float = 1.0) -> Homography:
     """Rectifying map: the four corners go to a square of the given side."""
     inverse = unit_square_to_quad(tl, tr, br, bl).inverse().cells
-    scaled = [c * F.lit(float(size)) for c in inverse[:6]]
-    return Homography((*scaled, *inverse[6:]))
+    return Homography((*[c * size for c in inverse[:6]], *inverse[6:]))
 
 
-def elevation_quad(degrees: Column, width: Column | float = 1.0, height: Column | float = 1.0):
+def elevation_quad(degrees: float, width: int = 640, height: int = 640):
     """Corners of the board as seen from a camera elevation between 30 and 90 degrees.
 
     Insets are whole pixels of the given frame and come back normalised to it.
     """
-    width, height = F.lit(width).cast("double"), F.lit(height).cast("double")
     tilt = (90.0 - degrees) / 60.0
-    inset = F.floor(width * 0.15 * tilt).cast("double") / width
-    drop = F.floor(height * 0.25 * tilt).cast("double") / height
-    one, zero = F.lit(1.0), F.lit(0.0)
-    return (inset, drop), (one - inset, drop), (one, one), (zero, one)
+    inset = int(width * 0.15 * tilt) / width
+    drop = int(height * 0.25 * tilt) / height
+    return (inset, drop), (1.0 - inset, drop), (1.0, 1.0), (0.0, 1.0)
 
 
 def tilt_box(box: Box, warp: Homography) -> tuple[Box, Column]:

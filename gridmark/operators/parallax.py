@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridmark.functions import geometry
 from gridmark.functions.boxes import Box, from_yolo
 from gridmark.functions.classes import is_tall
+from gridmark.functions.once import compute_once
 from gridmark.operators.audit import percent
 
 # Camera elevations of the sweep, in degrees.
@@ -20,25 +21,29 @@ def assign_squares(
 ) -> DataFrame:
     """Squares of the centroid and of the contact point, and how they differ."""
     box = box or from_yolo()
-    out = {}
-    for name, (x, y) in (("centroid", box.centroid), ("contact", box.contact_anchor)):
+    cells = {}
+    for anchor, (x, y) in (("centroid", box.centroid), ("contact", box.contact_anchor)):
         if rectify is not None:
             x, y = rectify.apply(x, y)
-        file_idx, rank_idx = geometry.grid_cell(x, y)
-        out[name] = (geometry.square_name(file_idx, rank_idx), rank_idx, file_idx)
-    (centroid, centroid_rank, _), (contact, contact_rank, contact_file) = out.values()
+        cells[f"_{anchor}_file"], cells[f"_{anchor}_rank"] = geometry.grid_cell(x, y)
     dx = box.contact_anchor[0] - box.centroid[0]
     dy = box.contact_anchor[1] - box.centroid[1]
-    return df.select(
-        "*",
+    placed = compute_once(
+        df, {**cells, "pixel_displacement": F.hypot(dx * F.lit(img_w), dy * F.lit(img_h))}
+    )
+    file = {a: F.col(f"_{a}_file") for a in ("centroid", "contact")}
+    rank = {a: F.col(f"_{a}_rank") for a in ("centroid", "contact")}
+    return placed.select(
+        *df.columns,
         is_tall(F.col("class_id")).alias("is_tall"),
-        centroid.alias("centroid_square"),
-        contact.alias("contact_square"),
-        contact_file.alias("file_idx"),
-        contact_rank.alias("rank_idx_top"),
-        F.abs(centroid_rank - contact_rank).alias("rank_error"),
-        (centroid != contact).alias("is_misassigned"),
-        F.hypot(dx * F.lit(img_w), dy * F.lit(img_h)).alias("pixel_displacement"),
+        *[geometry.square_name(file[a], rank[a]).alias(f"{a}_square") for a in file],
+        file["contact"].alias("file_idx"),
+        rank["contact"].alias("rank_idx_top"),
+        F.abs(rank["centroid"] - rank["contact"]).alias("rank_error"),
+        ((file["centroid"] != file["contact"]) | (rank["centroid"] != rank["contact"])).alias(
+            "is_misassigned"
+        ),
+        "pixel_displacement",
     )
 
 
@@ -79,38 +84,56 @@ def macro_average(images: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def angle_sweep(
+def tilted_boxes(
     annotations: DataFrame, degrees: tuple[float, ...] = SWEEP_DEGREES,
     frame: tuple[int, int] = (640, 640),
 ) -> DataFrame:
-    """Annotations as seen from several camera elevations, rectified and assigned again.
+    """Boxes as seen from several camera elevations, with the rectifying matrix per row.
 
-    The angles are a literal array, exploded in place: every input row gives at
-    most one row per angle and nothing is shuffled. Boxes whose centre leaves the
-    frame are dropped. The warp works on normalised coordinates throughout.
+    The matrices are plain numbers known before the job starts. They form a
+    literal array that is expanded in place: every input row gives at most one
+    row per angle and nothing is shuffled. Boxes whose centre leaves the frame
+    are dropped. The warp works on normalised coordinates throughout.
     """
-    swept = annotations.withColumn(
-        "elevation_deg", F.explode(F.array(*[F.lit(float(d)) for d in degrees]))
-    )
-    quad = geometry.elevation_quad(F.col("elevation_deg"), float(frame[0]), float(frame[1]))
-    warp = geometry.unit_square_to_quad(*quad)
-    moved, inside = geometry.tilt_box(from_yolo(), warp)
-    warped = swept.filter(inside).select(
-        *[c for c in swept.columns if c not in ("xc", "yc", "w", "h")], *moved.columns()
-    )
-    return assign_squares(
-        warped, rectify=geometry.unit_square_to_quad(*quad).inverse(),
-        img_w=frame[0], img_h=frame[1],
+    views = []
+    for angle in degrees:
+        warp = geometry.unit_square_to_quad(*geometry.elevation_quad(float(angle), *frame))
+        cells = {
+            "elevation_deg": F.lit(float(angle)), **warp.named("_w"), **warp.inverse().named("_r"),
+        }
+        views.append(F.struct(*[c.alias(n) for n, c in cells.items()]))
+    swept = annotations.select("*", F.inline(F.array(*views)))
+    moved, inside = geometry.tilt_box(from_yolo(), geometry.Homography.from_columns("_w"))
+    return _replace_boxes(swept, moved, inside)
+
+
+def angle_sweep(
+    annotations: DataFrame, degrees: tuple[float, ...] = SWEEP_DEGREES,
+    frame: tuple[int, int] = (640, 640),
+) -> DataFrame:
+    """Squares assigned from every camera elevation, after rectifying the view again."""
+    tilted = tilted_boxes(annotations, degrees, frame)
+    assigned = assign_squares(
+        tilted, rectify=geometry.Homography.from_columns("_r"), img_w=frame[0], img_h=frame[1]
     )
+    return assigned.drop(*geometry.cell_names("_w"), *geometry.cell_names("_r"))
 
 
 def perspective_boxes(annotations: DataFrame, inset: Column, size: float = 640.0) -> DataFrame:
     """Boxes after a mild perspective of the whole picture; boxes off the frame are dropped."""
     x = inset.cast("double") / size
     y = F.floor(inset / 2).cast("double") / size
-    one, zero = F.lit(1.0), F.lit(0.0)
-    warp = geometry.unit_square_to_quad((x, y), (one - x, y), (one, one), (zero, one))
-    moved, inside = geometry.perspective_scale(from_yolo(), warp)
-    return annotations.filter(inside).select(
-        *[c for c in annotations.columns if c not in ("xc", "yc", "w", "h")], *moved.columns()
+    warp = geometry.unit_square_to_quad((x, y), (1.0 - x, y), (1.0, 1.0), (0.0, 1.0))
+    warped, matrix = geometry.attach(annotations, warp, "_w")
+    moved, inside = geometry.perspective_scale(from_yolo(), matrix)
+    return _replace_boxes(warped, moved, inside).drop(*geometry.cell_names("_w"))
+
+
+def _replace_boxes(df: DataFrame, moved: Box, inside: Column) -> DataFrame:
+    """Swap the box columns for moved ones and keep the rows inside the frame."""
+    parts = ("xc", "yc", "w", "h")
+    placed = compute_once(
+        df, {"_in": inside, **{f"_m{p}": getattr(moved, p) for p in parts}}
     )
+    rest = [c for c in df.columns if c not in parts]
+    return placed.filter("_in").select(*rest, *[F.col(f"_m{p}").alias(p) for p in parts])
