@@ -74,6 +74,11 @@ PIECES = """v_pieces AS (
 
 def label_text(spark, sf_dir) -> DataFrame:
     """Label lines as text, with comments, blanks and broken tokens among them."""
+    return as_label_text(table(spark, sf_dir, "lineitem"))
+
+
+def as_label_text(lineitem: DataFrame) -> DataFrame:
+    """The same view of an already opened (or streaming) table."""
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     part, supp, order = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey")
     case = F.pmod(supp, F.lit(20))
@@ -87,7 +92,7 @@ def label_text(spark, sf_dir) -> DataFrame:
         .when(case == 5, "2 0.5 text 0.1 0.1").when(case == 6, F.concat(F.lit(" "), good, F.lit(" 0.9 ")))
         .otherwise(good)
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         F.concat(F.lit("labels/"), order.cast("string"), F.lit(".txt")).alias("file_path"),
         F.col("l_linenumber").alias("line_number"), *ROW_KEY, line.alias("line"),
     )
