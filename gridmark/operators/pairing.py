@@ -177,7 +177,7 @@ def sample_rows(images: DataFrame, label_counts: DataFrame) -> DataFrame:
     """
     forced = F.col("force_negative") if "force_negative" in images.columns else F.lit(False)
     pieces = F.coalesce("n_pieces", F.lit(0))
-    counted = label_counts.select(F.col("label_path").alias("_counted"), "n_pieces")
+    counted = label_counts.withColumnRenamed("label_path", "_counted")
     probe = F.coalesce(F.col("label_path"), _no_match(F.col("path")))
     return (
         images.join(counted, probe == F.col("_counted"), "left")

@@ -109,9 +109,12 @@ def manifest_row(
         "class_distribution", F.coalesce("class_distribution", empty)
     )
     body = F.struct(*[c for c in full.columns if c != "split"])
+    by_name = F.array_sort(
+        F.collect_list(F.struct("split", body.alias("body"))),
+        lambda a, b: F.when(a["split"] < b["split"], -1).when(a["split"] > b["split"], 1).otherwise(0),
+    )
     splits = full.agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", body.alias("s")))))
-        .alias("splits"),
+        F.map_from_entries(by_name).alias("splits"),
         F.sum("total_pieces").alias("total_pieces"),
     )
     totals = domains.filter(F.col("facet") == "domain").agg(
