@@ -125,26 +125,50 @@ def angle_sweep_boxes(spark, sf_dir):
     )
 
 
-@query()
-def angle_sweep(spark, sf_dir):
-    """Rows-only: points on cell borders may fall either way after two warps."""
-    swept = parallax.angle_sweep(v.pieces(spark, sf_dir))
-    return parallax.macro_average(
-        parallax.per_image(swept, "elevation_deg", "image_id"), "elevation_deg"
-    )
+SWEEP_BACK = SWEEP[: SWEEP.index("SELECT deg AS")].replace("FROM v_pieces, v_warp", "FROM v_off, v_warp") + f"""
+, v_back AS (SELECT *, (nyc - d) / ((1 + gh - d) - gh * nyc) AS cy, (ny - d) / ((1 + gh - d) - gh * ny) AS ay FROM v_kept),
+v_flat AS (SELECT *, (nx * (1 + gh * cy) - i + cy * i) / (1 - 2 * i) AS cx,
+    (nx * (1 + gh * ay) - i + ay * i) / (1 - 2 * i) AS ax FROM v_back),
+v_sq AS (SELECT deg, image_id, class_id % 6 <> 0 AS is_tall, abs({cell('cy')} - {cell('ay')}) AS rank_error,
+    {cell('cy')} <> {cell('ay')} OR {cell('cx')} <> {cell('ax')} AS is_misassigned FROM v_flat),
+v_img AS (SELECT deg, image_id, count(*) AS n, count(*) FILTER (is_tall) AS tall,
+    100.0 * count(*) FILTER (NOT is_misassigned) / CAST(count(*) AS DOUBLE) AS acc,
+    CASE WHEN count(*) FILTER (is_tall) = 0 THEN 0.0 ELSE 100.0 * count(*) FILTER (is_tall AND NOT is_misassigned)
+      / CAST(count(*) FILTER (is_tall) AS DOUBLE) END AS tall_acc, avg(rank_error) AS err FROM v_sq GROUP BY 1, 2)
+SELECT deg AS elevation_deg, count(*) AS images, CAST(sum(n) AS BIGINT) AS total_pieces, CAST(sum(tall) AS BIGINT) AS tall_pieces,
+  round(avg(acc), 4) AS centroid_accuracy_pct, CAST(100 AS DOUBLE) AS contact_accuracy_pct,
+  round(avg(tall_acc), 4) AS tall_centroid_accuracy_pct, round(avg(err), 4) AS average_rank_error FROM v_img GROUP BY deg"""
+
+
+OFF = f"{v.PIECES}, v_off AS (SELECT * REPLACE (xc + 0.0003 AS xc, yc + 0.0003 AS yc) FROM v_pieces)"
+
 
+def off_grid(spark, sf_dir):
+    """Pieces moved off round fractions, where rounding and cell borders would be ties."""
+    return v.pieces(spark, sf_dir).withColumns({c: F.col(c) + 0.0003 for c in ("xc", "yc")})
 
-@query(f"""WITH {v.PIECES}, x AS (SELECT *, (30 + l_suppkey % 40) / CAST(640 AS DOUBLE) AS i,
-  floor((30 + l_suppkey % 40) / 2) / CAST(640 AS DOUBLE) AS d FROM v_pieces),
+
+@query(f"""WITH {OFF}, x AS (SELECT *, (30 + l_suppkey % 40) / CAST(640 AS DOUBLE) AS i,
+  floor((30 + l_suppkey % 40) / 2) / CAST(640 AS DOUBLE) AS d FROM v_off),
 y AS (SELECT *, (xc * (1 - 2 * i) + i - yc * i) / (1 - 2 * i * yc) AS nx,
   (yc * (1 - 2 * i - d) + d) / (1 - 2 * i * yc) AS ny FROM x)
 SELECT {ROW}, round(nx, 6) AS xc, round(ny, 6) AS yc, round(w * (0.8 + 0.4 * yc), 6) AS w,
   round(h * (0.8 + 0.4 * yc), 6) AS h FROM y WHERE nx BETWEEN 0 AND 1 AND ny BETWEEN 0 AND 1""")
 def perspective_boxes(spark, sf_dir):
-    moved = parallax.perspective_boxes(v.pieces(spark, sf_dir), F.lit(30) + F.col("l_suppkey") % 40)
+    moved = parallax.perspective_boxes(off_grid(spark, sf_dir), F.lit(30) + F.col("l_suppkey") % 40)
     return rounded(moved.select("image_id", *v.ROW_KEY, "xc", "yc", "w", "h"), "xc", "yc", "w", "h")
 
 
+@query(f"WITH {OFF}, {SWEEP_BACK}")
+def angle_sweep(spark, sf_dir):
+    swept = parallax.angle_sweep(off_grid(spark, sf_dir))
+    macro = parallax.macro_average(
+        parallax.per_image(swept, "elevation_deg", "image_id"), "elevation_deg"
+    )
+    names = ("centroid_accuracy_pct", "tall_centroid_accuracy_pct", "average_rank_error")
+    return macro.withColumns({c: F.round(c, 4) for c in names})
+
+
 # Corners of a parallelogram: its rectification is affine, so SQL can state it directly.
 @query(f"""WITH {v.PIECES}, q AS (SELECT *, (l_suppkey % 7) / CAST(100 AS DOUBLE) AS s FROM v_pieces)
 SELECT {ROW}, round((xc - s * yc) * 800, 4) AS x, round(yc * 800, 4) AS y FROM q""")

@@ -82,11 +82,7 @@ SCREENED = f"""v_score AS (SELECT image_id, greatest(0.0, least(1.0, {ramp('pale
   'heuristic' AS method, s BETWEEN 0.25 AND 0.75 AS is_ambiguous FROM v_score""")
 def domain_decision(spark, sf_dir):
     px = v.pixels(spark, sf_dir)
-    stats = features.composite_score(
-        features.palette_entropy(px, "image_id")
-        .join(features.patch_noise(px, "image_id"), "image_id")
-        .join(features.quadrant_lighting(px, "image_id", middle_x=8, middle_y=32), "image_id")
-    )
+    stats = features.image_features(px, "image_id", middle_x=8, middle_y=32)
     decided = features.decide_domain(stats)
     return rounded(decided, "physical_score", "confidence").select(
         "image_id", "physical_score", "domain", "confidence", "method", "is_ambiguous"
