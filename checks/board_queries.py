@@ -174,11 +174,10 @@ def angle_sweep(spark, sf_dir):
 SELECT {ROW}, round((xc - s * yc) * 800, 4) AS x, round(yc * 800, 4) AS y FROM q""")
 def homography_point(spark, sf_dir):
     shear = (F.col("l_suppkey") % 7) / F.lit(100.0)
-    corners = (0.0, 0.0), (1.0, 0.0), (shear + 1.0, F.lit(1.0)), (shear, F.lit(1.0))
-    pieces, rectify = geometry.attach(
-        v.pieces(spark, sf_dir), geometry.quad_to_square(*corners, size=800.0)
-    )
-    x, y = rectify.apply(F.col("xc"), F.col("yc"))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    corners = (zero, zero), (one, zero), (shear + 1.0, one), (shear, one)
+    pieces, warp = geometry.attach_quad(v.pieces(spark, sf_dir), *corners)
+    x, y = warp.rectifying(800.0).apply(F.col("xc"), F.col("yc"))
     return pieces.select(
         "image_id", *v.ROW_KEY, (F.round(x, 4) + 0.0).alias("x"), (F.round(y, 4) + 0.0).alias("y")
     )

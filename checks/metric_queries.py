@@ -288,10 +288,10 @@ def detections(spark, sf_dir):
 
 def precision_table(spark, sf_dir):
     true = truths(spark, sf_dir)
-    matches = evaluate.match_detections(
+    claims = evaluate.claim_truths(
         detections(spark, sf_dir), true, "image_id", "det_id", "truth_id"
     )
-    return evaluate.average_precision(matches, true)
+    return evaluate.average_precision(claims, true)
 
 
 @query(f"""WITH {AP} SELECT class_id, threshold, truths, detections, true_positives,

@@ -56,16 +56,16 @@ class Homography:
             d * h - e * g, b * g - a * h, a * e - b * d,
         ))
 
+    def rectifying(self, size: float = 1.0) -> "Homography":
+        """Inverse map, scaled so that the unit square becomes one of the given side."""
+        cells = self.inverse().cells
+        return Homography((*[c * size for c in cells[:6]], *cells[6:]))
+
 
 def cell_names(prefix: str) -> list[str]:
     return [f"{prefix}{r}{c}" for r in (1, 2, 3) for c in (1, 2, 3)]
 
 
-def attach(df: DataFrame, warp: Homography, prefix: str = "h") -> tuple[DataFrame, Homography]:
-    """Store a per-row matrix in nine columns, computed once per row."""
-    return compute_once(df, warp.named(prefix)), Homography.from_columns(prefix)
-
-
 def unit_square_to_quad(tl, tr, br, bl) -> Homography:
     """Closed-form map of the unit square onto a quadrilateral (corners as (x, y))."""
     (x0, y0), (x1, y1), (x2, y2), (x3, y3) = tl, tr, br, bl
@@ -83,8 +83,26 @@ def unit_square_to_quad(tl, tr, br, bl) -> Homography:
 
 def quad_to_square(tl, tr, br, bl, size: float = 1.0) -> Homography:
     """Rectifying map: the four corners go to a square of the given side."""
-    inverse = unit_square_to_quad(tl, tr, br, bl).inverse().cells
-    return Homography((*[c * size for c in inverse[:6]], *inverse[6:]))
+    return unit_square_to_quad(tl, tr, br, bl).rectifying(size)
+
+
+def attach_quad(df: DataFrame, tl, tr, br, bl, prefix: str = "h") -> tuple[DataFrame, Homography]:
+    """Store the warp onto each row's quadrilateral in nine columns.
+
+    The two perspective terms are finished before the other cells read them, and
+    all cells before the caller reads those, so nothing is evaluated twice.
+    """
+    raw = unit_square_to_quad(tl, tr, br, bl).cells
+    terms = {f"_{prefix}_g": raw[6], f"_{prefix}_h": raw[7]}
+    df = compute_once(df, terms)
+    g, h = (F.col(name) for name in terms)
+    (x0, y0), (x1, y1), _, (x3, y3) = tl, tr, br, bl
+    warp = Homography((
+        x1 - x0 + g * x1, x3 - x0 + h * x3, x0,
+        y1 - y0 + g * y1, y3 - y0 + h * y3, y0,
+        g, h, 1.0,
+    ))
+    return compute_once(df, warp.named(prefix)).drop(*terms), Homography.from_columns(prefix)
 
 
 def elevation_quad(degrees: float, width: int = 640, height: int = 640):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmark.functions.boxes import Box, overlap_ratio
 from gridmark.operators.audit import percent
-from gridmark.operators.ranking import cumulative_counts, order_statistics, top_per_group
+from gridmark.operators.ranking import cumulative_counts, order_statistics
 
 # IoU thresholds of the averaged metric, 0.50 to 0.95.
 IOU_STEPS = tuple(round(0.50 + 0.05 * i, 2) for i in range(10))
@@ -128,84 +128,92 @@ def interpolated_percentiles(df: DataFrame, group: list[str], value: str,
     return found.select(*group, *picks)
 
 
-def match_detections(
-    detections: DataFrame, truths: DataFrame, image: str, det_id: str, truth_id: str,
-    thresholds: tuple[float, ...] = IOU_STEPS,
+def claim_truths(
+    detections: DataFrame, truths: DataFrame, image: str, det_id: str, truth_id: str
 ) -> DataFrame:
-    """True or false positive of every detection at every IoU threshold.
-
-    Each detection points at the overlapping truth of its image and class with
-    the largest IoU; among the detections that point at one truth with enough
-    overlap the most confident is right. Both inputs hold at most one row per
-    image and square (see ``one_per_square``), so an (image, class) group pairs
-    at most 64 by 64 boxes whatever the number of raw detections.
+    """The truth every detection points at, and how well stronger detections fit it.
+
+    A detection points at the truth of its image and class with the largest IoU.
+    It is right at a threshold when its own ``iou`` reaches it and ``beaten_iou``,
+    the best overlap of more confident detections on the same truth, does not.
+    Both inputs hold at most one row per image and square (see
+    ``one_per_square``), so the truths of an (image, class) pair fit an array of
+    at most 64 entries, and boxes are never paired up as rows.
     """
-    d, t = Box(*(F.col(f"d.{c}") for c in ("xc", "yc", "w", "h"))), Box(
-        *(F.col(f"t.{c}") for c in ("xc", "yc", "w", "h"))
-    )
-    same = (F.col(f"d.{image}") == F.col(f"t.{image}")) & (F.col("d.class_id") == F.col("t.class_id"))
-    pairs = (
-        detections.alias("d")
-        .join(truths.alias("t"), same)
-        .select(
-            F.col(f"d.{image}").alias(image),
-            F.col(f"d.{det_id}").alias(det_id),
-            F.col(f"t.{truth_id}").alias("_truth"),
-            overlap_ratio(d, t).alias("iou"),
-        )
-        .filter(F.col("iou") > 0)
+    parts = ("xc", "yc", "w", "h")
+    packed = truths.groupBy(image, "class_id").agg(
+        F.collect_list(F.struct(F.col(truth_id).alias("id"), *parts)).alias("_truths")
+    )
+    own = Box(*(F.col(c) for c in parts))
+    candidates = F.transform(
+        F.col("_truths"),
+        lambda t: F.struct(
+            overlap_ratio(own, Box(*(t[c] for c in parts))).alias("iou"), (-t["id"]).alias("neg")
+        ),
     )
-    best = top_per_group(pairs, [image, det_id], [F.desc("iou"), F.asc("_truth")], 1).drop("rank")
-    pointed = detections.join(best, [image, det_id], "left").withColumn(
-        "threshold", F.explode(F.array(*[F.lit(x) for x in thresholds]))
+    best = F.array_max(F.filter(candidates, lambda c: c["iou"] > 0))
+    pointed = detections.join(packed, [image, "class_id"], "left").select(
+        image, det_id, "class_id", "conf", best.alias("_best")
     )
-    hit = F.coalesce(F.col("iou") >= F.col("threshold"), F.lit(False))
-    claims = pointed.filter(hit)
-    right = (
-        top_per_group(
-            claims, ["threshold", image, "_truth"], [F.desc("conf"), F.asc(det_id)], 1
-        )
-        .select(image, det_id, "threshold")
-        .withColumn("is_tp", F.lit(True))
+    # At most 64 detections of one image share a truth, so the window groups are small.
+    stronger = (
+        Window.partitionBy(image, F.col("_best.neg"))
+        .orderBy(F.desc("conf"), F.asc(det_id))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return pointed.join(right, [image, det_id, "threshold"], "left").select(
-        image, det_id, "class_id", "conf", "threshold",
-        F.coalesce("is_tp", F.lit(False)).alias("is_tp"),
+    return pointed.select(
+        image, det_id, "class_id", "conf",
+        F.coalesce(F.col("_best.iou"), F.lit(0.0)).alias("iou"),
+        F.coalesce(F.max("_best.iou").over(stronger), F.lit(0.0)).alias("beaten_iou"),
     )
 
 
+def is_right(threshold: float | Column) -> Column:
+    """True positive test of a claim at an IoU threshold."""
+    return (F.col("iou") >= threshold) & (F.col("beaten_iou") < threshold)
+
+
+def match_detections(claims: DataFrame, thresholds: tuple[float, ...] = IOU_STEPS) -> DataFrame:
+    """One row per detection and threshold with its verdict."""
+    steps = F.explode(F.array(*[F.lit(t) for t in thresholds]))
+    return claims.withColumn("threshold", steps).withColumn("is_tp", is_right(F.col("threshold")))
+
+
 def average_precision(
-    matches: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = IOU_STEPS
+    claims: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = IOU_STEPS
 ) -> DataFrame:
     """Average precision per class and threshold, zero for a class never detected.
 
     The precision after each distinct confidence is weighted by the recall it
     adds. Detections of equal confidence form one step, so the result does not
-    depend on any row order. Confidences lie in [0, 1], so fixed-width buckets
-    keep the running totals of a large class spread over many tasks.
+    depend on any row order. All thresholds share one pass: each has its own
+    counter, and rows are never repeated per threshold. Confidences lie in
+    [0, 1], so fixed-width buckets keep the running totals of a large class
+    spread over many tasks.
     """
+    hits = {f"tp{i}": F.count_if(is_right(t)) for i, t in enumerate(thresholds)}
     curve = cumulative_counts(
-        matches,
-        ["class_id", "threshold"],
-        "conf",
-        {"n": F.count("*"), "tp": F.count_if("is_tp")},
-        F.floor(F.col("conf") * 65536.0).cast("int"),
-        descending=True,
-    )
-    area = curve.groupBy("class_id", "threshold").agg(
-        F.sum(F.col("tp") * (F.col("cum_tp") / F.col("cum_n"))).alias("_area"),
-        F.max("all_n").alias("detections"),
-        F.max("all_tp").alias("true_positives"),
+        claims, ["class_id"], "conf", {"n": F.count("*"), **hits},
+        F.floor(F.col("conf") * 65536.0).cast("int"), descending=True,
     )
-    expected = (
-        truths.groupBy("class_id")
-        .agg(F.count("*").alias("truths"))
-        .withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    )
-    return expected.join(area, ["class_id", "threshold"], "left").select(
-        "class_id", "threshold", "truths",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("detections", "true_positives")],
-        (F.coalesce("_area", F.lit(0.0)) / F.col("truths")).alias("average_precision"),
+    # The curve has one row per distinct confidence and class; the rest is per class.
+    per_class = curve.groupBy("class_id").agg(
+        F.max("all_n").alias("detections"),
+        *[F.max(f"all_{h}").alias(h) for h in hits],
+        *[F.sum(F.col(h) * (F.col(f"cum_{h}") / F.col("cum_n"))).alias(f"area_{h}") for h in hits],
+    )
+    expected = truths.groupBy("class_id").agg(F.count("*").alias("truths"))
+    zero = F.lit(0)
+    rows = F.array(*[
+        F.struct(
+            F.lit(t).alias("threshold"),
+            F.coalesce(h, zero).alias("true_positives"),
+            (F.coalesce(f"area_{h}", F.lit(0.0)) / F.col("truths")).alias("average_precision"),
+        )
+        for h, t in zip(hits, thresholds)
+    ])
+    return expected.join(per_class, "class_id", "left").select(
+        "class_id", "truths", F.coalesce("detections", zero).alias("detections"), F.inline(rows)
     )
 
 

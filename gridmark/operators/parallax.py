@@ -123,8 +123,8 @@ def perspective_boxes(annotations: DataFrame, inset: Column, size: float = 640.0
     """Boxes after a mild perspective of the whole picture; boxes off the frame are dropped."""
     x = inset.cast("double") / size
     y = F.floor(inset / 2).cast("double") / size
-    warp = geometry.unit_square_to_quad((x, y), (1.0 - x, y), (1.0, 1.0), (0.0, 1.0))
-    warped, matrix = geometry.attach(annotations, warp, "_w")
+    quad = (x, y), (1.0 - x, y), (F.lit(1.0), F.lit(1.0)), (F.lit(0.0), F.lit(1.0))
+    warped, matrix = geometry.attach_quad(annotations, *quad, prefix="_w")
     moved, inside = geometry.perspective_scale(from_yolo(), matrix)
     return _replace_boxes(warped, moved, inside).drop(*geometry.cell_names("_w"))
 

@@ -14,6 +14,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM only compiles methods below this size; a larger fused stage would be
+    # interpreted, so Spark should use its split, per-operator code instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

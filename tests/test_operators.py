@@ -381,9 +381,10 @@ def test_average_precision_by_hand(spark):
         ("i", 1, 0, .2, .2, .1, .1, .9), ("i", 2, 0, .21, .2, .1, .1, .8),
         ("i", 3, 0, .6, .6, .1, .1, .7), ("i", 4, 0, .9, .1, .1, .1, .6)], box)
     truth, det = truth.withColumnRenamed("id", "truth_id"), det.withColumnRenamed("id", "det_id")
-    matches = evaluate.match_detections(det, truth, "image", "det_id", "truth_id", (0.5,))
+    claims = evaluate.claim_truths(det, truth, "image", "det_id", "truth_id")
+    matches = evaluate.match_detections(claims, (0.5,))
     assert dict(rows(matches, "det_id", "is_tp")) == {1: True, 2: False, 3: True, 4: False}
-    table = evaluate.average_precision(matches, truth, (0.5,))
-    got = {c: (n, d, t, round(ap, 6)) for c, _, n, d, t, ap in rows(table)}
+    table = evaluate.average_precision(claims, truth, (0.5,))
+    got = {c: (n, d, t, round(ap, 6)) for c, n, d, _, t, ap in rows(table)}
     assert got == {0: (2, 4, 2, round((1 + 2 / 3) / 2, 6)), 5: (1, 0, 0, 0.0)}
     assert round(evaluate.mean_average_precision(table).first()["map_50"], 6) == round((1 + 2 / 3) / 4, 6)
