@@ -26,6 +26,19 @@ def _nonzero(value: Number) -> Number:
     return value or float("nan")
 
 
+def _linear(row: tuple[Number, ...], x: Column, y: Column) -> Column:
+    """a*x + b*y + c without the terms that are plainly zero."""
+    a, b, c = row
+    terms = [value * cell for value, cell in ((x, a), (y, b)) if _is_term(cell)]
+    if _is_term(c) or not terms:
+        terms.append(c if isinstance(c, Column) else F.lit(float(c)))
+    return sum(terms[1:], terms[0])
+
+
+def _is_term(cell: Number) -> bool:
+    return isinstance(cell, Column) or cell != 0.0
+
+
 @dataclass(frozen=True)
 class Homography:
     """A 3x3 projective map, row by row; cells are columns or plain numbers."""
@@ -43,9 +56,9 @@ class Homography:
 
     def apply(self, x: Column, y: Column) -> tuple[Column, Column]:
         """Image of a point; NULL when it lies on the vanishing line."""
-        a, b, c, d, e, f, g, h, i = self.cells
-        w = _nonzero(x * g + y * h + i)
-        return (x * a + y * b + c) / w, (x * d + y * e + f) / w
+        top, middle, bottom = (self.cells[r:r + 3] for r in (0, 3, 6))
+        w = _nonzero(_linear(bottom, x, y))
+        return _linear(top, x, y) / w, _linear(middle, x, y) / w
 
     def inverse(self) -> "Homography":
         """Adjugate matrix: the inverse up to scale, which is all a projective map needs."""

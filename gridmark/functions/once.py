@@ -11,8 +11,10 @@ def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     The optimiser copies the expression behind an alias into every filter that
     uses it, so a parsed token or a clamped edge would be evaluated, and its code
-    generated, dozens of times. A one-row generator hands over finished values;
-    it is row-local and stays inside the generated stage.
+    generated, dozens of times. Here a projection evaluates everything together,
+    sharing common parts, and a one-row generator hands over finished values that
+    no later step can be merged with. Both are row-local.
     """
     fields = [column.alias(name) for name, column in columns.items()]
-    return df.select("*", F.inline(F.array(F.struct(*fields))))
+    evaluated = df.select("*", F.array(F.struct(*fields)).alias("_once"))
+    return evaluated.select(*df.columns, F.inline("_once"))

@@ -84,26 +84,28 @@ def macro_average(images: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def _per_view(views: list[geometry.Homography], index: Column) -> geometry.Homography:
+    """One matrix whose cells are picked from literal arrays by view number."""
+    return geometry.Homography(tuple(
+        cells[0] if len(set(cells)) == 1 else F.get(F.array(*[F.lit(c) for c in cells]), index)
+        for cells in zip(*(view.cells for view in views))
+    ))
+
+
 def tilted_boxes(
     annotations: DataFrame, degrees: tuple[float, ...] = SWEEP_DEGREES,
     frame: tuple[int, int] = (640, 640),
 ) -> DataFrame:
-    """Boxes as seen from several camera elevations, with the rectifying matrix per row.
+    """Boxes as seen from several camera elevations, one row per box and angle.
 
-    The matrices are plain numbers known before the job starts. They form a
-    literal array that is expanded in place: every input row gives at most one
-    row per angle and nothing is shuffled. Boxes whose centre leaves the frame
-    are dropped. The warp works on normalised coordinates throughout.
+    The matrices are plain numbers known before the job starts, so a row only
+    carries the number of its view: nothing is joined or shuffled. Boxes whose
+    centre leaves the frame are dropped. The warp works on normalised coordinates.
     """
-    views = []
-    for angle in degrees:
-        warp = geometry.unit_square_to_quad(*geometry.elevation_quad(float(angle), *frame))
-        cells = {
-            "elevation_deg": F.lit(float(angle)), **warp.named("_w"), **warp.inverse().named("_r"),
-        }
-        views.append(F.struct(*[c.alias(n) for n, c in cells.items()]))
-    swept = annotations.select("*", F.inline(F.array(*views)))
-    moved, inside = geometry.tilt_box(from_yolo(), geometry.Homography.from_columns("_w"))
+    views = [geometry.unit_square_to_quad(*geometry.elevation_quad(d, *frame)) for d in degrees]
+    angles = F.array(*[F.lit(float(d)) for d in degrees])
+    swept = annotations.select("*", F.posexplode(angles).alias("view", "elevation_deg"))
+    moved, inside = geometry.tilt_box(from_yolo(), _per_view(views, F.col("view")))
     return _replace_boxes(swept, moved, inside)
 
 
@@ -112,11 +114,10 @@ def angle_sweep(
     frame: tuple[int, int] = (640, 640),
 ) -> DataFrame:
     """Squares assigned from every camera elevation, after rectifying the view again."""
+    views = [geometry.unit_square_to_quad(*geometry.elevation_quad(d, *frame)) for d in degrees]
+    back = _per_view([view.inverse() for view in views], F.col("view"))
     tilted = tilted_boxes(annotations, degrees, frame)
-    assigned = assign_squares(
-        tilted, rectify=geometry.Homography.from_columns("_r"), img_w=frame[0], img_h=frame[1]
-    )
-    return assigned.drop(*geometry.cell_names("_w"), *geometry.cell_names("_r"))
+    return assign_squares(tilted, rectify=back, img_w=frame[0], img_h=frame[1]).drop("view")
 
 
 def perspective_boxes(annotations: DataFrame, inset: Column, size: float = 640.0) -> DataFrame:

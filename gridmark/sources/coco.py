@@ -46,11 +46,12 @@ def _boxes(pieces: DataFrame) -> DataFrame:
     usable = pieces.filter(F.col("category_id").isNotNull() & (F.array_size("bbox") >= 4))
     at = lambda i: F.get(F.col("bbox"), F.lit(i))
     box = boxes.from_coco(at(0), at(1), at(2), at(3), F.col("width"), F.col("height"))
-    return usable.select(
+    placed = compute_once(usable, dict(zip(("xc", "yc", "w", "h"), (box.xc, box.yc, box.w, box.h))))
+    return placed.select(
         *[c for c in ("path", "file_name") if c in usable.columns],
         "image_id",
         F.col("category_id").cast("string").alias("raw_label"),
-        *box.columns(),
+        "xc", "yc", "w", "h",
         F.coalesce("score", F.lit(1.0)).alias("conf"),
         boxes.has_image_size(F.col("width"), F.col("height")).alias("has_image_size"),
     )

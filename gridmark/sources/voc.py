@@ -59,9 +59,13 @@ def objects(documents: DataFrame) -> DataFrame:
     named = flat.withColumn("raw_label", strip(F.coalesce("name", F.lit("")))).filter(
         (F.col("raw_label") != "") & F.col("bndbox").isNotNull()
     )
-    edge = lambda c: F.coalesce(F.trim(F.col(f"bndbox.{c}")), F.lit("0")).try_cast("double")
+    edges = ("xmin", "ymin", "xmax", "ymax")
+    numbers = compute_once(named, {
+        f"_{e}": F.coalesce(F.trim(F.col(f"bndbox.{e}")), F.lit("0")).try_cast("double") for e in edges
+    })
     box = boxes.from_pixel_corners(
-        edge("xmin"), edge("ymin"), edge("xmax"), edge("ymax"), F.col("width"), F.col("height")
+        *[F.col(f"_{e}") for e in edges], F.col("width"), F.col("height")
     )
     kept = [c for c in named.columns if c not in ("name", "bndbox", "width", "height")]
-    return named.select(*kept, *box.columns(), F.lit(1.0).alias("conf"))
+    placed = compute_once(numbers, dict(zip(("xc", "yc", "w", "h"), (box.xc, box.yc, box.w, box.h))))
+    return placed.select(*kept, "xc", "yc", "w", "h", F.lit(1.0).alias("conf"))
