@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmark.functions.once import compute_once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,9 +94,10 @@ def as_label_text(lineitem: DataFrame) -> DataFrame:
         .when(case == 5, "2 0.5 text 0.1 0.1").when(case == 6, F.concat(F.lit(" "), good, F.lit(" 0.9 ")))
         .otherwise(good)
     )
-    return lineitem.select(
+    # The text is put together once, as if it had been read, before any filter looks at it.
+    return compute_once(lineitem, {"line": line}).select(
         F.concat(F.lit("labels/"), order.cast("string"), F.lit(".txt")).alias("file_path"),
-        F.col("l_linenumber").alias("line_number"), *ROW_KEY, line.alias("line"),
+        F.col("l_linenumber").alias("line_number"), *ROW_KEY, "line",
     )
 
 

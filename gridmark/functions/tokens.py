@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space, plus the separators U+001C..U+001F.
-SPACE = r"(?U)[\s\x1c-\x1f]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+# Every character that counts as white space, as text and as a regex class.
+BLANKS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+_CLASS = (
+    r" \t\n\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 _DIGITS = r"[0-9](?:_?[0-9])*"
 _NUMBER = rf"^[+-]?(?:(?:{_DIGITS})?\.{_DIGITS}|{_DIGITS}\.?)(?:[eE][+-]?{_DIGITS})?$"
@@ -15,19 +22,21 @@ _INTEGER = rf"^[+-]?{_DIGITS}$"
 
 
 def strip(text: Column) -> Column:
-    """Drop leading and trailing white space of any kind."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    """Drop leading and trailing white space of any kind; only the ends are scanned."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def words(line: Column) -> Column:
-    """White-space separated tokens of a stripped line."""
-    return F.split(strip(line), rf"{SPACE}+")
+    """White-space separated tokens of a line.
+
+    All blanks become plain spaces first, so the split needs only a trivial pattern.
+    """
+    return F.split(F.trim(F.translate(line, BLANKS, " " * len(BLANKS))), " +")
 
 
 def is_content(line: Column) -> Column:
-    """False for blank and comment lines."""
-    text = strip(line)
-    return (text != "") & ~text.startswith("#")
+    """False for blank and comment lines; only the first visible character is looked at."""
+    return line.rlike(f"^[{_CLASS}]*[^{_CLASS}#]")
 
 
 def to_double(token: Column) -> Column:
