@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gridmark.llm.exact_fill import plan_sequences, slots
 from gridmark.llm.tables import slices
-from gridmark.llm.tokenizing import encoder
+from gridmark.llm.tokenizing import BATCH_BYTES, encoder
 from gridmark.session import materialize
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, bl
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, blank_joins_next).encode
-        for batch in (piece for whole in batches for piece in slices(whole, "text")):
+        for batch in (piece for whole in batches for piece in slices(whole, "text", BATCH_BYTES)):
             rows = []
             texts = batch.column("text").fill_null("").to_pylist()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import chat, packing, token_orc, topk
+from gridmark.llm import chat, packing, quality, token_orc, topk
 from gridmark.llm.tables import table
 
 
@@ -14,6 +14,12 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *[F.col("counts")[name].alias(name) for name in shown], "base_failed", "kept")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1, whose texts hold control strings."""
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -31,7 +37,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op4_chat_format, op6_token_orc, op7_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_rules, op4_chat_format, op6_token_orc, op7_best_fit_packing)}
 
 SQL = {
     "op1_topk_search": """

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridmark.llm.tables import slices
-from gridmark.llm.tokenizing import encoder
+from gridmark.llm.tokenizing import BATCH_BYTES, encoder
 from gridmark.session import shared_folder
 
 WRITTEN = "doc_id bigint, part int, part_start bigint, ids array<int>"
@@ -47,7 +47,7 @@ def write_token_orc(
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, blank_joins_next).encode
         part, start = TaskContext.get().partitionId(), 0
-        for batch in (piece for whole in batches for piece in slices(whole, "text")):
+        for batch in (piece for whole in batches for piece in slices(whole, "text", BATCH_BYTES)):
             texts = batch.column("text").fill_null("").to_pylist()
             blobs = [ids + end for ids in encode(texts)]
             sizes = np.array([len(b) // 4 for b in blobs], np.int64)

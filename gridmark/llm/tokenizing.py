@@ -16,7 +16,8 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores a
 
 from tokenizers import Tokenizer  # noqa: E402
 
-MEMORY = 1_200_000  # pieces remembered by each Python worker, about 200 bytes each
+MEMORY = 600_000  # pieces remembered by each Python worker, about 200 bytes each
+BATCH_BYTES = 2 << 20  # of text cut into pieces at a time
 BLANK, WORD_END = "\u0120", "</w>"  # how the vocabularies write a blank before, and the end of, a word
 MARKS = ".,;:!?*#$%&|"  # marks that are words of their own behind letters
 LONGEST = 48  # code points of the longest piece that is remembered
