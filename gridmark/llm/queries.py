@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import chat, packing, quality, token_orc, topk
+from gridmark.llm import chat, near_duplicates, packing, quality, token_orc, topk
 from gridmark.llm.tables import table
 
 
@@ -37,7 +37,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_rules, op4_chat_format, op6_token_orc, op7_best_fit_packing)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_rules, op4_chat_format, op6_token_orc, op7_best_fit_packing, op10_ngram_jaccard)}
 
 SQL = {
     "op1_topk_search": """
