@@ -16,7 +16,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores a
 
 from tokenizers import Tokenizer  # noqa: E402
 
-MEMORY = 600_000  # pieces remembered by each Python worker, about 200 bytes each
+MEMORY = 900_000  # pieces remembered by each Python worker, about 200 bytes each
 BATCH_BYTES = 2 << 20  # of text cut into pieces at a time
 BLANK, WORD_END = "\u0120", "</w>"  # how the vocabularies write a blank before, and the end of, a word
 MARKS = ".,;:!?*#$%&|"  # marks that are words of their own behind letters
@@ -35,7 +35,9 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.blank = " " if blank_joins_next else ""
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if blank_joins_next else -1
         vocab = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin (with a blank) or end a word
         self.edge[[i for token, i in vocab.items() if (token[0] == BLANK if self.blank else token.endswith(WORD_END))]] = True
@@ -45,50 +47,76 @@ class PieceEncoder:
         return np.array(found, "<u4").tobytes()
 
     def learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces: letters alone in one call, letters and a mark as two words, others one by one."""
-        if len(self.known) + len(pieces) > MEMORY:
-            self.known.clear()
-        known = self.known
-        heads = {piece: piece.rstrip(MARKS) for piece in pieces}
-        letters = [head for head in set(heads.values()) if head.isalpha() and head not in known]
-        if letters:
-            self._learn_letters(letters)
+        """Remember the ids of pieces: letters in one call, letters and a mark as two words, others one by one.
+
+        When the newer half of the memory is full, it becomes the older half, and what the older half held and
+        nobody asked for again is forgotten.
+        """
+        if len(self.known) > MEMORY // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        fresh = []
+        for piece in pieces:
+            held = older.get(piece)
+            if held is None:
+                fresh.append(piece)
+            else:
+                known[piece] = held
+        cut = [(piece, "\n" if piece[:1] == "\n" else "", piece.lstrip("\n").rstrip(MARKS)) for piece in fresh]
+        for line in ("", "\n"):
+            heads = {head for _, before, head in cut if before == line and head.isalpha() and line + head not in known}
+            if heads:
+                self._learn_letters(list(heads), line)
         rest = []
-        for piece, head in heads.items():
-            if head in known and piece not in known:
-                tail = piece[len(head) :]
+        for piece, before, head in cut:
+            got = known.get(before + head) if head else None
+            if got is None:
+                rest.append(piece)
+            elif len(piece) > len(before) + len(head):
+                tail = piece[len(before) + len(head) :]
                 if tail not in self.tails:
                     self.tails[tail] = self.ids(tail)
-                known[piece] = known[head] + self.tails[tail]
-            elif piece not in known:
-                rest.append(piece)
-        found = self.tokenizer.encode_batch_fast([self.blank + piece for piece in rest], add_special_tokens=False)
+                known[piece] = got + self.tails[tail]
+        found = self.tokenizer.encode_batch_fast([self._own(piece) for piece in rest], add_special_tokens=False)
         known.update((piece, np.array(e.ids, "<u4").tobytes()) for piece, e in zip(rest, found, strict=True))
 
-    def _learn_letters(self, letters: list[str]) -> None:
+    def _own(self, piece: str) -> str:
+        """A piece with its blank, if it is not the first of a line."""
+        return piece if piece[:1] == "\n" else self.blank + piece
+
+    def _learn_letters(self, letters: list[str], line: str) -> None:
         """Pieces of letters are one word each. Nothing is remembered if the tokenizer saw other words."""
-        found = self.tokenizer.encode_batch_fast([self.blank + " ".join(letters)], add_special_tokens=False)[0]
-        ids = np.array(found.ids, "<u4")
-        ends = [*np.flatnonzero(self.edge[ids]).tolist(), len(ids)] if self.blank else [0, *(np.flatnonzero(self.edge[ids]) + 1).tolist()]
+        text = "".join([line + word for word in letters]) if line else self.blank + " ".join(letters)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        edge = ids == self.line_end if line else self.edge[ids]
+        ends = [*np.flatnonzero(edge).tolist(), len(ids)] if self.blank else [0, *(np.flatnonzero(edge) + 1).tolist()]
         blob = ids.tobytes()
         if len(ends) == len(letters) + 1:
-            self.known.update((piece, blob[4 * a : 4 * b]) for piece, a, b in zip(letters, ends, ends[1:], strict=False))
+            self.known.update((line + piece, blob[4 * a : 4 * b]) for piece, a, b in zip(letters, ends, ends[1:], strict=False))
+
+    def cut(self, text: str) -> tuple[str, list[str]] | None:
+        """The first piece and the others; None for a text that must be left whole."""
+        if not self.blank:
+            return "", text.replace("\n", " ").split(" ")
+        if "  " in text or " \n" in text:
+            return None
+        if "\n" in text and "\n\n" not in text and "\n " not in text:
+            text = text.replace("\n", " \n")  # a single line end is a word of its own, and no blank follows
+        first, *pieces = text.split(" ")
+        return first, pieces
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text. Texts with two blanks in a row are not cut where blanks join."""
+        """Ids of every text."""
         out: list[bytes] = []
         open_: list[tuple[int, bytes, list[str]]] = []
         missing: set[str] = set()
         for text in texts:
-            head = b""
-            if self.blank:
-                if "  " in text:
-                    out.append(self.ids(text))
-                    continue
-                first, *pieces = text.split(" ")
-                head = self.ids(first) if first else b""
-            else:
-                pieces = text.replace("\n", " ").split(" ")
+            parts = self.cut(text)
+            if parts is None:
+                out.append(self.ids(text))
+                continue
+            first, pieces = parts
+            head = self.ids(first) if first else b""
             ids = list(map(self.known.get, pieces))
             if None in ids:
                 missing.update([piece for piece, got in zip(pieces, ids, strict=True) if got is None])
@@ -96,20 +124,13 @@ class PieceEncoder:
                 out.append(b"")
             else:
                 out.append(head + b"".join(ids))
-            if len(missing) > MEMORY // 4:
-                self._finish(out, open_, missing)
-        self._finish(out, open_, missing)
-        return out
-
-    def _finish(self, out: list[bytes], open_: list, missing: set[str]) -> None:
         self.learn({piece for piece in missing if len(piece) <= LONGEST})
         for at, head, pieces in open_:
             ids = list(map(self.known.get, pieces))
             if None in ids:
-                ids = [self.ids(self.blank + piece) if got is None else got for piece, got in zip(pieces, ids, strict=True)]
+                ids = [self.ids(self._own(piece)) if got is None else got for piece, got in zip(pieces, ids, strict=True)]
             out[at] = head + b"".join(ids)
-        open_.clear()
-        missing.clear()
+        return out
 
 
 @lru_cache(maxsize=4)
