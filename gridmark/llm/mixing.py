@@ -2,7 +2,8 @@
 
 Token shares p are raised to an exponent and normalised: w ~ p ** t. At 1 the mix is as found, at 0
 all sources weigh alike. The exponent is bisected to the flattest mix whose entropy is at most
-`entropy` and in which no source is read more than `epochs` times. The budget, unless given, is that at
+`entropy` and in which no source is read more than `epochs` times; limits that no exponent meets (up to 1 if
+`epochs` is given, up to 8 otherwise) give the largest exponent tried. The budget, unless given, is that at
 which the largest source is read exactly once, so that nothing is dropped at exponents up to 1.
 
 A source with a budget of e epochs gives floor(e) whole passes, each in its own order by a seeded
@@ -68,7 +69,7 @@ def temperature(totals: Column, entropy: float | None, epochs: float | None, bud
         good = within(middle)
         return F.struct(F.when(good, bounds["low"]).otherwise(middle).alias("low"), F.when(good, middle).otherwise(bounds["high"]).alias("high"))
 
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(MOST).alias("high"))
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(MOST if epochs is None else 1.0).alias("high"))
     ends = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve)
     return F.when(within(F.lit(0.0)), F.lit(0.0)).otherwise(ends["high"])
 

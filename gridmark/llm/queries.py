@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import chat, near_duplicates, packing, quality, token_orc, topk
+from gridmark.llm import chat, mixing, near_duplicates, packing, personal_data, quality, token_orc, topk
 from gridmark.llm.tables import table
 
 
@@ -20,6 +20,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col("counts")[name].alias(name) for name in shown], "base_failed", "kept")
 
 
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flattest mix of sources in which none is read more than twice and nothing is dropped."""
+    return mixing.mix(table(spark, sf_dir, "documents"), seed=17, epochs=2.0)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1, whose texts hold control strings."""
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -37,11 +42,21 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_rules, op4_chat_format, op6_token_orc, op7_best_fit_packing, op10_ngram_jaccard)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_topk_search, op2_quality_rules, op3_temperature_mixing, op4_chat_format, op6_token_orc,
+        op7_best_fit_packing, op9_personal_data, op10_ngram_jaccard,
+    )
+}
 
 SQL = {
     "op1_topk_search": """
