@@ -267,3 +267,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("named", "doc_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, with their own columns, whose doc_id names their group; of rows that repeat it, one.
+
+    Texts are not shuffled by group: the ids that go are found first. Rows without an id stay, as nothing links them.
+    """
+    found = near_duplicates(docs)
+    named = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept"))
+    twice = named.groupBy("_kept").count().where(F.col("count") > 1).select("_kept")
+    kept = docs.join(named.distinct(), docs["doc_id"].cast("bigint") == F.col("_kept"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    if not twice.limit(1).count():
+        return kept
+    again = kept.join(twice, kept["doc_id"].cast("bigint") == F.col("_kept"), "left_semi").groupBy("doc_id").agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct("text")).alias("row")
+    )
+    single = kept.join(twice, kept["doc_id"].cast("bigint") == F.col("_kept"), "left_anti")
+    return single.unionByName(again.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import chat, mixing, near_duplicates, packing, personal_data, quality, token_orc, topk
+from gridmark.llm import chat, mixing, near_duplicates, packing, personal_data, quality, repeats, token_orc, topk, toxicity
 from gridmark.llm.tables import table
 
 
@@ -34,6 +35,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_formatted(chat.write_formatted(chat.format_records(records)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_orc(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -42,6 +47,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data(table(spark, sf_dir, "documents"))
 
@@ -50,11 +60,15 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_topk_search, op2_quality_rules, op3_temperature_mixing, op4_chat_format, op6_token_orc,
-        op7_best_fit_packing, op9_personal_data, op10_ngram_jaccard,
+        op1_topk_search, op2_quality_rules, op3_temperature_mixing, op4_chat_format, op5_toxicity, op6_token_orc,
+        op7_best_fit_packing, op8_suffix_repeats, op9_personal_data, op10_ngram_jaccard, pipeline,
     )
 }
 
