@@ -4,70 +4,91 @@ from __future__ import annotations
 
 
 class Automaton:
-    """States of the automaton of all strings within `most` edits of a word, made as they are reached.
+    """All strings within `most` edits of a word, as a bit-parallel automaton.
 
-    A state is the row of edit distances to the prefixes of the word, capped just above `most`.
+    A state is most + 1 sets of places in the word; set j holds the places reached with at most j edits.
     """
 
     def __init__(self, word: str, most: int):
-        self.word, self.most = word, most
+        self.most, self.end = most, 1 << len(word)
+        self.all = (self.end << 1) - 1
+        self.places: dict[str, int] = {}
+        for i, char in enumerate(word):
+            self.places[char] = self.places.get(char, 0) | (2 << i)
 
     def start(self) -> tuple[int, ...]:
-        return tuple(min(i, self.most + 1) for i in range(len(self.word) + 1))
+        return tuple((2 << j) - 1 & self.all for j in range(self.most + 1))
 
     def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...]:
-        row = [min(state[0] + 1, self.most + 1)]
-        for i, own in enumerate(self.word):
-            row.append(min(state[i] + (own != char), state[i + 1] + 1, row[i] + 1, self.most + 1))
-        return tuple(row)
+        match = self.places.get(char, 0)
+        before, now = state[0], (state[0] << 1) & match
+        out = [now]
+        for held in state[1:]:
+            now = ((held << 1) & match | before | before << 1 | now << 1) & self.all
+            before = held
+            out.append(now)
+        return tuple(out)
+
+    def edits(self, state: tuple[int, ...]) -> int | None:
+        """Edits with which the word ends in this state, None if it does not."""
+        for j, held in enumerate(state):
+            if held & self.end:
+                return j
+        return None
 
-    def accepts(self, state: tuple[int, ...]) -> bool:
-        return state[-1] <= self.most
 
-    def alive(self, state: tuple[int, ...]) -> bool:
-        return min(state) <= self.most
+def tolerated(term: str) -> int:
+    """Edits a term tolerates: none below five letters, one below nine, else two."""
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 class Trie:
-    """Terms by their letters. Stems match every word that begins with them, exactly; words also misspelled."""
+    """Terms by their letters. Words match misspelled, too; stems match what begins with them, exactly."""
 
     END = ""
 
     def __init__(self, words: list[str], stems: list[str]):
         self.root: dict = {}
-        self.stems = set(stems)
+        self.words, self.stems = set(words), set(stems)
         self.stem_lengths = sorted({len(s) for s in stems}, reverse=True)
-        self.words = set(words)
-        self.heads, self.tails = set(), set()
-        self.lengths: set[int] = set()
+        # Of most + 1 pieces of a term at least one is unchanged. By length of the other word: beginnings, ends, inner pieces.
+        self.pieces: dict[int, tuple[set[str], set[str], set[str]]] = {}
         for word in words:
+            most = tolerated(word)
+            if not most:
+                continue
             node = self.root
             for char in word:
                 node = node.setdefault(char, {})
             node[self.END] = word
-            most = edits(word)
-            self.lengths.update(range(len(word) - most, len(word) + most + 1))
-            # Of most + 1 pieces of a term, at least one is unchanged; with one edit it is at an end.
-            half = len(word) // 2 if most == 1 else len(word) // 3
-            self.heads.add(word[:half])
-            self.tails.add(word[-half:])
-            if most == 2:
-                self.middles = getattr(self, "middles", set()) | {word[half : 2 * half]}
-        self.head_lengths = sorted({len(h) for h in self.heads})
-        self.tail_lengths = sorted({len(t) for t in self.tails})
+            cut = len(word) // (most + 1)
+            for n in range(len(word) - most, len(word) + most + 1):
+                begins, ends, inner = self.pieces.setdefault(n, (set(), set(), set()))
+                begins.add(word[:cut])
+                ends.add(word[most * cut :])
+                if most == 2:
+                    inner.add(word[cut : 2 * cut])
+        self.cuts = {n: tuple(sorted({len(p) for p in part}) for part in found[:2]) for n, found in self.pieces.items()}
 
     def worth(self, word: str) -> bool:
-        """False only for words that cannot be near a term."""
-        if len(word) not in self.lengths:
+        """False only for words that are near no term."""
+        found = self.pieces.get(len(word))
+        if found is None:
             return False
-        return (
-            any(word[:n] in self.heads for n in self.head_lengths)
-            or any(word[-n:] in self.tails for n in self.tail_lengths)
-            or any(m in word for m in getattr(self, "middles", ()))
-        )
+        begins, ends = self.cuts[len(word)]
+        for n in begins:
+            if word[:n] in found[0]:
+                return True
+        for n in ends:
+            if word[-n:] in found[1]:
+                return True
+        for piece in found[2]:
+            if piece in word:
+                return True
+        return False
 
     def find(self, word: str) -> tuple[str, int] | None:
-        """The nearest term and its distance: a word itself, a stem it begins with, or a term within the edits allowed."""
+        """The nearest term and its distance: the word itself, the longest stem it begins with, or a term within the edits allowed."""
         if word in self.words:
             return word, 0
         for n in self.stem_lengths:
@@ -75,25 +96,17 @@ class Trie:
                 return word[:n] + "*", 0
         if not self.worth(word):
             return None
-        best = None
-        for most in (1, 2):
-            automaton = Automaton(word, most)
-            stack = [(self.root, automaton.start())]
-            while stack:
-                node, state = stack.pop()
-                for char, child in node.items():
-                    if char == self.END:
-                        if automaton.accepts(state) and edits(child) >= state[-1]:
-                            best = min(best or (state[-1], child), (state[-1], child))
-                        continue
-                    after = automaton.step(state, char)
-                    if automaton.alive(after):
-                        stack.append((child, after))
-            if best:
-                return best[1], best[0]
-        return None
-
-
-def edits(term: str) -> int:
-    """Edits a term tolerates: none below five letters, one below nine, else two."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+        automaton, best = Automaton(word, 2 if len(word) > 6 else 1), None
+        stack = [(self.root, automaton.start())]
+        while stack:
+            node, state = stack.pop()
+            for char, child in node.items():
+                if char == self.END:
+                    far = automaton.edits(state)
+                    if far is not None and far <= tolerated(child) and (best is None or (far, child) < best):
+                        best = (far, child)
+                    continue
+                after = automaton.step(state, char)
+                if after[-1]:
+                    stack.append((child, after))
+        return (best[1], best[0]) if best else None

@@ -45,13 +45,16 @@ ADDRESS = set("you your you're yours u du dich dir dein ihr euch tu te toi ton v
 FEATURES = ("plain", "quoted", "addressed", "misspelled", "terms", "weight", "dense", "length")
 
 
+_ENDS = re.compile(r"^[\W\d_]+|[\W_]+$")
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def bare(token: str) -> str:
     """Lower case, without what is not a letter at the ends; digits and signs inside stay, as misspellings."""
-    return re.sub(r"^[\W\d_]+|[\W_]+$", "", token.lower())
+    return token.lower() if token.isalpha() else _ENDS.sub("", token.lower())
 
 
 def _sample(rows: DataFrame, bound: int) -> DataFrame:
