@@ -34,6 +34,7 @@ from gridmark.session import materialize
 
 SIMILAR = 80  # percent
 FREQUENT = 1 << 18  # at most so many frequent hashes are known by their counts
+COUNTED = 4_000_000  # hashes that a task counts together
 MOST_MATCHES = 8
 PER_BUCKET = 100_000  # prefix hashes of a bucket, about
 FILTER_BITS = 1 << 23  # of the prefilter of documents; no result depends on it
@@ -53,11 +54,18 @@ def frequent_hashes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text")):
-            sets = _sets(batch)
-            hashes, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0))
+        def counts() -> pa.RecordBatch:
+            hashes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
             some = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["token", "n"])
+
+        held: list[np.ndarray] = []
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            held += _sets(batch)
+            if sum(map(len, held)) > COUNTED:
+                yield counts()
+                held = []
+        yield counts()
 
     sums = materialize(docs.select("text").mapInArrow(counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
     total = sums.agg(F.sum("n")).first()[0] or 0

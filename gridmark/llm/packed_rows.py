@@ -1,7 +1,8 @@
 """Moving many small records between tasks as a few packed rows.
 
 Records are arrays of equal length. Those of one Arrow batch that go to the same bucket travel as
-one row of binary columns, so that Spark shuffles thousands of bytes a row instead of one record.
+one row of binary columns, so that Spark shuffles thousands of bytes a row instead of one record. Numbers
+lie byte by byte, all first bytes first: the leading zeros of ids and places are then runs, which the shuffle compresses.
 Buckets are far more than tasks and get their records by hash; a key that is frequent is one of
 many in its bucket, and the caller sees to it that such a key is cheap.
 """
@@ -27,10 +28,8 @@ def scatter(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatc
     ends = np.append(cuts, len(order)) if len(order) else firsts
     arrays = [pa.array(sorted_[firsts].astype(np.int32))]
     for values in columns.values():
-        raw = values[order].tobytes()
-        size = values.dtype.itemsize
-        offsets = np.append(firsts, len(order)) * size if len(order) else np.zeros(1, np.int64)
-        blobs = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), (ends * size).tolist(), strict=True)]
+        planes = values[order].view(np.uint8).reshape(len(order), values.dtype.itemsize)
+        blobs = [planes[a:b].T.tobytes() for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
         arrays.append(pa.array(blobs, pa.binary()))
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", *columns])
 
@@ -41,4 +40,12 @@ def gather(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> dict[str
     for batch in batches:
         for name in kinds:
             parts[name].extend(batch.column(name).to_pylist())
-    return {name: np.frombuffer(b"".join(parts[name]), kind) for name, kind in kinds.items()}
+    return {name: unpack(parts[name], kind) for name, kind in kinds.items()}
+
+
+def unpack(blobs: list[bytes], kind: str) -> np.ndarray:
+    """The records of packed values of one column."""
+    size = np.dtype(kind).itemsize
+    rows = [np.frombuffer(b, np.uint8).reshape(size, -1).T for b in blobs]
+    joined = np.concatenate(rows) if rows else np.zeros((0, size), np.uint8)
+    return np.ascontiguousarray(joined).view(kind).reshape(-1)

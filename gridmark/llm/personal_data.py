@@ -5,7 +5,7 @@ that hold a digit or an at sign are instances; the words around them are their p
 before, the word before, and the words on both sides. On the graph of patterns and instances, seeds
 score 1. In every round a pattern's confidence is the mean score of its instances, lowered where it has few,
 and an instance's score the mean confidence of its patterns. At last, tokens that no seed
-covers, in the context of a pattern of high confidence that several seeds support, become spans of kind `id`.
+covers, in the context of a pattern of high confidence that seeds support SUPPORT times, become spans of kind `id`.
 
 All of it is DataFrame functions. Positions come from splitting a text at the matches: the lengths of
 gaps and matches add up to them. The regular expressions are possessive, so they neither backtrack
@@ -156,7 +156,7 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFram
     scores = materialize(edges.groupBy("token").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed")))
     for _ in range(rounds):
         weighed = edges.drop("seed").join(scores, "token").groupBy("pattern").agg(
-            (F.sum(F.col("n") * F.col("score")) / (F.sum("n") + PRIOR)).alias("confidence"), F.sum("seed").alias("seeds")
+            (F.sum(F.col("n") * F.col("score")) / (F.sum("n") + PRIOR)).alias("confidence"), F.sum(F.col("n") * F.col("seed")).alias("seeds")
         )
         patterns = materialize(weighed)
         back = edges.join(patterns, "pattern").groupBy("token").agg(

@@ -124,7 +124,7 @@ def _anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
     """Anchors of all texts, packed by bucket of their hash."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text", 32 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, "text", 8 << 20)):
             raw, bounds = utf8_column(batch.column("text"))
             ids = batch.column("uid").to_numpy()
             columns: dict[str, list[np.ndarray]] = {name: [] for name in ANCHOR}
@@ -224,7 +224,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> tuple[list[tuple], dict[str, np.
         rest = batch.filter(pa.compute.invert(is_text))
         for name in SPAN:
             parts[name].extend(rest.column(name).to_pylist())
-    spans = {name: np.frombuffer(b"".join(parts[name]), kind) for name, kind in SPAN.items()}
+    spans = {name: packed_rows.unpack(parts[name], kind) for name, kind in SPAN.items()}
     order = np.lexsort((spans["start"], spans["doc"]))
     return texts, {name: values[order] for name, values in spans.items()}
 

@@ -16,7 +16,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores a
 
 from tokenizers import Tokenizer  # noqa: E402
 
-MEMORY = 900_000  # pieces remembered by each Python worker, about 200 bytes each
+MEMORY = 1_200_000  # pieces remembered by each Python worker, about 200 bytes each
 BATCH_BYTES = 2 << 20  # of text cut into pieces at a time
 BLANK, WORD_END = "\u0120", "</w>"  # how the vocabularies write a blank before, and the end of, a word
 MARKS = ".,;:!?*#$%&|"  # marks that are words of their own behind letters
@@ -108,7 +108,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text."""
         out: list[bytes] = []
-        open_: list[tuple[int, bytes, list[str]]] = []
+        open_: list[tuple[int, list[str], list[bytes | None], list[int], bool]] = []
         missing: set[str] = set()
         for text in texts:
             parts = self.cut(text)
@@ -116,19 +116,21 @@ class PieceEncoder:
                 out.append(self.ids(text))
                 continue
             first, pieces = parts
-            head = self.ids(first) if first else b""
+            lead = bool(first) and not first[0].isspace() and "\n" not in first and self.line_end >= 0
+            if lead:
+                pieces.append("\n" + first)  # behind a line end, as at the beginning, a word has no blank
             ids = list(map(self.known.get, pieces))
-            if None in ids:
-                missing.update([piece for piece, got in zip(pieces, ids, strict=True) if got is None])
-                open_.append((len(out), head, pieces))
-                out.append(b"")
-            else:
-                out.append(head + b"".join(ids))
+            holes = [i for i, got in enumerate(ids) if got is None] if None in ids else []
+            if holes:
+                missing.update([pieces[i] for i in holes])
+            open_.append((len(out), pieces, ids, holes, lead))
+            out.append(b"" if lead or not first else self.ids(first))
         self.learn({piece for piece in missing if len(piece) <= LONGEST})
-        for at, head, pieces in open_:
-            ids = list(map(self.known.get, pieces))
-            if None in ids:
-                ids = [self.ids(self._own(piece)) if got is None else got for piece, got in zip(pieces, ids, strict=True)]
+        for at, pieces, ids, holes, lead in open_:
+            for i in holes:
+                got = self.known.get(pieces[i])
+                ids[i] = self.ids(self._own(pieces[i])) if got is None else got
+            head = ids.pop()[4:] if lead else out[at]  # without the line end
             out[at] = head + b"".join(ids)
         return out
 
