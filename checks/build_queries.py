@@ -79,6 +79,24 @@ def floor_split(spark, sf_dir):
     return split.floor_split(docs, "lang", "doc_id")
 
 
+NO_LANG = "SELECT doc_id, nullif(lang, 'fr') AS lang FROM documents"
+
+
+@query(f"WITH v_files_by_lang AS ({NO_LANG}), {FLOOR} SELECT doc_id, lang, split FROM v_split")
+def floor_split_gaps(spark, sf_dir):
+    """Files without a class form a class of their own."""
+    docs = v.table(spark, sf_dir, "documents").select("doc_id", F.nullif("lang", F.lit("fr")).alias("lang"))
+    return split.floor_split(docs, "lang", "doc_id")
+
+
+@query(f"""WITH q AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('42|' || doc_id), doc_id) AS k
+  FROM ({NO_LANG}) d) SELECT doc_id, lang FROM q WHERE k <= 20""")
+def keep_first_gaps(spark, sf_dir):
+    """At most 20 rows of each group, NULL included; without the limit on the number of groups."""
+    docs = v.table(spark, sf_dir, "documents").select("doc_id", F.nullif("lang", F.lit("fr")).alias("lang"))
+    return split.keep_first(docs, "lang", "doc_id", 20, max_groups=None)
+
+
 @query(f"""WITH {SPLIT} SELECT split, count(*) AS total_images, count(*) FILTER (domain = 'physical_3d') AS physical_count,
   count(*) FILTER (domain = 'digital_2d') AS digital_count, count(*) FILTER (is_negative) AS negative_count,
   CAST(sum(n_pieces) AS BIGINT) AS total_pieces FROM v_split GROUP BY split""")
@@ -135,6 +153,17 @@ def split_leakage(spark, sf_dir):
     return contents.select("contents", leaks.agg(F.count("*")).scalar().alias("leaked"))
 
 
+@query("""WITH d AS (SELECT sha256(text) AS content, CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM documents)
+SELECT content, count(DISTINCT split) AS n_splits, count(*) AS n FROM d GROUP BY 1 HAVING count(DISTINCT split) > 1""")
+def split_leakage_found(spark, sf_dir):
+    """Copies that a split by number puts on both sides."""
+    docs = v.table(spark, sf_dir, "documents").select(
+        F.sha2("text", 256).alias("content"),
+        F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train").alias("split"),
+    )
+    return split.split_leakage(docs, "content")
+
+
 @query(f"""WITH {SPLIT}, q AS (SELECT split, sample_id,
   row_number() OVER (PARTITION BY split ORDER BY sha256('42|' || sample_id), sample_id) AS k FROM v_split)
 SELECT split, sample_id FROM q WHERE k <= 20""")
@@ -262,13 +291,52 @@ def coco_json(spark, sf_dir):
             F.array("x0", "y0", "pw", "ph").alias("bbox"),
         )).alias("pieces")).alias("annotations"),
     ))
-    documents = pixel_boxes(spark, sf_dir).select(document.alias("value"))
-    flat = coco.inline_annotations(coco.parse_text(documents))
+    documents = pixel_boxes(spark, sf_dir).select(*v.ROW_KEY, "l_orderkey", document.alias("value"))
+    flat = coco.annotations(coco.parse_text(documents), (*v.ROW_KEY, "l_orderkey"))
     return standardize.standardize(flat.withColumn("dataset", F.lit("chessred")), dataset="dataset").select(
         "file_name", *outcome_columns()
     )
 
 
+def supplier_documents(spark, sf_dir):
+    """One document of many images and boxes for each supplier; image ids repeat between documents.
+
+    Images whose number divides by 7 are not listed. TPC-style tables hold about 600 rows a supplier at any scale.
+    """
+    px = pixel_boxes(spark, sf_dir).withColumn("image", F.col("l_orderkey") % 50)
+    name = F.concat(F.lit("i"), F.col("image").cast("string"), F.lit(".jpg"))
+    width = F.when(F.col("l_suppkey") % 2 == 0, 800).otherwise(400)
+    image = F.struct(F.col("image").alias("id"), name.alias("file_name"), width.alias("width"), F.lit(600).alias("height"))
+    piece = F.struct(
+        F.col("image").alias("image_id"), F.col("cat").alias("category_id"),
+        F.array("x0", "y0", "pw", "ph").alias("bbox"),
+    )
+    lists = px.groupBy("l_suppkey").agg(
+        F.collect_set(F.when(F.col("image") % 7 > 0, image)).alias("images"), F.collect_list(piece).alias("pieces")
+    )
+    text = F.to_json(F.struct("images", F.struct("pieces").alias("annotations")))
+    return coco.parse_text(lists.select(F.col("l_suppkey").alias("path"), text.alias("value")))
+
+
+@query(f"""WITH {PIXELS}, b AS (SELECT l_suppkey AS path, l_orderkey % 50 AS image_id, CAST(cat AS VARCHAR) AS raw_label,
+    CASE WHEN l_suppkey % 2 = 0 THEN 800.0 ELSE 400.0 END AS iw, x0, y0, pw, ph, l_orderkey % 50 % 7 > 0 AS listed FROM v_px)
+SELECT path, image_id, raw_label, listed AS image_listed,
+  CASE WHEN listed THEN round(x0 / iw + pw / iw / 2.0, 6) END AS xc, CASE WHEN listed THEN round(y0 / 600.0 + ph / 600.0 / 2.0, 6) END AS yc,
+  CASE WHEN listed THEN round(pw / iw, 6) END AS w, CASE WHEN listed THEN round(ph / 600.0, 6) END AS h FROM b""")
+def coco_join(spark, sf_dir):
+    """Boxes meet the image of their own document; those of unlisted images stay, without a box."""
+    found = coco.annotations(supplier_documents(spark, sf_dir))
+    return found.select(
+        "path", "image_id", "raw_label", "image_listed", *[v.r6(F.col(c), c) for c in ("xc", "yc", "w", "h")]
+    )
+
+
+@query("""SELECT l_suppkey AS path, CAST(count(DISTINCT l_orderkey % 50) FILTER (l_orderkey % 50 % 7 > 0) AS INTEGER) AS images,
+  CAST(count(*) AS INTEGER) AS boxes, 0 AS categories FROM lineitem GROUP BY 1""")
+def coco_counts(spark, sf_dir):
+    return coco.document_counts(supplier_documents(spark, sf_dir))
+
+
 @query(f"""WITH {PIXELS}, v_box AS (SELECT *, x0 / 800.0 + (CAST((x0 + pw) AS DOUBLE) / 800.0 - x0 / 800.0) / 2.0 AS xc,
   y0 / 600.0 + ((y0 + ph) / 600.0 - y0 / 600.0) / 2.0 AS yc,
   (x0 + pw) / 800.0 - x0 / 800.0 AS w, (y0 + ph) / 600.0 - y0 / 600.0 AS h,

@@ -222,6 +222,46 @@ def latency_percentiles(spark, sf_dir):
     return rounded(found, "p50", "p95", "p99")
 
 
+# NULL groups are groups, NULL values are no measurements.
+GAPPY = """v_gappy AS (SELECT event_id, nullif(event_type, 'click') AS grp, CASE WHEN event_id % 9 > 0 THEN value END AS value,
+  CASE WHEN user_id % 5 > 0 THEN user_id END AS run FROM events)"""
+
+
+def gappy_events(spark, sf_dir):
+    return v.table(spark, sf_dir, "events").select(
+        "event_id", F.nullif("event_type", F.lit("click")).alias("grp"),
+        F.when(F.col("event_id") % 9 > 0, F.col("value")).alias("value"),
+        F.when(F.col("user_id") % 5 > 0, F.col("user_id")).alias("run"),
+    )
+
+
+@query(f"""WITH {GAPPY}, o AS (SELECT grp, value, row_number() OVER (PARTITION BY grp ORDER BY value) - 1 AS i,
+  count(*) OVER (PARTITION BY grp) AS n FROM v_gappy WHERE value IS NOT NULL)
+SELECT grp, count(*) AS n_queries, round(avg(value), 6) AS mean, max(CASE WHEN i = n // 2 THEN value END) AS p50,
+  max(CASE WHEN i = CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT) THEN value END) AS p95, min(value) AS min, max(value) AS max,
+  round(1000 / avg(value), 6) AS queries_per_sec FROM o GROUP BY 1""")
+def latency_summary_gaps(spark, sf_dir):
+    found = evaluate.latency_summary(gappy_events(spark, sf_dir), ["grp"], "value")
+    return rounded(found, "mean", "queries_per_sec")
+
+
+@query(f"""WITH {GAPPY} SELECT grp, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95
+FROM v_gappy GROUP BY 1""")
+def latency_percentiles_gaps(spark, sf_dir):
+    found = evaluate.interpolated_percentiles(
+        gappy_events(spark, sf_dir), ["grp"], "value", {"p50": 0.5, "p95": 0.95}
+    )
+    return rounded(found, "p50", "p95")
+
+
+@query(f"""WITH {GAPPY} SELECT run, event_id AS epoch, value AS val_acc,
+  value > coalesce(max(value) OVER (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS is_best
+FROM v_gappy""")
+def running_best_gaps(spark, sf_dir):
+    log = gappy_events(spark, sf_dir).select("run", F.col("event_id").alias("epoch"), F.col("value").alias("val_acc"))
+    return ranking.running_best(log, ["run"], "epoch", "val_acc").drop("best_before")
+
+
 @query("""SELECT user_id AS run, event_id AS epoch, value AS val_acc,
   value > coalesce(max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS is_best
 FROM events""")

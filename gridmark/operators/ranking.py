@@ -10,9 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# 16 bits of a hash: 65,536 buckets, so a group of 10 billion rows has about
-# 150,000 rows per bucket.
-HASH_BUCKETS = 1 << 16
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys where NULL equals NULL; the keys stay those of the left side."""
+    renamed = right.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+        *[F.col(c) for c in right.columns if c not in keys],
+    )
+    match = F.lit(True)
+    for i, key in enumerate(keys):
+        match = match & F.col(key).eqNullSafe(F.col(f"_key{i}"))
+    return left.join(renamed, match).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
 def log_bucket(value: Column) -> Column:
@@ -62,7 +69,7 @@ def cumulative_counts(
     local = steps.select(
         "*", *[F.sum(n).over(inside).alias(f"_l_{n}") for n in names]
     )
-    return local.join(offsets, [*group, "_bucket"]).select(
+    return null_safe_join(local, offsets, [*group, "_bucket"]).select(
         *group,
         value,
         *names,
@@ -78,10 +85,11 @@ def order_statistics(
     """Exact values at zero-based sorted positions of each group.
 
     A position is an expression of ``all_n``, the group's row count. ``extra``
-    aggregates see ``value`` and its multiplicity ``n``.
+    aggregates see ``value`` and its multiplicity ``n``. NULL values are not
+    counted; a group without any other value has no row.
     """
     ladder = cumulative_counts(
-        df, group, value, {"n": F.count("*")}, log_bucket(F.col(value))
+        df.filter(F.col(value).isNotNull()), group, value, {"n": F.count("*")}, log_bucket(F.col(value))
     )
     picks = [
         F.min(F.when(F.col("cum_n") > position, F.col(value))).alias(name)
@@ -118,9 +126,9 @@ def running_best(
     best = F.coalesce(
         F.greatest(F.col("_carried"), F.col("_local"), F.lit(initial)), F.lit(initial)
     )
+    local = keyed.withColumn("_local", F.max(value).over(inside))
     return (
-        keyed.withColumn("_local", F.max(value).over(inside))
-        .join(carried, [*group, "_chunk"])
+        null_safe_join(local, carried, [*group, "_chunk"])
         .withColumn("best_before", best)
         .withColumn("is_best", F.col(value) > F.col("best_before"))
         .drop("_chunk", "_carried", "_local")
@@ -181,7 +189,7 @@ def cut_points(
         *[F.when(hit, F.col(f"_k_{name}")).alias(f"_k_{name}") for name, hit in holds.items()],
     ).filter("_any")
     rank = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(digest, tie))
-    inside = bucketed.join(picked, [*group, "_bucket"]).withColumn(
+    inside = null_safe_join(bucketed, picked, [*group, "_bucket"]).withColumn(
         "_rank", rank + F.col("_before")
     )
     found = []

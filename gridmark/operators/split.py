@@ -91,12 +91,14 @@ def shuffled(samples: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def keep_first(
-    df: DataFrame, group: str, key: str, n: int, seed: int = 42, max_groups: int = MAX_STRATA
+    df: DataFrame, group: str, key: str, n: int, seed: int = 42,
+    max_groups: int | None = MAX_STRATA,
 ) -> DataFrame:
     """At most ``n`` rows per group in a seeded order, exact for any ``n``.
 
     ``key`` must be unique. Only bucket counts are shuffled; the rows themselves
-    are filtered in place against one cut per group.
+    are filtered in place against one cut per group. Up to ``max_groups`` cuts
+    are broadcast; ``None`` leaves the join to the optimiser, for any number of groups.
     """
     ordered = df.withColumn("_digest", hash_order(seed, key))
     cuts = cut_points(
@@ -104,16 +106,20 @@ def keep_first(
     ).select(F.col(group).alias("_group"), "keep_digest", "keep_tie")
     place = F.struct(F.col("_digest"), F.col(key))
     limit = F.struct(F.col("keep_digest"), F.col("keep_tie"))
+    if max_groups is not None:
+        cuts = _checked(cuts, max_groups)
     return (
-        ordered.join(_checked(cuts, max_groups), F.col(group).eqNullSafe(F.col("_group")))
+        ordered.join(cuts, F.col(group).eqNullSafe(F.col("_group")))
         .filter(place <= limit)
         .select(*df.columns)
     )
 
 
-def sample_per_split(samples: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+def sample_per_split(
+    samples: DataFrame, key: str, n: int, seed: int = 42, max_groups: int | None = MAX_STRATA
+) -> DataFrame:
     """``n`` pseudo-random rows of every split."""
-    return keep_first(samples, "split", key, n, seed)
+    return keep_first(samples, "split", key, n, seed, max_groups)
 
 
 def pool_union(pools: dict[str, DataFrame], domains: dict[str, str], cap: int | None = None,

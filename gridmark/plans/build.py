@@ -21,30 +21,43 @@ COUNTS = "class_counts"
 
 def scan_pool(
     spark: SparkSession, root: str, domain: str, source_name: str, is_negative: bool = False,
-    labels_dir: str | None = None,
+    labels_dir: str | None = None, pool_order: int = 0,
 ) -> DataFrame:
     """Samples of one folder: image, label, hash, class counts and negative flag.
 
-    Labels are looked up under ``labels_dir`` when given, else in a parallel
-    ``labels`` folder, else beside the image.
+    Labels are looked up under ``labels_dir`` when it is given and there, else in
+    a parallel ``labels`` folder (also the one beside the root itself), else
+    beside the image. Of equal images the build keeps that of the smallest ``pool_order``.
     """
+    root = listing.qualified(spark, root)
     tree = listing.list_files(spark, root)
     found = images.scan_images(tree, domain, source_name, is_negative)
     hashed = images.with_hashes(found, images.content_hashes(spark, root))
-    label_root = labels_dir or root
-    label_tree = listing.list_files(spark, label_root) if labels_dir else tree
-    paired = pairing.attach_labels(
-        hashed, label_tree.filter(is_label(F.col("rel_path"))), labels_dir
-    )
-    counted = labels.label_class_counts(labels.read_label_text(spark, label_root))
-    per_label = counted.groupBy("rel_path").agg(
+    explicit = labels_dir is not None and listing.exists(listing.qualified(spark, labels_dir))
+    if explicit:
+        roots = [listing.qualified(spark, labels_dir)]
+    else:
+        beside = f"{root.rpartition('/')[0]}/labels"
+        roots = [root, *([beside] if beside != root and listing.exists(beside) else [])]
+    label_files, per_label = None, None
+    for place in roots:
+        files_here = (tree if place == root else listing.list_files(spark, place)).filter(is_label(F.col("rel_path")))
+        counted = _label_counts(spark, place)
+        label_files = files_here if label_files is None else label_files.unionByName(files_here)
+        per_label = counted if per_label is None else per_label.unionByName(counted)
+    paired = pairing.attach_labels(hashed, label_files, roots[0] if explicit else None)
+    samples = pairing.sample_rows(paired, per_label).withColumn("pool_order", F.lit(pool_order))
+    return samples.withColumnRenamed("path", "image_path").drop("length", "rel_path")
+
+
+def _label_counts(spark: SparkSession, root: str) -> DataFrame:
+    """label_path, class counts and pieces of every label below a qualified root."""
+    counted = labels.label_class_counts(labels.read_label_text(spark, root))
+    label_path = F.concat(F.lit(root + "/"), F.col("rel_path"))
+    return counted.groupBy("rel_path").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("class_id", "n")))).alias(COUNTS),
         F.sum("n").alias("n_pieces"),
-    )
-    label_path = F.concat(F.lit(listing.plain(label_root) + "/"), F.col("rel_path"))
-    per_label = per_label.select(label_path.alias("label_path"), COUNTS, "n_pieces")
-    samples = pairing.sample_rows(paired, per_label)
-    return samples.withColumnRenamed("path", "image_path").drop("length", "rel_path")
+    ).select(label_path.alias("label_path"), COUNTS, "n_pieces")
 
 
 @dataclass(frozen=True)
@@ -62,7 +75,7 @@ class Built:
 
     @property
     def duplicates(self) -> DataFrame:
-        return dedup.duplicate_mapping(self.scanned)
+        return dedup.duplicate_mapping(self.scanned, order=_order(self.scanned))
 
     @property
     def split_summary(self) -> DataFrame:
@@ -95,18 +108,25 @@ class Built:
         sinks.write_json(self.manifest, f"{target}/manifest")
 
 
+def _order(samples: DataFrame) -> tuple[str, ...]:
+    return ("pool_order", "image_path") if "pool_order" in samples.columns else ("image_path",)
+
+
 def build_dataset(
     samples: DataFrame, ratios: SplitRatio = SplitRatio(), seed: int = 42,
     vocab: Vocabulary | None = None, target: str | None = None,
 ) -> Built:
     """Deduplicate, split and summarise; writes only when a target is given.
 
-    The deduplicated samples are stored once in the shared folder: the split and
-    every summary read that copy, each with only the columns it needs.
+    The scanned samples, hashes included, are stored once in the shared folder,
+    also for a dry run: report, duplicates, split and every summary read that
+    copy, each with only the columns it needs, so no file is read twice. Of equal
+    images the first by (pool order, path) stays.
     """
+    samples = materialize(samples)
     if samples.isEmpty():
         raise EmptyDatasetError("cannot build a dataset from an empty sample pool")
-    unique = materialize(dedup.deduplicate(samples))
+    unique = dedup.deduplicate(samples, order=_order(samples))
     assigned = split.stratified_split(unique, ratios=ratios, seed=seed).withColumn(
         "export_name", export_name(F.col("domain"), F.col("source_name"), F.col("image_path"))
     )

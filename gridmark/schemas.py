@@ -29,15 +29,6 @@ SAMPLE = _struct(
 DETECTION = _struct(
     piece_type=STRING, color=STRING, confidence=DOUBLE, bbox=PIXEL_BOX, base_point=POINT
 )
-CORNERS = _struct(
-    top_left=POINT, top_right=POINT, bottom_right=POINT, bottom_left=POINT, confidence=DOUBLE
-)
-SQUARE = _struct(name=STRING, file_idx=INT, rank_idx=INT, piece=DETECTION)
-BOARD_STATE = _struct(
-    fen=STRING, is_legal=BOOL, confidence=DOUBLE, domain=STRING,
-    raw_detections=ArrayType(DETECTION), validation_warnings=ArrayType(STRING),
-    grid_occupancy=ArrayType(ArrayType(STRING)),
-)
 CLASSIFICATION = _struct(
     domain=STRING, confidence=DOUBLE, method=STRING, latency_ms=DOUBLE, heuristic_score=DOUBLE
 )

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridmark.errors import GridmarkError
+
 # Settings every plan relies on; a cluster may set its own values first.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,10 +31,12 @@ def local_session(cores: int | str = "*", name: str = "gridmark", **extra: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see: the cluster's checkpoint folder, a local one only in tests."""
+    """Folder all executors see: the cluster's checkpoint folder, a local one only on local masters."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise GridmarkError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

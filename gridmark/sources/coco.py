@@ -41,45 +41,37 @@ def document_counts(documents: DataFrame) -> DataFrame:
     )
 
 
-def _boxes(pieces: DataFrame) -> DataFrame:
-    """Normalised boxes of usable annotations: a category, four numbers, a known image size."""
-    usable = pieces.filter(F.col("category_id").isNotNull() & (F.array_size("bbox") >= 4))
+def annotations(documents: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """Every annotation with the pixel size of its image, within its own document.
+
+    Image ids are only unique in one document, so ``keys``, which name a
+    document, are part of the join. A box whose image is not listed stays, with
+    ``image_listed`` false and no box. Boxes and images leave their
+    document's row before they meet, so one large document spreads over tasks.
+    """
+    images = documents.select(*keys, F.inline("images")).select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.col("id").alias("_image"), "file_name", "width", "height", F.lit(True).alias("_listed"),
+    )
+    pieces = documents.select(*keys, F.inline("annotations.pieces"))
+    match = F.col("image_id") == F.col("_image")
+    for key in keys:
+        match = match & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    joined = pieces.join(images, match, "left")
+    usable = joined.filter(F.col("category_id").isNotNull() & (F.array_size("bbox") >= 4))
     at = lambda i: F.get(F.col("bbox"), F.lit(i))
     box = boxes.from_coco(at(0), at(1), at(2), at(3), F.col("width"), F.col("height"))
     placed = compute_once(usable, dict(zip(("xc", "yc", "w", "h"), (box.xc, box.yc, box.w, box.h))))
     return placed.select(
-        *[c for c in ("path", "file_name") if c in usable.columns],
-        "image_id",
+        *keys, "file_name", "image_id",
         F.col("category_id").cast("string").alias("raw_label"),
         "xc", "yc", "w", "h",
         F.coalesce("score", F.lit(1.0)).alias("conf"),
-        boxes.has_image_size(F.col("width"), F.col("height")).alias("has_image_size"),
-    )
-
-
-def annotations(documents: DataFrame) -> DataFrame:
-    """Annotations joined with the pixel size of their image, across documents."""
-    images = documents.select(F.inline("images")).select(
-        F.col("id").alias("image_id"), "file_name", "width", "height"
+        F.coalesce("_listed", F.lit(False)).alias("image_listed"),
+        F.coalesce(boxes.has_image_size(F.col("width"), F.col("height")), F.lit(False)).alias("has_image_size"),
     )
-    pieces = documents.select(F.inline("annotations.pieces"))
-    return _boxes(pieces.join(images, "image_id"))
 
 
-def inline_annotations(documents: DataFrame) -> DataFrame:
-    """Annotations of self-contained documents, sized from their own image list.
-
-    Image and annotation of one document never leave their row, so there is no
-    join; meant for many small documents.
-    """
-    sized = documents.select(
-        *[c for c in ("path",) if c in documents.columns],
-        F.map_from_entries(
-            F.transform("images", lambda i: F.struct(i["id"], i))
-        ).alias("_images"),
-        F.inline("annotations.pieces"),
-    )
-    image = F.try_element_at("_images", F.col("image_id"))
-    return _boxes(
-        sized.select("*", *[image[c].alias(c) for c in ("file_name", "width", "height")])
-    )
+def unlisted_images(found: DataFrame) -> DataFrame:
+    """Violation rows: boxes of images that their document does not list."""
+    return found.filter(~F.col("image_listed")).withColumn("violation_type", F.lit("unlisted_image"))

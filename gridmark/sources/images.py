@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmark.config import IMAGE_EXTENSIONS
-from gridmark.functions.paths import extension, is_image, is_listed_image
-from gridmark.sources.listing import relative_path
+from gridmark.functions.paths import is_image, is_listed_image
+from gridmark.sources.listing import qualified, relative_path
 
 # The JVM decodes these; other accepted extensions are checked by their signature.
 _SIGNED = {".webp": ("^52494646.{8}57454250")}
@@ -30,6 +30,7 @@ def scan_images(files: DataFrame, domain: str, source_name: str, is_negative: bo
 
 def content_hashes(spark: SparkSession, root: str) -> DataFrame:
     """SHA-256 and MD5 of every non-empty image below a root."""
+    root = qualified(spark, root)
     raw = spark.read.format("binaryFile").load(
         root, recursiveFileLookup=True, pathGlobFilter=_glob(IMAGE_EXTENSIONS)
     )
@@ -41,16 +42,22 @@ def content_hashes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def with_hashes(images: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Attach hashes by path; an empty file has the hash of nothing."""
+    """Attach hashes by path; an empty file has the hash of nothing.
+
+    A file that has content must have a hash: the job stops if one is missing,
+    because a made-up hash would merge it with other files.
+    """
     empty = F.sha2(F.lit("").cast("binary"), 256)
+    missing = F.raise_error(F.concat(F.lit("no content hash for "), F.col("path")))
     return (
         images.join(hashes.select("rel_path", "sha256"), "rel_path", "left")
-        .withColumn("sha256", F.coalesce("sha256", empty))
+        .withColumn("sha256", F.when(F.col("length") == 0, empty).otherwise(F.coalesce("sha256", missing)))
     )
 
 
 def decoded_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
     """image_id (relative path), size, channels and BGR bytes; height is -1 when undecodable."""
+    root = qualified(spark, root)
     raw = spark.read.format("image").load(
         root, recursiveFileLookup=True, pathGlobFilter=_glob(extensions)
     )
@@ -65,6 +72,7 @@ def decoded_images(spark: SparkSession, root: str, extensions: tuple[str, ...] =
 
 def image_errors(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """(rel_path, image_error) of images that are empty or cannot be decoded."""
+    root = qualified(spark, root)
     listed = files.filter(is_listed_image(F.col("rel_path"))).select("rel_path", "length")
     jvm = tuple(e for e in IMAGE_EXTENSIONS if e not in _SIGNED)
     sizes = decoded_images(spark, root, jvm).select(
@@ -87,6 +95,3 @@ def image_errors(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
         .filter(F.col("image_error").isNotNull())
     )
 
-
-def extension_of(path: str):
-    return extension(F.col(path))

@@ -9,7 +9,7 @@ from gridmark.config import NON_LABEL_FILES
 from gridmark.functions.paths import base_name
 from gridmark.functions.tokens import LINE_BREAK, is_content, strip, words
 from gridmark.operators.standardize import class_counts, parse_tokens
-from gridmark.sources.listing import relative_path
+from gridmark.sources.listing import qualified, relative_path
 
 
 def read_label_text(spark: SparkSession, root: str) -> DataFrame:
@@ -18,6 +18,7 @@ def read_label_text(spark: SparkSession, root: str) -> DataFrame:
     A label file describes one picture, so its text is small; many files share
     a task.
     """
+    root = qualified(spark, root)
     text = spark.read.text(
         root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt"
     )

@@ -31,13 +31,31 @@ def plain(path: str) -> str:
     return (urlparse(path).path if path.startswith("file:") else path).rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The absolute form of a path, as Spark resolves it; local paths lose their scheme."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return plain(full)
+
+
+def _system(path: str):
+    """Arrow's file system of a remote path; it knows the object store Hadoop calls s3a as s3."""
+    from pyarrow import fs
+
+    for scheme in ("s3a://", "s3n://"):
+        if path.startswith(scheme):
+            path = "s3://" + path[len(scheme):]
+    return fs.FileSystem.from_uri(path)
+
+
 def exists(path: str) -> bool:
     """Whether a dataset folder is there (one metadata call)."""
     if is_local(path):
         return os.path.exists(plain(path))
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = _system(path)
     return system.get_file_info(inner).type != fs.FileType.NotFound
 
 
@@ -51,7 +69,7 @@ def entries(path: str) -> Iterator[tuple[str, bool, int]]:
         return
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = _system(path)
     scheme = path[: path.index(inner)] if inner in path else ""
     for info in system.get_file_info(fs.FileSelector(inner)):
         yield scheme + info.path, info.type == fs.FileType.Directory, info.size or 0
@@ -103,12 +121,13 @@ class FileListing(DataSource):
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Every file below a root, empty ones included."""
+    root = qualified(spark, root)
     spark.dataSource.register(FileListing)
     return spark.read.format(FORMAT).load(root)
 
 
 def relative_path(uri: Column, root: str) -> Column:
-    """Path below the root of a file URI as the built-in sources report it."""
+    """Path below the (qualified) root of a file URI as the built-in sources report it."""
     decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
     prefix = len(plain(root)) + 1
     path = F.regexp_replace(decoded, "^file:/+", "/") if is_local(root) else decoded

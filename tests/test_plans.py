@@ -1,4 +1,5 @@
 import json
+import os
 import struct
 import zlib
 
@@ -81,9 +82,16 @@ def test_coco_documents(spark, tmp_path):
     put(tmp_path, "x.json", json.dumps(document, indent=1))
     docs = coco.read_documents(spark, str(tmp_path))
     assert rows(coco.document_counts(docs), "images", "boxes", "categories") == [(1, 4, 2)]
-    for flat in (coco.annotations(docs), coco.inline_annotations(docs)):
-        got = sorted(rows(flat.select("raw_label", *[F.round(c, 6) for c in ("xc", "yc", "w", "h")], "conf")))
-        assert got == [("1", 0.125, 0.24, 0.05, 0.08, 1.0), ("12", 0.0125, 0.024, 0.005, 0.008, 0.5)]
+    got = sorted(rows(coco.annotations(docs).select("raw_label", *[F.round(c, 6) for c in ("xc", "yc", "w", "h")], "conf")))
+    assert got == [("1", 0.125, 0.24, 0.05, 0.08, 1.0), ("12", 0.0125, 0.024, 0.005, 0.008, 0.5)]
+    # A second document with the same image id and another size, and a box whose image is not listed.
+    other = {"images": [{"id": 7, "file_name": "b.jpg", "width": 500, "height": 500}],
+             "annotations": {"pieces": [{"image_id": 7, "category_id": 3, "bbox": [100, 200, 50, 80]},
+                                        {"image_id": 8, "category_id": 4, "bbox": [1, 2, 3, 4]}]}}
+    put(tmp_path, "y.json", json.dumps(other))
+    found = coco.annotations(coco.read_documents(spark, str(tmp_path)))
+    assert sorted(rows(found.filter("image_listed").select("raw_label", F.round("xc", 4)))) == [("1", 0.125), ("12", 0.0125), ("3", 0.25)]
+    assert rows(coco.unlisted_images(found), "image_id", "violation_type", "xc") == [(8, "unlisted_image", None)]
 
 
 def test_voc_documents(spark, tmp_path):
@@ -225,6 +233,45 @@ def test_build_end_to_end(spark, tmp_path):
         build_plan.build_dataset(samples.limit(0))
 
 
+def test_same_pool_by_any_path(spark, tmp_path, monkeypatch):
+    """Absolute, relative, the pool or its images folder: the same samples."""
+    for i in range(6):
+        put(tmp_path, f"raw/x/images/p{i}.png", solid(10 + i))
+        put(tmp_path, f"raw/x/labels/p{i}.txt", "0 .5 .5 .1 .1\n6 .5 .5 .1 .1\n")
+    put(tmp_path, "raw/x/images/empty.png", b"")
+    folder = str(tmp_path / "raw/x")
+    relative = os.path.relpath(folder)
+    seen = []
+    for root in (folder, relative, f"{folder}/images", f"{relative}/images", f"file:{folder}"):
+        found = build_plan.scan_pool(spark, root, "physical_3d", "x")
+        seen.append(sorted(rows(found, "image_path", "label_path", "sha256", "is_negative", "n_pieces"), key=str))
+    assert all(one == seen[0] for one in seen) and len(seen[0]) == 7
+    assert len({sha for _, _, sha, _, _ in seen[0]}) == 7 and sum(n for *_, n in seen[0]) == 12
+    built = build_plan.build_dataset(build_plan.scan_pool(spark, relative, "physical_3d", "x"))
+    assert built.samples.count() == 7
+    missing = build_plan.scan_pool(spark, folder, "physical_3d", "x", labels_dir=str(tmp_path / "nowhere"))
+    assert sum(n for (n,) in rows(missing, "n_pieces")) == 12
+
+
+def test_missing_hash_stops_the_job(spark):
+    files = spark.createDataFrame([("/a.png", "a.png", 5), ("/b.png", "b.png", 0)], "path STRING, rel_path STRING, length BIGINT")
+    none = spark.createDataFrame([], "rel_path STRING, sha256 STRING")
+    assert len(rows(images.with_hashes(files.filter("length = 0"), none))) == 1
+    with pytest.raises(Exception, match="no content hash"):
+        images.with_hashes(files, none).collect()
+
+
+def test_earlier_pool_wins(spark, tmp_path):
+    put(tmp_path, "z/p.png", solid(1))
+    put(tmp_path, "z/p.txt", "0 .5 .5 .1 .1\n")
+    put(tmp_path, "a/copy.png", solid(1))
+    put(tmp_path, "a/q.png", solid(2))
+    pools = [build_plan.scan_pool(spark, str(tmp_path / name), domain, name, pool_order=i)
+             for i, (name, domain) in enumerate((("z", "physical_3d"), ("a", "digital_2d")))]
+    built = build_plan.build_dataset(pools[0].unionByName(pools[1]))
+    assert sorted(rows(built.samples, "source_name", "n_pieces")) == [("a", 0), ("z", 1)]
+
+
 def test_negative_pools_and_label_folder(spark, tmp_path):
     for i in range(3):
         put(tmp_path, f"i/s{i}.png", solid(i))
