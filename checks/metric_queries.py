@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import views as v
-from checks.board_queries import ON_BOARD, TIES, cell
 from gridmark.functions import geometry, scores
-from gridmark.operators import evaluate, features, positions, ranking
+from gridmark.operators import evaluate, features, ranking
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -274,15 +274,14 @@ def running_best(spark, sf_dir):
 
 # -- detector evaluation -------------------------------------------------------------
 
-DETECTIONS = f"""{v.PIECES}, {ON_BOARD},
-v_truth AS (SELECT image_id, rank_idx * 8 + file_idx AS truth_id, class_id, xc, yc, w, h, file_idx, rank_idx FROM v_nms),
-v_raw_det AS (SELECT image_id, l_linenumber, l_partkey, l_suppkey, domain,
+# Every box takes part; a number within its image names it.
+NUMBERED = "row_number() OVER (PARTITION BY image_id ORDER BY l_partkey, l_suppkey, l_linenumber)"
+DETECTIONS = f"""{v.PIECES},
+v_truth AS (SELECT *, {NUMBERED} AS truth_id FROM v_pieces),
+v_dets AS (SELECT image_id, {NUMBERED} AS det_id,
     CASE WHEN l_suppkey % 10 = 0 THEN (class_id + 1) % 12 ELSE class_id END AS class_id,
-    xc + (l_suppkey % 5 - 2) * 0.01 AS xc, yc + (l_suppkey % 3 - 1) * 0.01 AS yc, w, h, conf FROM v_pieces),
-v_det2 AS (SELECT *, {cell('xc')} AS file_idx,
-    7 - {cell("CASE WHEN domain = 'physical_3d' THEN yc + h / 2.0 ELSE yc END")} AS rank_idx FROM v_raw_det),
-v_dets AS (SELECT *, rank_idx * 8 + file_idx AS det_id FROM (SELECT *, row_number() OVER (
-    PARTITION BY image_id, file_idx, rank_idx ORDER BY conf DESC, l_partkey, l_suppkey, l_linenumber) AS rn FROM v_det2) q WHERE rn = 1)"""
+    xc + (l_suppkey % 5 - 2) * 0.01 AS xc, yc + (l_suppkey % 3 - 1) * 0.01 AS yc, w, h, conf FROM v_pieces
+    WHERE l_suppkey % 13 > 0)"""
 
 AP = f"""{DETECTIONS},
 v_iou AS (SELECT d.image_id, d.det_id, t.truth_id,
@@ -308,22 +307,24 @@ v_ap AS (SELECT c.class_id, t.threshold, c.truths, coalesce(detections, 0) AS de
   LEFT JOIN v_area a ON a.class_id = c.class_id AND a.threshold = t.threshold)"""
 
 
+def numbered(boxes, name):
+    order = Window.partitionBy("image_id").orderBy("l_partkey", "l_suppkey", "l_linenumber")
+    return boxes.withColumn(name, F.row_number().over(order))
+
+
 def truths(spark, sf_dir):
-    board = positions.detections_on_board(v.pieces(spark, sf_dir), F.col("domain"))
-    kept = positions.one_per_square(board, "image_id", TIES)
-    return kept.withColumn("truth_id", F.col("rank_idx") * 8 + F.col("file_idx"))
+    return numbered(v.pieces(spark, sf_dir), "truth_id")
 
 
 def detections(spark, sf_dir):
-    noisy = v.pieces(spark, sf_dir).withColumns({
+    """The truths with shifted boxes and some wrong classes; one in 13 is not seen."""
+    noisy = v.pieces(spark, sf_dir).filter(F.col("l_suppkey") % 13 > 0).withColumns({
         "class_id": F.when(F.col("l_suppkey") % 10 == 0, (F.col("class_id") + 1) % 12)
         .otherwise(F.col("class_id")),
         "xc": F.col("xc") + (F.col("l_suppkey") % 5 - 2) * 0.01,
         "yc": F.col("yc") + (F.col("l_suppkey") % 3 - 1) * 0.01,
     })
-    board = positions.detections_on_board(noisy, F.col("domain"))
-    kept = positions.one_per_square(board, "image_id", TIES)
-    return kept.withColumn("det_id", F.col("rank_idx") * 8 + F.col("file_idx"))
+    return numbered(noisy, "det_id")
 
 
 def precision_table(spark, sf_dir):
@@ -348,9 +349,23 @@ def mean_average_precision(spark, sf_dir):
     )
 
 
-@query(f"""WITH {DETECTIONS} SELECT t.class_id AS true_class, d.class_id AS predicted_class, count(*) AS n
-FROM v_dets d JOIN v_truth t USING (image_id, file_idx, rank_idx) GROUP BY 1, 2""")
+@query(f"""WITH {DETECTIONS}, v_iou AS (SELECT d.image_id, d.det_id, t.truth_id, t.class_id AS true_class,
+    greatest(0.0, least(d.xc + d.w / 2.0, t.xc + t.w / 2.0) - greatest(d.xc - d.w / 2.0, t.xc - t.w / 2.0))
+    * greatest(0.0, least(d.yc + d.h / 2.0, t.yc + t.h / 2.0) - greatest(d.yc - d.h / 2.0, t.yc - t.h / 2.0)) AS inter,
+    greatest(0.0, d.w) * greatest(0.0, d.h) + greatest(0.0, t.w) * greatest(0.0, t.h) AS areas
+  FROM v_dets d JOIN v_truth t ON d.image_id = t.image_id),
+v_best AS (SELECT * FROM (SELECT *, inter / (areas - inter) AS iou, row_number() OVER (
+    PARTITION BY image_id, det_id ORDER BY inter / (areas - inter) DESC, truth_id) AS rn FROM v_iou WHERE inter > 0) q WHERE rn = 1),
+v_point AS (SELECT d.image_id, d.class_id, b.truth_id, b.true_class, coalesce(b.iou >= 0.5, false) AS hit, d.conf, d.det_id
+  FROM v_dets d LEFT JOIN v_best b ON b.image_id = d.image_id AND b.det_id = d.det_id),
+v_match AS (SELECT *, hit AND row_number() OVER (PARTITION BY image_id, truth_id, hit ORDER BY conf DESC, det_id) = 1 AS is_tp FROM v_point),
+v_all AS (SELECT CASE WHEN is_tp THEN true_class END AS true_class, class_id AS predicted_class FROM v_match
+  UNION ALL SELECT t.class_id, NULL FROM v_truth t WHERE NOT EXISTS (
+    SELECT 1 FROM v_match m WHERE m.is_tp AND m.image_id = t.image_id AND m.truth_id = t.truth_id))
+SELECT true_class, predicted_class, count(*) AS n FROM v_all GROUP BY 1, 2""")
 def detection_confusion(spark, sf_dir):
-    return evaluate.class_confusion(
-        detections(spark, sf_dir), truths(spark, sf_dir), ["image_id", "file_idx", "rank_idx"]
+    true = truths(spark, sf_dir)
+    claims = evaluate.claim_truths(
+        detections(spark, sf_dir), true, "image_id", "det_id", "truth_id", by_class=False
     )
+    return evaluate.class_confusion(claims, true, "image_id", "truth_id")

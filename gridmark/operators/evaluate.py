@@ -129,33 +129,36 @@ def interpolated_percentiles(df: DataFrame, group: list[str], value: str,
 
 
 def claim_truths(
-    detections: DataFrame, truths: DataFrame, image: str, det_id: str, truth_id: str
+    detections: DataFrame, truths: DataFrame, image: str, det_id: str, truth_id: str,
+    by_class: bool = True,
 ) -> DataFrame:
     """The truth every detection points at, and how well stronger detections fit it.
 
-    A detection points at the truth of its image and class with the largest IoU.
-    It is right at a threshold when its own ``iou`` reaches it and ``beaten_iou``,
-    the best overlap of more confident detections on the same truth, does not.
-    Both inputs hold at most one row per image and square (see
-    ``one_per_square``), so the truths of an (image, class) pair fit an array of
-    at most 64 entries, and boxes are never paired up as rows.
+    A detection points at the truth of its image (and class, unless told
+    otherwise) with the largest IoU. It is right at a threshold when its own
+    ``iou`` reaches it and ``beaten_iou``, the best overlap of more confident
+    detections on the same truth, does not. All boxes take part. The truths of
+    one picture travel as one array, as long as the picture has boxes; detections
+    and truths are never paired up as rows.
     """
     parts = ("xc", "yc", "w", "h")
-    packed = truths.groupBy(image, "class_id").agg(
-        F.collect_list(F.struct(F.col(truth_id).alias("id"), *parts)).alias("_truths")
+    keys = [image, "class_id"] if by_class else [image]
+    packed = truths.groupBy(*keys).agg(
+        F.collect_list(F.struct(F.col(truth_id).alias("id"), F.col("class_id").alias("kind"), *parts)).alias("_truths")
     )
     own = Box(*(F.col(c) for c in parts))
     candidates = F.transform(
         F.col("_truths"),
         lambda t: F.struct(
-            overlap_ratio(own, Box(*(t[c] for c in parts))).alias("iou"), (-t["id"]).alias("neg")
+            overlap_ratio(own, Box(*(t[c] for c in parts))).alias("iou"), (-t["id"]).alias("neg"),
+            t["kind"].alias("kind"),
         ),
     )
     best = F.array_max(F.filter(candidates, lambda c: c["iou"] > 0))
-    pointed = detections.join(packed, [image, "class_id"], "left").select(
+    pointed = detections.join(packed, keys, "left").select(
         image, det_id, "class_id", "conf", best.alias("_best")
     )
-    # At most 64 detections of one image share a truth, so the window groups are small.
+    # The detections of one image that share a truth are one window group.
     stronger = (
         Window.partitionBy(image, F.col("_best.neg"))
         .orderBy(F.desc("conf"), F.asc(det_id))
@@ -163,6 +166,7 @@ def claim_truths(
     )
     return pointed.select(
         image, det_id, "class_id", "conf",
+        (-F.col("_best.neg")).alias("claimed"), F.col("_best.kind").alias("claimed_class"),
         F.coalesce(F.col("_best.iou"), F.lit(0.0)).alias("iou"),
         F.coalesce(F.max("_best.iou").over(stronger), F.lit(0.0)).alias("beaten_iou"),
     )
@@ -225,15 +229,21 @@ def mean_average_precision(per_class: DataFrame) -> DataFrame:
     )
 
 
-def class_confusion(detections: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
-    """Predicted against true class of boxes on the same square.
+def class_confusion(
+    claims: DataFrame, truths: DataFrame, image: str, truth_id: str, threshold: float = 0.5
+) -> DataFrame:
+    """True against predicted class of all boxes, NULL being the background.
 
-    Both sides hold at most one row per image and square, so the join is one to one.
+    ``claims`` come from ``claim_truths`` without regard to class. A detection
+    that is right about the place counts with the class of its truth, any other
+    as seen in the background; a truth that no detection is right about is missed.
     """
-    true = truths.select(*keys, F.col("class_id").alias("true_class"))
-    return (
-        detections.join(true, keys)
-        .groupBy("true_class", "class_id")
-        .agg(F.count("*").alias("n"))
-        .withColumnRenamed("class_id", "predicted_class")
+    hit = is_right(F.lit(threshold))
+    seen = claims.select(
+        F.when(hit, F.col("claimed_class")).alias("true_class"), F.col("class_id").alias("predicted_class")
+    )
+    found = claims.filter(hit).select(image, F.col("claimed").alias(truth_id))
+    missed = truths.join(found, [image, truth_id], "left_anti").select(
+        F.col("class_id").alias("true_class"), F.lit(None).cast("int").alias("predicted_class")
     )
+    return seen.unionByName(missed).groupBy("true_class", "predicted_class").agg(F.count("*").alias("n"))
