@@ -5,10 +5,11 @@ similar as the threshold if their prefixes, in an order of all hashes that puts
 share something. A prefix of |x| - ceil(t|x|) + m hashes must share m of them. Every document
 chooses m by its estimated cost: prefix entries to index, plus the pairs to verify, which
 frequent hashes in the prefix make many and each further required match makes fewer. A pair needs as many
-shared prefix hashes as the smaller m of the two.
+shared prefix hashes as the smaller m of the two, and as many as the overlap of sets of their sizes leaves over
+for the prefixes.
 
 Equal sets are joined to one representative first. Pairs are verified in two steps: every
-document with the first document of each prefix hash it shares, which links groups of copies
+document with one that is the first of prefix hashes it shares, which links groups of copies
 without listing their pairs; then, exactly, all candidate pairs that are not yet in one component.
 So no link between components is lost, and components are those of all links.
 
@@ -170,12 +171,24 @@ def _fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 100 * small >= SIMILAR * large
 
 
+def _needed(found: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Prefix hashes that two similar sets must share.
+
+    Both prefixes ask for their matches. Besides, of the overlap that the sizes demand, what is not shared within
+    the prefixes must lie behind the prefix that ends first in the order of hashes, so in at most that many hashes.
+    """
+    m, n = found["matches"].astype(np.int64), found["size"].astype(np.int64)
+    behind = required(n) - m
+    overlap = -(-SIMILAR * (n[x] + n[y]) // (100 + SIMILAR))
+    return np.maximum(np.minimum(m[x], m[y]), overlap - np.maximum(behind[x], behind[y]))
+
+
 def _pairs_with_first(found: dict[str, np.ndarray]) -> Iterator[tuple]:
     """Every document of a hash with the smallest one."""
     starts, sizes = _groups(found["token"])
     hub = np.repeat(starts, sizes)
     at = np.flatnonzero((found["doc"] != found["doc"][hub]) & _fits(found["size"], found["size"][hub]))
-    yield found["doc"][hub[at]], found["doc"][at], np.minimum(found["matches"][at], found["matches"][hub[at]])
+    yield found["doc"][hub[at]], found["doc"][at], _needed(found, at, hub[at])
 
 
 def _pairs_across(found: dict[str, np.ndarray]) -> Iterator[tuple]:
@@ -191,7 +204,7 @@ def _pairs_across(found: dict[str, np.ndarray]) -> Iterator[tuple]:
             rest = np.arange(i + 1, start + size)
             rest = rest[(comp[rest] != comp[i]) & _fits(found["size"][rest], found["size"][i])]
             if len(rest):
-                held.append((np.full(len(rest), found["doc"][i]), found["doc"][rest], np.minimum(found["matches"][rest], found["matches"][i])))
+                held.append((np.full(len(rest), found["doc"][i]), found["doc"][rest], _needed(found, rest, np.full(len(rest), i))))
                 n += len(rest)
         if n > 2_000_000:
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -215,7 +228,11 @@ def candidates(reps: DataFrame, buckets: int, across: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32)), pa.array(n)], names=["a", "b", "need", "n"])
 
     pairs = _postings(reps, buckets).mapInArrow(met, "a bigint, b bigint, need int, n bigint")
-    return pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("n").alias("n")).where(F.col("n") >= F.col("need")).select("a", "b")
+    good = pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("n").alias("n")).where(F.col("n") >= F.col("need"))
+    if across:
+        return good.select("a", "b")
+    # One partner is enough for now: that with most in common. What it leaves apart is compared across components.
+    return good.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
 
 
 def _filter_words(ids: DataFrame) -> np.ndarray:
