@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         real.groupBy("sign_a", "sign_b", "n").agg(F.min("doc_id").alias("rep"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
     )
     total = classes.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), int(total // PER_BUCKET))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), int(total // PER_BUCKET))
     alone = classes.withColumn("comp", F.col("rep"))
     links = materialize(verified(docs, materialize(candidates(alone, buckets, across=False))))
     first = components(links)

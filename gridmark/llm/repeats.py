@@ -382,7 +382,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         docs = docs.withColumn("uid", F.col("doc_id"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * parts, int(total // 18 // PER_BUCKET))
+    buckets = max(2 * parts, int(total // 18 // PER_BUCKET))
     spans = materialize(_classified(_anchor_rows(docs, buckets), buckets))
     texts = _text_rows(docs, buckets)
     is_open = F.substring("open", 1, 1) == F.lit(b"\x01")  # all records of a packed row are of one kind
