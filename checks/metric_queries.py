@@ -89,24 +89,52 @@ def domain_decision(spark, sf_dir):
     )
 
 
+def byte_pictures(spark, sf_dir):
+    """Every document as a 40 pixel wide picture of all its bytes, the last row filled with blanks."""
+    height = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / 120)).cast("int")
+    padded = F.rpad(F.encode("text", "UTF-8"), (height * 120).cast("int"), F.lit(b" "))
+    return v.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("image_id"), height.alias("height"),
+        F.lit(40).alias("width"), F.lit(3).alias("channels"), padded.alias("data"),
+    )
+
+
 @query()
 def image_thumbnails(spark, sf_dir):
-    """Every document as a 40 pixel wide picture of its own bytes, resampled and screened.
+    """Resample and screen every picture.
 
-    Rows-only: resampling in SQL is far too slow; a fixture test checks it by brute force.
+    Rows-only: the statistics of a whole resampled picture are too slow in SQL; a fixture test checks
+    them by brute force, and ``thumbnail_cells`` compares the resampling.
     """
-    data = F.encode("text", "UTF-8")
-    height = F.greatest(F.lit(1), F.floor(F.octet_length("text") / 120)).cast("int")
-    padded = F.rpad(data, (height * 120).cast("int"), F.lit(b" "))
-    images = v.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("image_id"), height.alias("height"),
-        F.lit(40).alias("width"), F.lit(3).alias("channels"), padded.alias("data"),
-    )
-    pixels = features.thumbnail_pixels(features.thumbnails(images))
-    fused = features.fuse_windows(features.image_features(pixels, "image_id", "win"))
+    fused = features.fuse_windows(features.thumbnail_features(byte_pictures(spark, sf_dir)))
     return features.decide_domain(fused)
 
 
+CELLS = (0, 5461, 8256, 16383)  # places in a thumbnail, row by row
+
+
+def _tap(side: str, cell: str) -> str:
+    """SQL of the place a cell is read at along one side."""
+    return f"least(greatest((({cell}) + 0.5) * CAST({side} AS DOUBLE) / 128.0 - 0.5, 0.0), {side} - 1.0)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS x, greatest(1, CAST(ceil(octet_length(encode(text)) / 120.0) AS INTEGER)) AS h FROM documents),
+c AS (SELECT d.*, cell, {_tap('h', 'cell // 128')} AS ay, {_tap('40', 'cell % 128')} AS ax FROM d, (VALUES {", ".join(f"({c})" for c in CELLS)}) t(cell)),
+p AS (SELECT *, CAST(floor(ay) AS INTEGER) AS y0, least(CAST(floor(ay) AS INTEGER) + 1, h - 1) AS y1,
+  CAST(floor(ax) AS INTEGER) AS x0, least(CAST(floor(ax) AS INTEGER) + 1, 39) AS x1 FROM c),
+q AS (SELECT *, {", ".join(
+    f"CAST(coalesce(CAST('0x' || nullif(substr(x, 2 * (3 * (40 * {y} + {z})) + 1, 2), '') AS INTEGER), 32) AS DOUBLE) AS v{y[1]}{z[1]}"
+    for y in ("y0", "y1") for z in ("x0", "x1"))} FROM p)
+SELECT CAST(doc_id AS VARCHAR) AS image_id, cell,
+  CAST(round_even((v00 * (1 - (ax - x0)) + v01 * (ax - x0)) * (1 - (ay - y0)) + (v10 * (1 - (ax - x0)) + v11 * (ax - x0)) * (ay - y0), 0) AS INTEGER) AS b
+FROM q""")
+def thumbnail_cells(spark, sf_dir):
+    """Some cells of the first channel of every resampled picture."""
+    whole = features.thumbnails(byte_pictures(spark, sf_dir)).filter("win = 'global'")
+    cells = F.array(*[F.struct(F.lit(c).alias("cell"), F.get("b", F.lit(c)).cast("int").alias("b")) for c in CELLS])
+    return whole.select("image_id", F.inline(cells))
+
+
 @query("""WITH z AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS z0, CAST(embedding[2] AS DOUBLE) AS z1 FROM embeddings),
 p AS (SELECT *, exp(z0 - greatest(z0, z1)) AS e0, exp(z1 - greatest(z0, z1)) AS e1 FROM z)
 SELECT vec_id, CASE WHEN e1 / (e0 + e1) >= 0.5 THEN 'physical_3d' ELSE 'digital_2d' END AS domain,

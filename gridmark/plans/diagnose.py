@@ -39,10 +39,8 @@ def contact_diagnostics(annotations: DataFrame, sweep: bool = False) -> DataFram
 def screen_images(spark: SparkSession, root: str, weights: ScreenWeights = ScreenWeights(),
                   logits: DataFrame | None = None) -> DataFrame:
     """Domain of every decodable image; ambiguous ones use ``logits`` where present."""
-    pixels = features.thumbnail_pixels(features.thumbnails(images.decoded_images(spark, root)))
-    fused = features.fuse_windows(
-        features.image_features(pixels, "image_id", "win", weights=weights), weights
-    )
+    measured = features.thumbnail_features(images.decoded_images(spark, root), weights)
+    fused = features.fuse_windows(measured, weights)
     if logits is None:
         return features.decide_domain(fused, weights)
     return features.route_tiers(fused, logits, "image_id", weights).withColumn(

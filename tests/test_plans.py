@@ -399,11 +399,15 @@ def test_statistics_match_brute_force(spark):
     picture = photograph(128)
     thumbs = features.thumbnails(image_frame(spark, a=picture))
     assert rows(thumbs, "win") == [("global",)]
-    got = features.image_features(features.thumbnail_pixels(thumbs), "image_id", "win").first()
+    got = features.thumbnail_features(image_frame(spark, a=picture)).first()
     flat, median, quad = brute_features(picture)
     assert got["zero_noise_ratio"] == pytest.approx(flat)
     assert got["median_patch_std"] == pytest.approx(median)
     assert got["quadrant_std"] == pytest.approx(quad)
+    # Pixel rows give the same.
+    by_pixel = features.image_features(features.thumbnail_pixels(thumbs), "image_id", "win").first()
+    for name in ("palette_entropy", "zero_noise_ratio", "median_patch_std", "quadrant_std", "physical_score"):
+        assert got[name] == pytest.approx(by_pixel[name])
 
 
 def test_screen_separates_domains(spark):
@@ -412,8 +416,7 @@ def test_screen_separates_domains(spark):
         inside[rows_] = np.random.default_rng(99).integers(50, 200, (200, 600, 3))
     inside[200:600, 100:500] = checkerboard(400)
     frame = image_frame(spark, board=checkerboard(), photo=photograph(), app=inside)
-    px_rows = features.thumbnail_pixels(features.thumbnails(frame))
-    done = features.decide_domain(features.fuse_windows(features.image_features(px_rows, "image_id", "win")))
+    done = features.decide_domain(features.fuse_windows(features.thumbnail_features(frame)))
     got = {r["image_id"]: r for r in done.collect()}
     assert got["board"]["domain"] == "digital_2d" and got["board"]["physical_score"] < 0.20
     assert got["photo"]["domain"] == "physical_3d" and got["photo"]["physical_score"] > 0.70
