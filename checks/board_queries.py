@@ -183,6 +183,23 @@ def homography_point(spark, sf_dir):
     )
 
 
+def seen(u, w):
+    """A true perspective of the unit square: both lower terms of the quotient differ from zero."""
+    depth = u * 0.2 + w * 0.1 + 1.0
+    return (u * 0.8 + w * 0.1 + 0.05) / depth, (u * 0.05 + w * 0.7 + 0.1) / depth
+
+
+# Rectifying what the camera saw gives the board again, so SQL need not know the matrix.
+@query(f"""WITH {v.PIECES} SELECT {ROW}, round(xc * 800, 4) AS x, round(yc * 800, 4) AS y FROM v_pieces""")
+def perspective_point(spark, sf_dir):
+    corners = [tuple(F.lit(c) for c in seen(u, w)) for u, w in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
+    pieces, warp = geometry.attach_quad(v.pieces(spark, sf_dir), *corners)
+    x, y = warp.rectifying(800.0).apply(*seen(F.col("xc"), F.col("yc")))
+    return pieces.select(
+        "image_id", *v.ROW_KEY, (F.round(x, 4) + 0.0).alias("x"), (F.round(y, 4) + 0.0).alias("y")
+    )
+
+
 @query(f"""WITH {v.PIECES} SELECT {ROW}, CAST(floor(xc * 799.0 / 100.0) AS INTEGER) AS file_idx,
   CAST(7 - floor(yc * 799.0 / 100.0) AS INTEGER) AS rank_idx FROM v_pieces""")
 def rectified_square(spark, sf_dir):

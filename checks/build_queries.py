@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -179,6 +180,15 @@ def shuffled_split(spark, sf_dir):
     return split.shuffled(built(spark, sf_dir), "sample_id").select("split", "sample_id")
 
 
+@query(f"""WITH {SPLIT} SELECT split, sample_id, CAST(row_number() OVER (
+  PARTITION BY split ORDER BY sha256('42|' || split || '|' || sample_id), sample_id) AS INTEGER) AS position FROM v_split""")
+def shuffled_positions(spark, sf_dir):
+    """The order that rows come in, read from their places in the sorted partitions."""
+    placed = split.shuffled(built(spark, sf_dir), "sample_id").withColumn("_at", F.monotonically_increasing_id())
+    rank = F.row_number().over(Window.partitionBy("split").orderBy("_at"))
+    return placed.select("split", "sample_id", rank.alias("position"))
+
+
 POOLS = {"physical": "physical_3d", "digital": "digital_2d", "negative": "physical_3d"}
 
 
