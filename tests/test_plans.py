@@ -216,6 +216,8 @@ def test_build_end_to_end(spark, tmp_path):
         build_plan.scan_pool(spark, str(tmp_path / "dig"), "digital_2d", "dig"))
     dry = build_plan.build_dataset(samples)
     assert not (tmp_path / "out").exists()
+    for table in (dry.report, dry.duplicates, dry.samples, dry.manifest):  # contents were read once, before
+        assert "binaryFile" not in table._jdf.queryExecution().toString()
     manifest = json.loads(dry.manifest.toJSON().first())
     assert manifest["total_images"] == 21 and manifest["total_unique_images"] == 20
     assert manifest["total_duplicates_removed"] == 1
