@@ -8,10 +8,11 @@ frequent hashes in the prefix make many and each further required match makes fe
 shared prefix hashes as the smaller m of the two, and as many as the overlap of sets of their sizes leaves over
 for the prefixes.
 
-Equal sets are joined to one representative first. Pairs are verified in two steps: every
-document with one that is the first of prefix hashes it shares, which links groups of copies
-without listing their pairs; then, exactly, all candidate pairs that are not yet in one component.
-So no link between components is lost, and components are those of all links.
+Equal sets are joined to one representative first. For every document it is counted how many of its
+prefix hashes stand in other prefixes at all; no pair can share more. Pairs are verified in two steps: every
+document with the one among those of a hash that shares most, as an original does, which links groups of
+copies without listing their pairs; then, exactly, all candidate pairs that are not yet in one component and
+that the counts do not rule out. So no link between components is lost, and components are those of all links.
 
 Defined results: null and empty texts have empty sets and stand alone; texts of fewer than five
 words are one window; repeated rows are equal documents; a null doc_id keeps a null component; rows that share
@@ -40,7 +41,9 @@ MOST_MATCHES = 8
 PER_BUCKET = 100_000  # prefix hashes of a bucket, about
 FILTER_BITS = 1 << 23  # of the prefilter of documents; no result depends on it
 PROFILE = "doc_id bigint, n bigint, sign_a bigint, sign_b bigint, matches int, prefix binary"
-POSTING = {"token": "<u8", "doc": "<i8", "size": "<i4", "matches": "u1", "comp": "<i8"}
+BIG = 64  # documents of a large component; no result depends on it
+POSTING = {"token": "<u8", "doc": "<i8", "size": "<i4", "matches": "u1", "shared": "<i4", "comp": "<i8", "big": "u1", "near": "<i4"}
+SHARED = {"doc": "<i8", "comp": "<i8", "shared": "<i4"}
 
 
 def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -129,7 +132,7 @@ def profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
 
 
 def _postings(reps: DataFrame, buckets: int) -> DataFrame:
-    """Prefix hashes with doc, size, matches and component, packed by bucket of the hash."""
+    """Prefix hashes with what is known of its document, packed by bucket of the hash."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,11 +142,11 @@ def _postings(reps: DataFrame, buckets: int) -> DataFrame:
             token = np.frombuffer(b"".join(prefixes), "<u8")
             times = [len(p) // 8 for p in prefixes]
             columns = {"token": token}
-            for name, source in (("doc", "rep"), ("size", "n"), ("matches", "matches"), ("comp", "comp")):
+            for name, source in (("doc", "rep"), ("size", "n"), *((name, name) for name in ("matches", "shared", "comp", "big", "near"))):
                 columns[name] = np.repeat(batch.column(source).to_numpy().astype(POSTING[name]), times)
             yield packed_rows.scatter((mix(token) % np.uint64(buckets)).astype(np.int64), columns)
 
-    rows = reps.select("rep", "n", "matches", "comp", "prefix").mapInArrow(packed, packed_rows.schema(list(POSTING)))
+    rows = reps.select("rep", "n", "matches", "shared", "comp", "big", "near", "prefix").mapInArrow(packed, packed_rows.schema(list(POSTING)))
     return rows.repartition("bucket")
 
 
@@ -153,6 +156,59 @@ def _groups(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(token)))
 
 
+def shared_counts(reps: DataFrame, buckets: int, with_big: bool = False) -> DataFrame:
+    """rep, shared: how many of its prefix hashes stand in another prefix, too. Those that share none are left out.
+
+    `with_big`: only prefixes of one large component other than its own count, the one that gives most.
+    """
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = packed_rows.gather(batches, POSTING)
+        order = np.lexsort((found["comp"], found["token"])) if with_big else np.argsort(found["token"], kind="stable")
+        starts, sizes = _groups(found["token"][order])
+        order = order[np.repeat(sizes > 1, sizes)]
+        docs, comps = found["doc"][order], np.zeros(len(order), np.int64)
+        if with_big:
+            starts, sizes = _groups(found["token"][order])
+            docs, comps = _beside_big({name: values[order] for name, values in found.items()}, starts, sizes)
+        rank = np.lexsort((comps, docs))
+        docs, comps = docs[rank], comps[rank]
+        first = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (comps[1:] != comps[:-1])])) if len(docs) else np.zeros(0, np.int64)
+        if len(first):
+            n = np.diff(np.append(first, len(docs))).astype("<i4")
+            docs, comps = docs[first], comps[first]
+            bucket = (mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            yield packed_rows.scatter(bucket, {"doc": docs, "comp": comps, "shared": n})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = packed_rows.gather(batches, SHARED)
+        order = np.lexsort((found["comp"], found["doc"]))
+        doc, comp, n = (found[name][order] for name in ("doc", "comp", "shared"))
+        if not len(doc):
+            return
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (comp[1:] != comp[:-1])]))
+        sums, doc = np.add.reduceat(n, first), doc[first]
+        starts, _ = _groups(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(np.maximum.reduceat(sums, starts).astype(np.int32))], names=["rep", "shared"])
+
+    marks = _postings(reps, buckets).mapInArrow(marked, packed_rows.schema(list(SHARED)))
+    return marks.repartition("bucket").mapInArrow(summed, "rep bigint, shared int")
+
+
+def _beside_big(found: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, large component) for every hash at which a document stands beside a component not its own."""
+    docs, comps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(starts):
+        has_big = np.maximum.reduceat(found["big"], starts) > 0
+        for start, size in zip(starts[has_big].tolist(), sizes[has_big].tolist(), strict=True):
+            part = slice(start, start + size)
+            for comp in np.unique(found["comp"][part][found["big"][part] > 0]):
+                others = found["doc"][part][found["comp"][part] != comp]
+                docs.append(others)
+                comps.append(np.full(len(others), comp))
+    return np.concatenate(docs), np.concatenate(comps)
+
+
 def _summed(a: np.ndarray, b: np.ndarray, need: np.ndarray, times: np.ndarray | None = None) -> tuple:
     """Equal pairs as one, with the number of times they met."""
     order = np.lexsort((b, a))
@@ -183,12 +239,20 @@ def _needed(found: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
     return np.maximum(np.minimum(m[x], m[y]), overlap - np.maximum(behind[x], behind[y]))
 
 
+def _can_meet(found: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Pairs whose sizes allow the similarity, and that share enough with anyone, or with the large component of the other."""
+    most_x = np.where(found["big"][y] > 0, found["near"][x], found["shared"][x])
+    most_y = np.where(found["big"][x] > 0, found["near"][y], found["shared"][y])
+    return _fits(found["size"][x], found["size"][y]) & (np.minimum(most_x, most_y) >= need)
+
+
 def _pairs_with_first(found: dict[str, np.ndarray]) -> Iterator[tuple]:
-    """Every document of a hash with the smallest one."""
+    """Every document of a hash with the first one: the one that shares most."""
     starts, sizes = _groups(found["token"])
-    hub = np.repeat(starts, sizes)
-    at = np.flatnonzero((found["doc"] != found["doc"][hub]) & _fits(found["size"], found["size"][hub]))
-    yield found["doc"][hub[at]], found["doc"][at], _needed(found, at, hub[at])
+    hub, at = np.repeat(starts, sizes), np.arange(len(found["token"]))
+    need = _needed(found, at, hub)
+    good = (found["doc"] != found["doc"][hub]) & _can_meet(found, at, hub, need)
+    yield found["doc"][hub[good]], found["doc"][good], need[good]
 
 
 def _pairs_across(found: dict[str, np.ndarray]) -> Iterator[tuple]:
@@ -202,9 +266,12 @@ def _pairs_across(found: dict[str, np.ndarray]) -> Iterator[tuple]:
     for start, size in zip(starts[mixed].tolist(), sizes[mixed].tolist(), strict=True):
         for i in range(start, start + size - 1):
             rest = np.arange(i + 1, start + size)
-            rest = rest[(comp[rest] != comp[i]) & _fits(found["size"][rest], found["size"][i])]
+            rest = rest[comp[rest] != comp[i]]
+            need = _needed(found, rest, np.full(len(rest), i))
+            good = _can_meet(found, rest, np.full(len(rest), i), need)
+            rest, need = rest[good], need[good]
             if len(rest):
-                held.append((np.full(len(rest), found["doc"][i]), found["doc"][rest], _needed(found, rest, np.full(len(rest), i))))
+                held.append((np.full(len(rest), found["doc"][i]), found["doc"][rest], need))
                 n += len(rest)
         if n > 2_000_000:
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -219,7 +286,7 @@ def candidates(reps: DataFrame, buckets: int, across: bool) -> DataFrame:
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = packed_rows.gather(batches, POSTING)
-        order = np.lexsort((found["doc"], found["token"]))
+        order = np.lexsort((found["doc"], -found["shared"], found["token"]))
         starts, sizes = _groups(found["token"][order])
         order = order[np.repeat(sizes > 1, sizes)]
         found = {name: values[order] for name, values in found.items()}
@@ -279,10 +346,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     total = classes.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), int(total // PER_BUCKET))
-    alone = classes.withColumn("comp", F.col("rep"))
+    none = {"shared": F.lit(0), "big": F.lit(0), "near": F.lit(0)}
+    plain = classes.withColumn("comp", F.col("rep")).withColumns(none)
+    # Documents that share no prefix hash with any other are done.
+    alone = materialize(plain.drop("shared").join(shared_counts(plain, buckets), "rep"))
     links = materialize(verified(docs, materialize(candidates(alone, buckets, across=False))))
     first = components(links)
-    grouped = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    # What a document shares with all of a large component bounds what it shares with each of its members.
+    large = first.groupBy("component").count().where(F.col("count") >= BIG).select("component", F.lit(1).alias("is_big"))
+    named = first.withColumnRenamed("node", "rep").join(large, "component", "left")
+    grouped = alone.drop("comp", "big").join(named, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    grouped = materialize(grouped.withColumn("big", F.coalesce("is_big", F.lit(0))).drop("component", "is_big"))
+    near = shared_counts(grouped, buckets, with_big=True).withColumnRenamed("shared", "near")
+    grouped = materialize(grouped.drop("near").join(near, "rep", "left").withColumn("near", F.coalesce("near", F.lit(0))))
     rest = materialize(candidates(grouped, buckets, across=True))
     more = materialize(verified(docs, rest)) if rest.limit(1).count() else rest
     final = components(links.unionAll(more)) if more.limit(1).count() else first
