@@ -90,7 +90,8 @@ def mixing_plan(tokens: DataFrame, entropy: float | None = None, epochs: float |
     ).drop("totals")
     raw = F.exp(F.col("exponent") * F.ln(F.col("total") / F.col("largest")))
     whole = F.lit(float(budget)) if budget is not None else F.col("largest") * F.col("z")
-    plan = sums.join(F.broadcast(exponent), F.lit(True), "left").withColumn(  # one row of four numbers
+    found = exponent.select(F.struct("exponent", "largest", "z").alias("found")).scalar()  # one row
+    plan = sums.withColumn("found", found).select("*", "found.*").withColumn(
         "weight", F.when(F.col("total") > 0, raw / F.col("z")).otherwise(0.0)
     )
     plan = plan.withColumn("wanted", F.when(F.col("total") > 0, F.round(F.col("weight") * whole)).otherwise(0).cast("bigint"))

@@ -82,12 +82,12 @@ def _card_holds(found: Column) -> Column:
     return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(False)
 
 
-def base_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
+def base_spans(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """The given columns, `base`: the spans of the fixed patterns, and `tokens`: all instances with their context.
 
     Patterns are only searched in texts that hold what every match holds.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col(text), F.lit(""))
     wanted = {
         "mail": (text.contains("@"), EMAIL), "ip": (text.rlike(r"[0-9]\.[0-9]"), IP),
         "phone": (text.rlike(r"\+[0-9]"), PHONE), "card": (text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), NO_CARD),
@@ -181,9 +181,9 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def _with_all_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
+def _with_all_spans(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """The columns, `base`, and `all`: base and discovered spans by start, then kind."""
-    stored = materialize(base_spans(docs, columns).withColumn("row", F.monotonically_increasing_id()))
+    stored = materialize(base_spans(docs, columns, text).withColumn("row", F.monotonically_increasing_id()))
     found = materialize(instances(stored.select("row", "base", "_tokens", "_gaps")))
     new = discovered(found).groupBy("row").agg(
         F.collect_list(F.struct(F.col("start").alias("start"), F.lit(4).alias("kind"), F.col("end").alias("end"))).alias("new")
@@ -208,19 +208,20 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Of overlapping spans the first is named, and the rest of the others goes with it.
     """
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("text"))
-    rows = _with_all_spans(packed, ["doc", "text"])
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    rows = _with_all_spans(packed, ["doc"], "doc.text")
+    text = F.col("doc.text")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        between = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(fresh, F.concat(acc["out"], between, F.get(names, s["kind"]))).otherwise(acc["out"]).alias("out"),
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    built = F.aggregate("all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    clean = F.when(F.size("all") > 0, built).otherwise(F.col("text"))
+    built = F.aggregate("all", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = F.when(F.size("all") > 0, built).otherwise(text)
     return rows.select(*[clean.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
