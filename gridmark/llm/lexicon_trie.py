@@ -37,6 +37,14 @@ class Automaton:
         return None
 
 
+def letters(word: str) -> int:
+    """The letters of a word as bits; letters that share a bit only make it less exact."""
+    bits = 0
+    for char in word:
+        bits |= 1 << (ord(char) & 63)
+    return bits
+
+
 def tolerated(term: str) -> int:
     """Edits a term tolerates: none below five letters, one below nine, else two."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
@@ -53,6 +61,7 @@ class Trie:
         self.stem_lengths = sorted({len(s) for s in stems}, reverse=True)
         # Of most + 1 pieces of a term at least one is unchanged. By length of the other word: beginnings, ends, inner pieces.
         self.pieces: dict[int, tuple[set[str], set[str], set[str]]] = {}
+        self.letters: dict[int, list[tuple[int, int]]] = {}  # by length of the other word: letters of a term, its edits
         for word in words:
             most = tolerated(word)
             if not most:
@@ -64,6 +73,7 @@ class Trie:
             cut = len(word) // (most + 1)
             for n in range(len(word) - most, len(word) + most + 1):
                 begins, ends, inner = self.pieces.setdefault(n, (set(), set(), set()))
+                self.letters.setdefault(n, []).append((letters(word), most))
                 begins.add(word[:cut])
                 ends.add(word[most * cut :])
                 if most == 2:
@@ -78,12 +88,20 @@ class Trie:
         begins, ends = self.cuts[len(word)]
         for n in begins:
             if word[:n] in found[0]:
-                return True
+                return self._letters_fit(word)
         for n in ends:
             if word[-n:] in found[1]:
-                return True
+                return self._letters_fit(word)
         for piece in found[2]:
             if piece in word:
+                return self._letters_fit(word)
+        return False
+
+    def _letters_fit(self, word: str) -> bool:
+        """An edit takes one letter away and adds one, at most."""
+        own = letters(word)
+        for other, most in self.letters[len(word)]:
+            if (own & ~other).bit_count() <= most and (other & ~own).bit_count() <= most:
                 return True
         return False
 

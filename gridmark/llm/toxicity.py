@@ -32,7 +32,7 @@ STEMS = range(3, 9)  # lengths of stems
 MIN_TOXIC, MIN_ODDS, MAX_TERMS = 5, 2.0, 500
 ONE_WORD = 0.85  # a stem is left to its word if that word has so much of the stem's toxic documents
 WINDOW = 8
-MEMORY = 500_000
+MEMORY = 1_000_000  # tokens remembered by each Python worker
 THRESHOLD = 0.3
 
 # Signs of quotation, reporting verbs, and words of address, by language.
