@@ -51,13 +51,13 @@ def tolerated(term: str) -> int:
 
 
 class Trie:
-    """Terms by their letters. Words match misspelled, too; stems match what begins with them, exactly."""
+    """Terms by their letters. Words match misspelled, too; stems match what begins with them, `exact` words themselves only."""
 
     END = ""
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], exact: list[str] = ()):
         self.root: dict = {}
-        self.words, self.stems = set(words), set(stems)
+        self.words, self.stems = {*words, *exact}, set(stems)
         self.stem_lengths = sorted({len(s) for s in stems}, reverse=True)
         # Of most + 1 pieces of a term at least one is unchanged. By length of the other word: beginnings, ends, inner pieces.
         self.pieces: dict[int, tuple[set[str], set[str], set[str]]] = {}

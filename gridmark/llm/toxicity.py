@@ -30,6 +30,8 @@ from gridmark.session import materialize
 LEXICON_ROWS, FIT_ROWS = 30_000, 15_000
 STEMS = range(3, 9)  # lengths of stems
 MIN_TOXIC, MIN_ODDS, MAX_TERMS = 5, 2.0, 500
+HEAD = 40  # code points by which copies are told while learning
+CLEAR_ODDS, MAX_MISSPELLED = 4.0, 100
 ONE_WORD = 0.85  # a stem is left to its word if that word has so much of the stem's toxic documents
 WINDOW = 8
 MEMORY = 1_000_000  # tokens remembered by each Python worker
@@ -64,9 +66,13 @@ def _sample(rows: DataFrame, bound: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
-    """Terms (stems end in *) with the logarithm of the odds of their documents being toxic, MAX_TERMS at most."""
-    picked = docs.join(F.broadcast(labels), "doc_id").select("text", "toxic")
+def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], set[str]]:
+    """Terms (stems end in *) with the logarithm of the odds of their documents being toxic, and the words whose misspellings count.
+
+    MAX_TERMS terms at most; misspellings are sought of words that are frequent and clearly toxic, MAX_MISSPELLED at most.
+    """
+    # Copies would give the words of one toxic text the weight of many; texts that begin alike count once.
+    picked = docs.join(F.broadcast(labels), "doc_id").withColumn("head", F.substring("text", 1, HEAD)).dropDuplicates(["head"]).select("text", "toxic")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
@@ -79,10 +85,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
             columns = [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in found)]
             yield pa.RecordBatch.from_arrays(columns, names=["term", "clean", "toxic"])
 
-    totals = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}  # two rows
+    totals = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}  # two rows
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
-        return {}
+        return {}, set()
     odds = F.ln((F.col("toxic") + 0.5) / (toxic + 1)) - F.ln((F.col("clean") + 0.5) / (clean + 1))
     counts = picked.mapInArrow(counted, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     strong = counts.where(F.col("toxic") >= max(MIN_TOXIC, toxic // 100)).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
@@ -94,22 +100,25 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
                 stem = row["term"][:n] + "*"
                 most[stem] = max(most.get(stem, 0), row["toxic"])
     lexicon: dict[str, float] = {}
+    misspelled: set[str] = set()
     for row in best:
         term = row["term"]
         word = term.rstrip("*")
         covered = any(word[:n] + "*" in lexicon for n in STEMS) or most.get(term, 0) >= ONE_WORD * row["toxic"]
         if not covered and len(lexicon) < MAX_TERMS:
             lexicon[term] = row["odds"]
-    return lexicon
+            if term == word and row["odds"] >= CLEAR_ODDS and 50 * row["toxic"] >= toxic and len(misspelled) < MAX_MISSPELLED:
+                misspelled.add(word)
+    return lexicon, misspelled
 
 
 class Scorer:
     """Counts of hits in a text; remembers what it found for each token."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], misspelled: set[str]):
         self.odds = lexicon
-        words = [t for t in lexicon if not t.endswith("*")]
-        self.trie = Trie(words, [t[:-1] for t in lexicon if t.endswith("*")])
+        exact = [t for t in lexicon if not t.endswith("*") and t not in misspelled]
+        self.trie = Trie(sorted(misspelled), [t[:-1] for t in lexicon if t.endswith("*")], exact)
         self.known: dict[str, tuple[str, int] | bool] = {}
 
     def match(self, token: str) -> tuple[str, int] | bool:
@@ -156,12 +165,12 @@ class Scorer:
         ]
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+def with_features(docs: DataFrame, lexicon: dict[str, float], misspelled: set[str]) -> DataFrame:
     """doc_id and the FEATURES of every text."""
     names = ["doc_id", *FEATURES]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(lexicon)
+        scorer = Scorer(lexicon, misspelled)
         for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
             rows = np.array([scorer.features(t) for t in batch.column("text").fill_null("").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in rows.T)], names=names)
@@ -192,8 +201,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     third = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 3
     for_lexicon = materialize(_sample(usable.where(~third), LEXICON_ROWS))
     for_fit = materialize(_sample(usable.where(third), FIT_ROWS))
-    lexicon = learn_lexicon(docs, for_lexicon)
-    features = materialize(with_features(docs, lexicon))
+    features = materialize(with_features(docs, *learn_lexicon(docs, for_lexicon)))
     sample = features.join(F.broadcast(for_fit), "doc_id").select(*FEATURES, "toxic").toPandas()  # FIT_ROWS at most
     toxic = sample["toxic"].to_numpy(float)
     if len(sample) and 0 < toxic.sum() < len(toxic):

@@ -390,7 +390,7 @@ def test_toxicity(spark, docs, labels, odd):
 
 
 def test_quotation_is_not_abuse():
-    scorer = toxicity.Scorer({"moron": 5.0})
+    scorer = toxicity.Scorer({"moron": 5.0}, {"moron"})
     abuse, quoted = scorer.features("you are such a moron today"), scorer.features('he wrote "moron" on the wall')
     assert abuse[2] > 0 and quoted[1] > 0 and quoted[2] == 0 and abuse[5] > quoted[5]
 
