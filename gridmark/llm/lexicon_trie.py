@@ -45,6 +45,14 @@ def letters(word: str) -> int:
     return bits
 
 
+def _letters_fit(own: int, terms: list[tuple[int, int]]) -> bool:
+    """An edit takes one letter away and adds one, at most."""
+    for other, most in terms:
+        if (own & ~other).bit_count() <= most and (other & ~own).bit_count() <= most:
+            return True
+    return False
+
+
 def tolerated(term: str) -> int:
     """Edits a term tolerates: none below five letters, one below nine, else two."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
@@ -59,9 +67,8 @@ class Trie:
         self.root: dict = {}
         self.words, self.stems = {*words, *exact}, set(stems)
         self.stem_lengths = sorted({len(s) for s in stems}, reverse=True)
-        # Of most + 1 pieces of a term at least one is unchanged. By length of the other word: beginnings, ends, inner pieces.
-        self.pieces: dict[int, tuple[set[str], set[str], set[str]]] = {}
-        self.letters: dict[int, list[tuple[int, int]]] = {}  # by length of the other word: letters of a term, its edits
+        # Of most + 1 pieces of a term at least one is unchanged. By length of the other word: beginnings, ends, inner pieces, with the letters and edits of their terms.
+        self.pieces: dict[int, tuple[dict[str, list[tuple[int, int]]], ...]] = {}
         for word in words:
             most = tolerated(word)
             if not most:
@@ -70,39 +77,32 @@ class Trie:
             for char in word:
                 node = node.setdefault(char, {})
             node[self.END] = word
-            cut = len(word) // (most + 1)
+            cut, own = len(word) // (most + 1), (letters(word), most)
             for n in range(len(word) - most, len(word) + most + 1):
-                begins, ends, inner = self.pieces.setdefault(n, (set(), set(), set()))
-                self.letters.setdefault(n, []).append((letters(word), most))
-                begins.add(word[:cut])
-                ends.add(word[most * cut :])
+                begins, ends, inner = self.pieces.setdefault(n, ({}, {}, {}))
+                begins.setdefault(word[:cut], []).append(own)
+                ends.setdefault(word[most * cut :], []).append(own)
                 if most == 2:
-                    inner.add(word[cut : 2 * cut])
-        self.cuts = {n: tuple(sorted({len(p) for p in part}) for part in found[:2]) for n, found in self.pieces.items()}
+                    inner.setdefault(word[cut : 2 * cut], []).append(own)
+        self.cuts = {n: tuple(sorted({len(p) for p in part}) for part in found) for n, found in self.pieces.items()}
 
     def worth(self, word: str) -> bool:
         """False only for words that are near no term."""
         found = self.pieces.get(len(word))
         if found is None:
             return False
-        begins, ends = self.cuts[len(word)]
+        begins, ends, inner = self.cuts[len(word)]
+        own = letters(word)
         for n in begins:
-            if word[:n] in found[0]:
-                return self._letters_fit(word)
+            if (terms := found[0].get(word[:n])) and _letters_fit(own, terms):
+                return True
         for n in ends:
-            if word[-n:] in found[1]:
-                return self._letters_fit(word)
-        for piece in found[2]:
-            if piece in word:
-                return self._letters_fit(word)
-        return False
-
-    def _letters_fit(self, word: str) -> bool:
-        """An edit takes one letter away and adds one, at most."""
-        own = letters(word)
-        for other, most in self.letters[len(word)]:
-            if (own & ~other).bit_count() <= most and (other & ~own).bit_count() <= most:
+            if (terms := found[1].get(word[-n:])) and _letters_fit(own, terms):
                 return True
+        for n in inner:  # two edits move an inner piece by two places at most
+            for at in range(max(0, n - 2), n + 3):
+                if (terms := found[2].get(word[at : at + n])) and _letters_fit(own, terms):
+                    return True
         return False
 
     def find(self, word: str) -> tuple[str, int] | None:

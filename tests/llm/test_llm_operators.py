@@ -389,6 +389,29 @@ def test_toxicity(spark, docs, labels, odd):
     assert toxicity.score_documents(empty(docs), labels).count() == 0
 
 
+def test_misspellings_of_all_terms_count(spark):
+    """Of rare words, and of words behind a stem; a clean word that is near a term does not count."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows = []
+    for i in range(2000):
+        text = [rng.choice(words) for _ in range(30)]
+        if i % 2 == 0:  # rare in toxic texts is one of 80
+            text[3] = "murkswort" if i % 160 == 0 else rng.choice(["zornig", "zornige", "zornigen"])
+            text[9] = "trottel"
+        else:
+            text[5] = "trotten"
+        rows.append((i, " ".join(text), int(i % 2 == 0)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon, misspelled, weights = toxicity.learn_lexicon(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    scorer = toxicity.Scorer(lexicon, misspelled, weights)
+    assert any(t.endswith("*") for t in lexicon) and "murkswort" in lexicon
+    assert scorer.match("murksw0rt")[:2] == ("murkswort", 1)
+    assert scorer.match("z0rnigen")[0].endswith("*") and scorer.match("z0rnigen")[1] == 1
+    assert scorer.features("ein murksw0rt")[5] > 0 and scorer.features("sie z0rnigen")[5] > 0
+    assert scorer.features("sie trotten")[5] == 0 < scorer.features("ein tr0ttel")[5]
+
+
 def test_quotation_is_not_abuse():
     scorer = toxicity.Scorer({"moron": 5.0}, {"moron"})
     abuse, quoted = scorer.features("you are such a moron today"), scorer.features('he wrote "moron" on the wall')
