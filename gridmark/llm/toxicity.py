@@ -31,7 +31,6 @@ from gridmark.session import materialize
 LEXICON_ROWS, FIT_ROWS = 30_000, 15_000
 STEMS = range(3, 9)  # lengths of stems
 MIN_TOXIC, MIN_ODDS, MAX_TERMS = 5, 2.0, 500
-HEAD = 40  # code points by which copies are told while learning
 PRIOR = 2.0  # documents with a misspelling that weigh as much as the odds of the word itself
 ONE_WORD = 0.85  # a stem is left to its word if that word has so much of the stem's toxic documents
 WINDOW = 8
@@ -73,8 +72,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float],
     MAX_TERMS terms at most. Misspellings are sought of all words among them, and of the words behind stems that
     MIN_TOXIC toxic documents hold.
     """
-    # Copies would give the words of one toxic text the weight of many; texts that begin alike count once.
-    picked = docs.join(F.broadcast(labels), "doc_id").withColumn("head", F.substring("text", 1, HEAD)).dropDuplicates(["head"]).select("text", "toxic")
+    # Copies would give the words of one toxic text the weight of many; whole texts count once a label.
+    picked = materialize(docs.join(F.broadcast(labels), "doc_id").select("text", "toxic").dropDuplicates(["text", "toxic"]))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):

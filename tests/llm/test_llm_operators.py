@@ -412,6 +412,16 @@ def test_misspellings_of_all_terms_count(spark):
     assert scorer.features("sie trotten")[5] == 0 < scorer.features("ein tr0ttel")[5]
 
 
+def test_texts_that_begin_alike_are_learned_each(spark):
+    """Documents of a source with a fixed header; copies count once, with each of their labels."""
+    head = "This text is published under the licence of its source. "
+    rows = [(i, head + (f"murkswort number {i}" if i % 2 else f"harmless number {i}"), i % 2) for i in range(200)]
+    rows += [(1000 + i, "kopie kopie", 1) for i in range(50)] + [(2000, "kopie kopie", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon, _, _ = toxicity.learn_lexicon(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "murkswort" in lexicon and not any("harmless".startswith(t.rstrip("*")) or "kopie".startswith(t.rstrip("*")) for t in lexicon)
+
+
 def test_quotation_is_not_abuse():
     scorer = toxicity.Scorer({"moron": 5.0}, {"moron"})
     abuse, quoted = scorer.features("you are such a moron today"), scorer.features('he wrote "moron" on the wall')
