@@ -42,12 +42,16 @@ def scaled_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
 
 
 class SortedLists:
-    """One block: candidates, and per dimension and depth the set of those met, as bits."""
+    """One block: candidates, and per dimension and depth the set of those met, as bits.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    `longest` is the largest component of the queries, which need not be candidates of this block. Numbers are of a
+    kind that holds all products and sums exactly.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: int):
         n, dims = vectors.shape
         self.ids = ids
-        largest = float(np.abs(vectors).max(initial=0)) ** 2 * max(dims, 1)
+        largest = max(1.0, float(np.abs(vectors).max(initial=0))) * max(1.0, float(longest)) * max(dims, 1)
         self.kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else object
         self.vectors = vectors.astype(self.kind)
         order = np.argsort(-vectors, axis=0, kind="stable")
@@ -108,7 +112,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64) -> DataFra
         ask = rows[rows["asks"]]
         rest = rows[~rows["asks"]]
         if len(ask) and len(rest):
-            lists = SortedLists(rest["vec_id"].to_numpy(np.int64), np.stack(rest["v"].to_numpy()).reshape(len(rest), -1))
+            longest = np.abs(np.stack(ask["v"].to_numpy())).max(initial=0)
+            lists = SortedLists(rest["vec_id"].to_numpy(np.int64), np.stack(rest["v"].to_numpy()).reshape(len(rest), -1), longest)
             for query_id, query in zip(ask["vec_id"], ask["v"], strict=True):
                 ids, scores = lists.search(query_id, np.asarray(query), k)
                 found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores.astype(np.int64)}))

@@ -82,6 +82,18 @@ def test_top_k(spark):
     assert topk.top_k(empty(vectors), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_a_long_query_among_several_blocks(spark, monkeypatch):
+    """The query's own block is not the only one whose numbers must hold its products."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = random.Random(8)
+    vectors = {i: [rng.choice([299, 300]) for _ in range(64)] for i in range(1, 100)}
+    vectors[0] = [rng.choice([1499, 1501]) for _ in range(64)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "vec_id bigint, embedding array<double>")
+    found = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0, k=20, scale=1).collect())
+    best = sorted((-sum(a * b for a, b in zip(vectors[0], v, strict=True)), i) for i, v in vectors.items() if i)[:20]
+    assert found == [(rank, i, -score) for rank, (score, i) in enumerate(best, 1)]
+
+
 def test_quality_counts_and_verdicts(docs, labels, odd):
     rows = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
     for doc_id, text, *_ in corpus():
