@@ -4,8 +4,8 @@ The fixed patterns give the seeds: e-mail addresses, IP addresses, card and phon
 that hold a digit or an at sign are instances; the words around them are their patterns: the two words
 before, the word before, and the words on both sides. On the graph of patterns and instances, seeds
 score 1. In every round a pattern's confidence is the mean score of its instances, lowered where it has few,
-and an instance's score the mean confidence of its patterns. At last, tokens that no seed
-covers, in the context of a pattern of high confidence that seeds support SUPPORT times, become spans of kind `id`.
+and an instance's score the mean confidence of its patterns. At last, believed tokens where no seed
+covers them, in the context of a pattern of high confidence that seeds support SUPPORT times, become spans of kind `id`.
 
 All of it is DataFrame functions. Positions come from splitting a text at the matches: the lengths of
 gaps and matches add up to them. The regular expressions are possessive, so they neither backtrack
@@ -149,10 +149,9 @@ def instances(spans: DataFrame) -> DataFrame:
 
 def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(pattern, confidence) of those that are trusted, and (token, score) of those that are believed."""
-    edges = materialize(
-        found.select(F.explode("patterns").alias("pattern"), "token", "seed", "row")
-        .groupBy("pattern", "token").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("int")).alias("seed"))
-    )
+    seeds = found.where("seed").select("token", F.lit(1).alias("seed")).distinct()  # also where no words are around
+    edges = found.select(F.explode("patterns").alias("pattern"), "token").groupBy("pattern", "token").agg(F.count("*").alias("n"))
+    edges = materialize(edges.join(seeds, "token", "left").select("pattern", "token", "n", F.coalesce("seed", F.lit(0)).alias("seed")))
     scores = materialize(edges.groupBy("token").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed")))
     for _ in range(rounds):
         weighed = edges.drop("seed").join(scores, "token").groupBy("pattern").agg(
@@ -164,11 +163,11 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFram
         )
         scores = materialize(back.select("token", F.when(F.col("seed") > 0, 1.0).otherwise(F.col("score")).alias("score"), "seed"))
     trusted = patterns.where((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= SUPPORT)).select("pattern", "confidence")
-    return trusted, scores.where((F.col("seed") == 0) & (F.col("score") >= BELIEVED)).select("token", "score")
+    return trusted, scores.where(F.col("score") >= BELIEVED).select("token", "score")
 
 
 def discovered(found: DataFrame) -> DataFrame:
-    """row, start, end of tokens that no seed covers and that trusted patterns find."""
+    """row, start, end of tokens that trusted patterns find where no seed covers them, whatever covers them elsewhere."""
     trusted, believed = confident_patterns(found)
     open_ = found.where(~F.col("seed")).join(believed, "token", "left_semi")
     hits = open_.select("row", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")

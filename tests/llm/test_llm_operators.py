@@ -227,6 +227,16 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[100] == "please note contact number: [ID], thank you" and "[PHONE]" in clean[0] and clean[200] == text[200]
 
 
+def test_contexts_find_what_base_spans_cover_elsewhere(spark):
+    rows = [(i, f"please note contact number: +49 30 1234567{i % 10} thank you") for i in range(30)]
+    rows += [(100, "reach them at +49 0171-5551234 today"), (101, "please note contact number: 0171-5551234, thank you"), (102, "lot 0171-5551234 is sold")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["spans"] for r in personal_data.personal_data(df).collect()}
+    assert found[100].startswith("phone:") and "id" not in found[100] and found[102] == ""
+    assert found[101] == "id:28:40"
+    assert {r["doc_id"]: r["text"] for r in personal_data.redact(df).collect()}[101] == "please note contact number: [ID], thank you"
+
+
 def test_mixing(spark, docs, odd):
     rows = mixing.token_rows(docs)
     plan = {r["source"]: r for r in mixing.mixing_plan(rows).collect()}
