@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import chat, mixing, near_duplicates, packing, personal_data, quality, repeats, token_orc, topk, toxicity
+from gridmark.llm import chat, merkle, mixing, near_duplicates, packing, personal_data, quality, repeats, token_orc, topk, toxicity, twins
 from gridmark.llm.tables import table
 
 
@@ -60,6 +60,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and what verification says where texts were lower-cased."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    changed = {"text": merkle.lower_ascii(F.col("text"))}
+    return merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents"), changed=tampered, change=changed))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -68,7 +75,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_topk_search, op2_quality_rules, op3_temperature_mixing, op4_chat_format, op5_toxicity, op6_token_orc,
-        op7_best_fit_packing, op8_suffix_repeats, op9_personal_data, op10_ngram_jaccard, pipeline,
+        op7_best_fit_packing, op8_suffix_repeats, op9_personal_data, op10_ngram_jaccard,
+        op11_merkle_manifest, pipeline,
     )
 }
 
@@ -103,4 +111,5 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
                    + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """,
+    "op11_merkle_manifest": twins.merkle_manifest(),
 }
