@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import chat, merkle, mixing, near_duplicates, packing, personal_data, quality, repeats, token_orc, topk, toxicity, twins
+from gridmark.llm import chat, collocations, language, merkle, mixing, near_duplicates, packing, personal_data, quality, repeats, token_orc, topk, toxicity, twins
 from gridmark.llm.tables import table
 
 
@@ -67,6 +67,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents"), changed=tampered, change=changed))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages learned from three quarters of the documents; the last quarter is held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = language.identify(docs, language.learn_samples(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -76,7 +88,7 @@ QUERIES = {
     for f in (
         op1_topk_search, op2_quality_rules, op3_temperature_mixing, op4_chat_format, op5_toxicity, op6_token_orc,
         op7_best_fit_packing, op8_suffix_repeats, op9_personal_data, op10_ngram_jaccard,
-        op11_merkle_manifest, pipeline,
+        op11_merkle_manifest, op12_language_id, op13_collocations, pipeline,
     )
 }
 
@@ -112,4 +124,5 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """,
     "op11_merkle_manifest": twins.merkle_manifest(),
+    "op13_collocations": twins.collocations(),
 }

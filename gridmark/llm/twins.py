@@ -65,3 +65,39 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM utop) AS root, sha256(proof) AS pro
        folded = (SELECT h FROM utop) AS verified
 FROM done
 """
+
+
+def collocations() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(string_split_regex(translate(text, '{upper}', '{upper.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p
+), t AS (
+  SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang
+), grams AS (
+  SELECT lang, k, unnest(list_transform(generate_series(1, len(ws) - k + 1), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT lang, k, phrase, f, cut, array_to_string(string_split(phrase, ' ')[:cut], ' ') AS x, array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') AS y
+  FROM f, (SELECT unnest([1, 2]) AS cut) WHERE cut < k
+), s AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, cut, a.f AS l, b.f AS r,
+         CAST((1000000::HUGEINT * c.f * c.f) // (a.f::HUGEINT * b.f) AS BIGINT) AS score
+  FROM cuts c JOIN f a ON a.lang = c.lang AND a.phrase = c.x JOIN f b ON b.lang = c.lang AND b.phrase = c.y
+), best AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), nested AS (
+  SELECT lang, part, max(f) AS longer FROM (
+    SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[:2], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) AS part FROM f WHERE k = 3
+  ) GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best b JOIN t ON t.lang = b.lang LEFT JOIN nested x ON x.lang = b.lang AND x.part = b.phrase
+WHERE x.longer IS NULL OR 100 * x.longer < 50 * a
+QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
