@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import views as v
 from gridmark.functions import paths
 from gridmark.operators import dedup, files, split, standardize, summary
+from gridmark.session import shared_folder
 from gridmark.sources import coco, voc
 
 QUERIES: dict = {}
@@ -341,6 +344,23 @@ def coco_join(spark, sf_dir):
     )
 
 
+@query(f"""WITH {PIXELS}, b AS (SELECT CASE WHEN l_orderkey % 50 % 7 > 0 THEN 's' || l_suppkey || '/i' || (l_orderkey % 50) || '.jpg' END AS file_name,
+    l_orderkey % 50 AS image_id, CAST(cat AS VARCHAR) AS raw_label,
+    CASE WHEN l_suppkey % 2 = 0 THEN 800.0 ELSE 400.0 END AS iw, x0, y0, pw, ph, l_orderkey % 50 % 7 > 0 AS listed FROM v_px)
+SELECT file_name, image_id, raw_label, listed AS image_listed,
+  CASE WHEN listed THEN round(x0 / iw + pw / iw / 2.0, 6) END AS xc, CASE WHEN listed THEN round(y0 / 600.0 + ph / 600.0 / 2.0, 6) END AS yc,
+  CASE WHEN listed THEN round(pw / iw, 6) END AS w, CASE WHEN listed THEN round(ph / 600.0, 6) END AS h FROM b""")
+def coco_elements(spark, sf_dir):
+    """Documents stored as text and read back by byte ranges that cut them anywhere."""
+    docs = supplier_documents(spark, sf_dir)
+    named = F.transform("images", lambda i: i.withField("file_name", F.concat(F.lit("s"), F.col("path").cast("string"), F.lit("/"), i["file_name"])))
+    text = docs.select(F.to_json(F.struct(named.alias("images"), "annotations")).alias("value"))
+    folder = f"{shared_folder(spark).rstrip('/')}/coco-{uuid.uuid4().hex}"
+    text.write.text(folder)
+    found = coco.element_annotations(coco.read_elements(spark, folder, size=1 << 18))
+    return found.select("file_name", "image_id", "raw_label", "image_listed", *[v.r6(F.col(c), c) for c in ("xc", "yc", "w", "h")])
+
+
 @query("""SELECT l_suppkey AS path, CAST(count(DISTINCT l_orderkey % 50) FILTER (l_orderkey % 50 % 7 > 0) AS INTEGER) AS images,
   CAST(count(*) AS INTEGER) AS boxes, 0 AS categories FROM lineitem GROUP BY 1""")
 def coco_counts(spark, sf_dir):

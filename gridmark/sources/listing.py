@@ -39,7 +39,14 @@ def qualified(spark: SparkSession, path: str) -> str:
     return plain(full)
 
 
-def _system(path: str):
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, through the file system Spark writes with; nothing there is fine."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def file_system(path: str):
     """Arrow's file system of a remote path; it knows the object store Hadoop calls s3a as s3."""
     from pyarrow import fs
 
@@ -55,10 +62,26 @@ def exists(path: str) -> bool:
         return os.path.exists(plain(path))
     from pyarrow import fs
 
-    system, inner = _system(path)
+    system, inner = file_system(path)
     return system.get_file_info(inner).type != fs.FileType.NotFound
 
 
+def is_folder(path: str) -> bool:
+    if is_local(path):
+        return os.path.isdir(plain(path))
+    from pyarrow import fs
+
+    system, inner = file_system(path)
+    return system.get_file_info(inner).type == fs.FileType.Directory
+
+
+def file_size(path: str) -> int:
+    if is_local(path):
+        return os.path.getsize(plain(path))
+    system, inner = file_system(path)
+    return system.get_file_info(inner).size
+
+
 def entries(path: str) -> Iterator[tuple[str, bool, int]]:
     """(path, is directory, size) of one directory level."""
     if is_local(path):
@@ -69,7 +92,7 @@ def entries(path: str) -> Iterator[tuple[str, bool, int]]:
         return
     from pyarrow import fs
 
-    system, inner = _system(path)
+    system, inner = file_system(path)
     scheme = path[: path.index(inner)] if inner in path else ""
     for info in system.get_file_info(fs.FileSelector(inner)):
         yield scheme + info.path, info.type == fs.FileType.Directory, info.size or 0

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import struct
 import zlib
 
@@ -9,14 +10,14 @@ from pyspark.sql import functions as F
 
 from gridmark import sinks
 from gridmark.config import AuditConfig, ScreenWeights
-from gridmark.errors import EmptyDatasetError
+from gridmark.errors import EmptyDatasetError, GridmarkError
 from gridmark.functions import pixels as px
 from gridmark.operators import features, parallax, positions
 from gridmark.plans import audit as audit_plan
 from gridmark.plans import build as build_plan
 from gridmark.plans import diagnose
 from gridmark.plans.standardize import standardize_folder
-from gridmark.sources import coco, images, labels, listing, tables, voc
+from gridmark.sources import coco, images, json_ranges, labels, listing, tables, voc
 from gridmark.streaming import incremental
 from tests.conftest import rows
 
@@ -94,6 +95,79 @@ def test_coco_documents(spark, tmp_path):
     assert rows(coco.unlisted_images(found), "image_id", "violation_type", "xc") == [(8, "unlisted_image", None)]
 
 
+def test_coco_images_listed_twice_and_equal_keys(spark):
+    for n in (2, 40):  # matched within the row, and by a shuffle
+        images = [(i % (n // 2), f"{i}.jpg", 100 * (1 + i), 100) for i in range(n)]
+        docs = spark.createDataFrame(
+            [("k", images, ([(0, 1, [10.0, 10.0, 20.0, 20.0], None), (99, 2, [1.0, 2.0, 3.0, 4.0], None)],)),
+             ("k", [(0, "z.jpg", 400, 400)] * n, ([(0, 3, [10.0, 10.0, 20.0, 20.0], 0.5)],)), ("k", None, None)],
+            f"path STRING, images ARRAY<{coco.IMAGE}>, annotations STRUCT<pieces: ARRAY<{coco.PIECE}>>",
+        )
+        got = sorted(rows(coco.annotations(docs), "path", "file_name", "raw_label", "image_listed", "w"), key=str)
+        assert got == [("k", "0.jpg", "1", True, 0.2), ("k", "z.jpg", "3", True, 0.05), ("k", None, "2", False, None)]
+
+
+def coco_text(seed, n, nested=True, indent=None):
+    """A document with strings that look like JSON, escapes, nested values and fields of wrong types."""
+    rng = random.Random(seed)
+    odd = ['a.jpg', '"},{"id": 3', "\\", 'x\\"', "[{]}", "é\u2028", "", "\\\\\"{"]
+    images = [{"id": rng.choice([i, i, 0, None, "7", True]), "file_name": rng.choice(odd) + str(i), "width": rng.choice([100, 200, None, 1.5]), "height": 100,
+               "extra": {"id": 5, "tags": [[1], {"images": [{"id": 1}]}]}} for i in range(n)]
+    pieces = [{"image_id": rng.randrange(n + 1), "category_id": rng.choice([1, 2, None]), "bbox": rng.choice([[1, 2, 3, 4.5], [1], None, [5, 6, 7, 8, 9]]),
+               "segmentation": [[1, 2], {"counts": "]}"}], **rng.choice([{}, {"score": 0.25}, {"score": "high"}])} for _ in range(3 * n)]
+    body = {"info": {"images": [{"id": 1}], "pieces": [{"image_id": 0}], "note": rng.choice(odd)}, "images": images,
+            "annotations": {"all": [1], "pieces": pieces} if nested else pieces, "categories": [{"id": 1, "name": rng.choice(odd)}, None, 3]}
+    return json.dumps(body, indent=indent, ensure_ascii=bool(seed % 2)), body
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_elements_of_ranges_of_any_size(tmp_path, seed):
+    texts = [coco_text(100 * seed + i, 1 + seed, nested=i % 2 == 0, indent=[None, 1][i // 2 % 2]) for i in range(4)]
+    data = "\n".join(t for t, _ in texts).encode()
+    put(tmp_path, "d.json", data)
+    path = str(tmp_path / "d.json")
+    for size in (1, 7, 64, 1000, len(data), 10**6) if seed == 0 else (13, 333):
+        summaries = []
+        for start in range(0, len(data), size):
+            for state in (json_ranges.OUTSIDE, json_ranges.STRING, json_ranges.ESCAPE):
+                part = json_ranges.scan(data[start : start + size], state)
+                left = part.left_open()
+                summaries.append({"path": path, "start": start, "end": min(len(data), start + size), "state": state, "after": part.state, "closed": part.closed,
+                                  "at": (part.at[left] + start).tolist(), "array": (part.char[left] == 91).tolist()})
+        got = {}
+        for where, start, end, state, opens in json_ranges._contexts(summaries):
+            row = {"path": where, "start": start, "end": end, "state": state, "opens": [dict(zip(("at", "array", "key"), o)) for o in opens]}
+            for part in json_ranges.elements(row, coco.ARRAYS):
+                got.setdefault(part.document, {}).setdefault(part.kind, []).extend(part.values)
+        offset = 0
+        for text, body in texts:
+            pieces = body["annotations"] if isinstance(body["annotations"], list) else body["annotations"]["pieces"]
+            assert got[offset] == {"image": body["images"], "piece": pieces, "category": body["categories"][:1]}
+            offset += len(text.encode()) + 1
+        assert len(got) == 4
+
+
+def test_one_large_document_is_read_by_many_tasks(spark, tmp_path):
+    n = 200_000
+    pieces = ",".join(f'{{"image_id": {i % 10_800}, "category_id": {i % 12 + 1}, "bbox": [{i % 700}, 20, 30, {i % 50 + 1}]}}' for i in range(n))
+    images = ",".join(f'{{"id": {i}, "file_name": "{i}.jpg", "width": 800, "height": 600}}' for i in range(10_800) if i != 77)
+    put(tmp_path, "in/x.json", '{"images": [' + images + '], "annotations": {"pieces": [' + pieces + "]}}")
+    small = coco.annotations(coco.read_documents(spark, str(tmp_path / "in"))).drop("path")
+    elements = coco.read_elements(spark, str(tmp_path / "in"), size=1 << 20)
+    large = coco.element_annotations(elements).drop("path", "document")
+    tasks = elements.filter("kind = 'piece'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 5 and sum(r["count"] for r in tasks) == n and max(r["count"] for r in tasks) < n // 2
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    assert digest(large.select(small.columns)) == digest(small)
+    assert large.filter("NOT image_listed").count() == sum(i % 10_800 == 77 for i in range(n))
+
+
+def test_broken_documents_are_refused(spark, tmp_path):
+    put(tmp_path, "a/x.json", '{"images": [' + '{"id": 1},' * 50 + "]}}" + " " * 500)
+    with pytest.raises(GridmarkError):
+        coco.read_elements(spark, str(tmp_path / "a"), size=100).count()
+
+
 def test_voc_documents(spark, tmp_path):
     obj = "<object><name> {} </name><bndbox><xmin>{}</xmin><ymin>{}</ymin><xmax>{}</xmax><ymax>{}</ymax></bndbox></object>"
     size = "<size><width>800</width><height>800</height></size>"
@@ -479,6 +553,58 @@ def test_stream_audit_equals_batch(spark, tmp_path):
     assert (None, None, 4) in set(rows(got))
 
 
+def test_stream_updates_merge_by_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "COMPACT_EVERY", 3)
+    keys, target = ["violation_type", "severity"], str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+    counts = lambda: incremental.run_once(
+        incremental.audit_counts(incremental.read_label_stream(spark, str(tmp_path / "in"), files_per_trigger=1)), "update", target, keys)
+    assert rows(counts()) == []
+    for i in range(8):
+        put(tmp_path, f"in/{i}.txt", f"{i * 5} .5 .5 .1 .1\n0 .5 .5 .001 .1\n0 nan .5 .1 .1\n")
+        if i in (1, 4, 7):  # a run that ends and another one that goes on
+            n = i + 1
+            expected = {(None, None, min(n, 3)), ("degenerate_box", "WARNING", n), ("nan_or_inf_value", "ERROR", n)}
+            expected |= {("invalid_class_id", "ERROR", n - 3)} if n > 3 else set()
+            assert set(rows(counts())) == expected
+    table = tmp_path / "out" / "table"
+    assert sorted(p.name for p in (table / "level=1").iterdir()) == ["batch_id=5"]
+    # A batch that runs again after a failure replaces what it wrote.
+    batch = spark.createDataFrame([("nan_or_inf_value", "ERROR", 8)], "violation_type STRING, severity STRING, n LONG")
+    before = set(rows(incremental.read_keyed(spark, str(table), batch.schema, keys)))
+    for _ in range(2):
+        incremental.merge_batch(batch, 7, str(table), keys)
+    assert ("nan_or_inf_value", "ERROR", 8) in before
+    assert [r for r in rows(incremental.read_keyed(spark, str(table), batch.schema, keys)) if r[0] == "nan_or_inf_value"] == [("nan_or_inf_value", "ERROR", 8)]
+
+
+def test_frames_behind_the_watermark_are_dropped(spark, tmp_path):
+    schema, target = "cam STRING, ts TIMESTAMP, n INT", str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+
+    def arrive(*frames):
+        data = spark.createDataFrame([(c, t, n) for c, t, n in frames], "cam STRING, t STRING, n INT")
+        data.select("cam", F.to_timestamp("t").alias("ts"), "n").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        sampled = incremental.first_frames(stream, ["cam"], interval="1 minute", delay="2 minutes", ties=("n",))
+        done = incremental.run_once(sampled, "update", target, ["cam", "window_start", "window_end"])
+        return {(c, t.strftime("%H:%M"), n, k) for c, t, n, k in rows(done, "cam", "window_start", "n", "frames")}
+
+    day = "2024-01-01 "
+    first = arrive(("a", day + "10:00:30", 1), ("a", day + "10:00:10", 2), ("a", day + "10:00:10", 3), ("b", day + "10:00:05", 4), ("a", None, 5))
+    assert first == {("a", "10:00", 2, 3), ("b", "10:00", 4, 1)}
+    second = arrive(("a", day + "10:03:10", 6))
+    assert second == first | {("a", "10:03", 6, 1)}
+    # The watermark is at 10:01:10: the interval of 10:00 is closed, that of 10:01 is not.
+    assert arrive(("a", day + "10:00:01", 7), ("a", day + "10:01:40", 8)) == second | {("a", "10:01", 8, 1)}
+
+
+def test_stream_without_input(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("sha256 STRING, ts TIMESTAMP").parquet(str(tmp_path / "in"))
+    assert rows(incremental.run_once(incremental.dedup_stream(stream))) == []
+
+
 def test_stream_dedup_equals_batch(spark, tmp_path):
     data = [(f"h{i % 7}", f"2024-01-01 00:{i:02d}:00") for i in range(30)]
     df = spark.createDataFrame(data, "sha256 STRING, t STRING").select("sha256", F.col("t").cast("timestamp").alias("ts"))
