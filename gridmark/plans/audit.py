@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridmark import sinks
 from gridmark.config import AuditConfig
 from gridmark.operators import audit, pairing
+from gridmark.session import materialize
 from gridmark.sources import images, labels, listing
 
 
@@ -48,9 +49,14 @@ class Audited:
 
 
 def audit_folder(spark: SparkSession, root: str, cfg: AuditConfig = AuditConfig()) -> Audited:
-    """Pair images and labels, check images, and audit every line of matched labels."""
+    """Pair images and labels, check images, and audit every line of matched labels.
+
+    Pairs and audited lines are stored once, so that the sections of the report neither read a file nor decode a
+    picture again.
+    """
+    given, root = root, listing.qualified(spark, root)
     if not listing.exists(root):
-        return Audited(root, audit.missing_target(spark, root))
+        return Audited(given, audit.missing_target(spark, given))
     tree = listing.list_files(spark, root)
     pairs = pairing.discover_pairs(tree, cfg)
     contents = labels.read_label_text(spark, root).select(
@@ -68,13 +74,14 @@ def audit_folder(spark: SparkSession, root: str, cfg: AuditConfig = AuditConfig(
         errors = images.image_errors(spark, root, tree).withColumnRenamed("rel_path", "_image")
         probe = F.coalesce("image_path", F.concat(F.lit("?"), F.col("pair_key")))
         pairs = pairs.join(errors, probe == F.col("_image"), "left").drop("_image")
+    pairs = materialize(pairs)
     matched = pairing.matched(pairs).select("label_path")
     lines = labels.label_lines(contents.drop("_blank").join(matched, "label_path", "left_semi"))
-    audited = audit.audit_lines(lines, cfg)
+    audited = materialize(audit.audit_lines(lines, cfg))
     violations = pairing.pair_violations(pairs).unionByName(
         audit.line_violations(audited, file="label_path")
     )
-    return Audited(root, violations, pairs, audited)
+    return Audited(given, violations, pairs, audited)
 
 
 def audit_folders(spark: SparkSession, roots: list[str], cfg: AuditConfig = AuditConfig()) -> DataFrame:

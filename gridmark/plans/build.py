@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from gridmark import sinks
 from gridmark.config import SplitRatio
 from gridmark.errors import EmptyDatasetError
+from gridmark.file_sink import write_files
 from gridmark.functions.paths import export_name, is_label
 from gridmark.operators import dedup, files, pairing, split, summary
-from gridmark.session import materialize
+from gridmark.session import discard, materialize
 from gridmark.sources import images, labels, listing
 from gridmark.vocabulary import Vocabulary
 
@@ -62,13 +63,22 @@ def _label_counts(spark: SparkSession, root: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Built:
-    """Lazy results of a build; nothing is written before ``write``."""
+    """Lazy results of a build; nothing is written to a target before ``write`` or ``export``.
+
+    They read the stored scan. As a context manager, a build deletes it at the end; else it goes when the driver ends.
+    """
 
     scanned: DataFrame
     samples: DataFrame
     ratios: SplitRatio
     vocab: Vocabulary
 
+    def __enter__(self) -> Built:
+        return self
+
+    def __exit__(self, *error) -> None:
+        discard(self.scanned)
+
     @property
     def report(self) -> DataFrame:
         return dedup.dedup_report(self.scanned)
@@ -102,6 +112,10 @@ class Built:
             summary.domain_totals(self.samples), self.ratios, self.vocab,
         )
 
+    def export(self, target: str) -> DataFrame:
+        """Images and labels as files below `images/<split>` and `labels/<split>`, all or none; returns (rel_path, length)."""
+        return write_files(sinks.dataset_files(self.samples), target)
+
     def write(self, target: str) -> None:
         """Samples partitioned by split, and the manifest."""
         sinks.write_table(self.samples, f"{target}/samples", "split")

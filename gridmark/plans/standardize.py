@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmark import sinks
+from gridmark.file_sink import write_files
 from gridmark.functions.paths import is_label
 from gridmark.operators import standardize as ops
 from gridmark.sources import labels, listing
@@ -34,8 +35,8 @@ class Standardized:
         return ops.class_counts(ops.valid_annotations(self.boxes))
 
     def write(self, target: str) -> DataFrame:
-        """One canonical label file per input file; returns what was written."""
-        return sinks.write_label_files(sinks.label_files(self.annotations, self.files), target)
+        """One canonical label file per input file, all or none; returns (rel_path, length) of what is there then."""
+        return write_files(sinks.label_files(self.annotations, self.files), target)
 
 
 def standardize_folder(

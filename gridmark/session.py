@@ -20,6 +20,7 @@ DEFAULTS = {
     # interpreted, so Spark should use its split, per-operator code instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+STAGE = "stage-"
 
 
 def local_session(cores: int | str = "*", name: str = "gridmark", **extra: str) -> SparkSession:
@@ -47,8 +48,21 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it back.
 
     The Parquet copy survives lost executors, cuts the lineage, and lets later
-    passes read only the columns they need.
+    passes read only the columns they need. It is deleted when the driver ends, or by ``discard``.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{STAGE}{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the stored copies a materialized DataFrame reads; it cannot be read any more."""
+    context = df.sparkSession.sparkContext
+    folders = {file.rpartition("/")[0] for file in df.inputFiles()}
+    for folder in folders:
+        if folder.rpartition("/")[2].startswith(STAGE):
+            place = context._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import posixpath
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmark.config import SPLITS, SplitRatio
+from gridmark.functions.paths import stem
 from gridmark.operators.standardize import OUT_BOX, label_line
-from gridmark.sources.listing import is_local, plain
 from gridmark.vocabulary import Vocabulary
 
 
@@ -47,38 +42,17 @@ def label_files(annotations: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def write_label_files(labels: DataFrame, target: str) -> DataFrame:
-    """Write each label file and return (rel_path, length); lazy until used.
+def dataset_files(samples: DataFrame) -> DataFrame:
+    """(rel_path, copy_from) of every file of a built dataset: `images/<split>/` and `labels/<split>/`.
 
-    Every file is written aside and moved into place, so a task that runs again
-    after a lost executor leaves the same result.
+    Every image has a label file; that of a negative, or of a sample without one, is empty.
     """
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes = []
-            for rel_path, content in batch[["rel_path", "content"]].itertuples(index=False):
-                data = content.encode("utf-8")
-                _replace(posixpath.join(target.rstrip("/"), rel_path), data)
-                sizes.append(len(data))
-            yield pd.DataFrame({"rel_path": batch["rel_path"], "length": sizes})
-
-    return labels.select("rel_path", "content").mapInPandas(save, "rel_path STRING, length BIGINT")
-
-
-def _replace(path: str, data: bytes) -> None:
-    if is_local(path):
-        path = plain(path)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        aside = f"{path}.{os.getpid()}.tmp"
-        with open(aside, "wb") as handle:
-            handle.write(data)
-        os.replace(aside, path)
-        return
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
-    with system.open_output_stream(inner) as handle:
-        handle.write(data)
+    label = F.concat(F.lit("labels/"), "split", F.lit("/"), stem(F.col("export_name")), F.lit(".txt"))
+    image = F.concat(F.lit("images/"), "split", F.lit("/"), "export_name")
+    return samples.select(F.inline(F.array(
+        F.struct(image.alias("rel_path"), F.col("image_path").alias("copy_from")),
+        F.struct(label.alias("rel_path"), F.when(~F.col("is_negative"), F.col("label_path")).alias("copy_from")),
+    )))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridmark import sinks
+from gridmark import file_sink, sinks
 from gridmark.config import AuditConfig, ScreenWeights
 from gridmark.errors import EmptyDatasetError, GridmarkError
 from gridmark.functions import pixels as px
@@ -289,6 +289,7 @@ def test_build_end_to_end(spark, tmp_path):
     samples = build_plan.scan_pool(spark, str(tmp_path / "phys"), "physical_3d", "phys").unionByName(
         build_plan.scan_pool(spark, str(tmp_path / "dig"), "digital_2d", "dig"))
     dry = build_plan.build_dataset(samples)
+    dry_path = dry.scanned.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
     assert not (tmp_path / "out").exists()
     for table in (dry.report, dry.duplicates, dry.samples, dry.manifest):  # contents were read once, before
         assert "binaryFile" not in table._jdf.queryExecution().toString()
@@ -305,10 +306,46 @@ def test_build_end_to_end(spark, tmp_path):
     dry.write(str(tmp_path / "out"))
     stored = spark.read.parquet(str(tmp_path / "out/samples"))
     assert stored.count() == 20 and set(r for (r,) in rows(stored.select("split").distinct())) <= {"train", "val", "test"}
+    # Files: an image and a label each, empty for negatives; a second run leaves the same, and other things stay.
+    put(tmp_path, "files/labels/train/stale.txt", "x")
+    put(tmp_path, "files/notes.md", "kept")
+    for _ in range(2):
+        files = dict(rows(dry.export(str(tmp_path / "files"))))
+        names = {(split, name) for split, name in rows(dry.samples.select("split", "export_name"))}
+        assert set(files) == {f"images/{s}/{n}" for s, n in names} | {f"labels/{s}/{n.removesuffix('.png')}.txt" for s, n in names} | {"notes.md"}
+    assert sum(size == 0 for name, size in files.items() if name.startswith("labels/")) == 3
+    one = next(f"{s}/{n}" for s, n in names if n == "phy_phys_p3.png")
+    assert (tmp_path / "files/images" / one).read_bytes() == solid(13)
+    assert (tmp_path / "files/labels" / one).with_suffix(".txt").read_text() == "0 .5 .5 .1 .1\n"
+    with dry as built:
+        assert built.samples.count() == 20
+    assert not os.path.exists(dry_path)
     with pytest.raises(EmptyDatasetError):
         build_plan.build_dataset(samples.limit(0))
 
 
+def test_file_sink_is_all_or_nothing(spark, tmp_path):
+    target = tmp_path / "t"
+    good = spark.createDataFrame([(f"labels/{i % 3}/{i}.txt", f"{i}\n" if i % 2 else None) for i in range(40)], "rel_path STRING, content STRING")
+    file_sink.write_files(good.repartition(5), str(target))
+    before = sorted((str(p.relative_to(target)), p.read_bytes()) for p in target.rglob("*") if p.is_file())
+    assert len(before) == 40 and sum(len(b) == 0 for _, b in before) == 20
+    lost = spark.range(30).select(
+        F.concat(F.lit("labels/new"), "id").alias("rel_path"), F.lit("x").alias("content"),
+        F.when(F.col("id") == 29, str(tmp_path / "not there")).alias("copy_from"),
+    )
+    with pytest.raises(Exception, match="not there"):
+        file_sink.write_files(lost.repartition(4), str(target))
+    for name in ("../out.txt", "/abs", "a//b", None):
+        with pytest.raises(Exception, match="cannot write a file named"):
+            file_sink.write_files(spark.createDataFrame([(name, "x")], "rel_path STRING, content STRING"), str(target))
+    with pytest.raises(GridmarkError, match="would be named"):
+        file_sink.write_files(spark.createDataFrame([("a", "x"), ("a", "y")], "rel_path STRING, content STRING"), str(target))
+    assert sorted(os.listdir(target)) == ["labels"] and not (tmp_path / "out.txt").exists()
+    assert sorted((str(p.relative_to(target)), p.read_bytes()) for p in target.rglob("*") if p.is_file()) == before
+    assert rows(file_sink.write_files(good.limit(0), str(tmp_path / "empty"))) == []
+
+
 def test_same_pool_by_any_path(spark, tmp_path, monkeypatch):
     """Absolute, relative, the pool or its images folder: the same samples."""
     for i in range(6):
