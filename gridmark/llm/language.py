@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmark.llm.tables import slices, utf8_column
@@ -32,6 +32,7 @@ from gridmark.session import materialize
 
 MAX_LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 64, 400, 2000
 MODEL_SYMBOLS = 1 << 17
+CELL_BITS = 12
 LETTERS = 60  # letters that automata know, the most frequent of the sample; others match nothing
 SEGMENT = 1024
 UNKNOWN = "und"
@@ -211,6 +212,19 @@ def _model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
     return Model({name: list(texts) for name, texts in samples})
 
 
+def _first_hashes(once: DataFrame) -> DataFrame:
+    """The rows of each language below a hash that leaves SAMPLE_ROWS or a little more.
+
+    Rows are counted by leading bits of the hash, so a language of any size is a table of so many counts.
+    """
+    cell = F.shiftright("hash", 64 - CELL_BITS)
+    counts = once.groupBy("lang", cell.alias("cell")).count()
+    before = Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).where(F.col("before") < SAMPLE_ROWS)
+    cuts = inside.groupBy("lang").agg(F.max("cell").alias("cut"))
+    return once.join(F.broadcast(cuts), "lang").where(cell <= F.col("cut")).drop("cut")  # MAX_LANGUAGES rows at most
+
+
 def learn_samples(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, tuple[str, ...]], ...]:
     """(language, texts) of the bounded sample; the driver gets SAMPLE_ROWS * SAMPLE_CHARS code points a language at most."""
     rows = labelled.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
@@ -219,7 +233,7 @@ def learn_samples(labelled: DataFrame, key: str = "doc_id", text: str = "text",
     names = [r["lang"] for r in hashed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
     # Copies and groups of copies count once.
     once = hashed.where(F.col("lang").isin(names)).groupBy("lang", "hash").agg(F.min("key").alias("key"))
-    picked = top_per_group(once, ["lang"], [F.col("hash")], SAMPLE_ROWS).drop("rank")
+    picked = top_per_group(_first_hashes(once), ["lang"], [F.col("hash")], SAMPLE_ROWS).drop("rank")
     some = usable.withColumn("hash", F.xxhash64("text")).join(F.broadcast(picked), ["key", "lang", "hash"])
     at = F.pmod(F.col("hash"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
     found = some.select("lang", "hash", F.substr("text", at, F.lit(SAMPLE_CHARS)).alias("text")).distinct().collect()
