@@ -377,6 +377,40 @@ def mean_average_precision(spark, sf_dir):
     )
 
 
+CROWD = """v_rows AS (SELECT l_suppkey % 10 AS image_id, CAST(l_partkey % 3 AS INTEGER) AS class_id, l_suppkey AS s, l_extendedprice AS conf,
+    l_quantity / CAST(60 AS DOUBLE) + CAST(l_orderkey % 100 AS DOUBLE) / CAST(1000 AS DOUBLE) AS xc,
+    CAST(l_partkey % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS yc,
+    CAST(l_linenumber * l_linenumber AS DOUBLE) / CAST(2000 AS DOUBLE) + CAST(0.002 AS DOUBLE) AS w,
+    CAST(l_orderkey % 50 AS DOUBLE) / CAST(1500 AS DOUBLE) AS h,
+    row_number() OVER (PARTITION BY l_suppkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id FROM lineitem),
+v_t AS (SELECT * FROM v_rows WHERE s % 2 = 0 OR id % 3 = 0), v_d AS (SELECT * REPLACE (xc + CAST(0.003 AS DOUBLE) AS xc) FROM v_rows WHERE s % 2 = 1)"""
+
+
+@query(f"""WITH {CROWD}, v_iou AS (SELECT d.image_id, d.id AS det_id, t.id AS truth_id,
+    greatest(0.0, least(d.xc + d.w / 2.0, t.xc + t.w / 2.0) - greatest(d.xc - d.w / 2.0, t.xc - t.w / 2.0))
+    * greatest(0.0, least(d.yc + d.h / 2.0, t.yc + t.h / 2.0) - greatest(d.yc - d.h / 2.0, t.yc - t.h / 2.0)) AS inter,
+    d.w * d.h + t.w * t.h AS areas FROM v_d d JOIN v_t t ON d.image_id = t.image_id
+    WHERE abs(d.xc - t.xc) < 0.06 AND abs(d.yc - t.yc) < 0.06),
+v_best AS (SELECT *, inter / (areas - inter) AS iou FROM v_iou WHERE inter > 0
+  QUALIFY row_number() OVER (PARTITION BY image_id, det_id ORDER BY inter / (areas - inter) DESC, truth_id) = 1)
+SELECT d.image_id, d.id AS det_id, b.truth_id AS claimed, round(coalesce(b.iou, 0.0), 6) AS iou,
+  round(coalesce(max(b.iou) OVER (PARTITION BY d.image_id, b.truth_id ORDER BY d.conf DESC, d.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS beaten_iou
+FROM v_d d LEFT JOIN v_best b ON b.image_id = d.image_id AND b.det_id = d.id""")
+def crowded_claims(spark, sf_dir):
+    """Claims in ten pictures that hold all rows, so each is as large as the table lets it be."""
+    boxes = v.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 10).alias("image_id"), (F.col("l_partkey") % 3).cast("int").alias("class_id"), F.col("l_suppkey").alias("s"),
+        F.col("l_extendedprice").alias("conf"), (F.col("l_quantity") / 60.0 + (F.col("l_orderkey") % 100) / F.lit(1000.0)).alias("xc"),
+        ((F.col("l_partkey") % 1000) / F.lit(1000.0)).alias("yc"), (F.col("l_linenumber") * F.col("l_linenumber") / F.lit(2000.0) + 0.002).alias("w"),
+        ((F.col("l_orderkey") % 50) / F.lit(1500.0)).alias("h"),
+        F.row_number().over(Window.partitionBy(F.col("l_suppkey") % 10).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("id"),
+    )
+    true = boxes.filter("s % 2 = 0 OR id % 3 = 0").withColumnRenamed("id", "truth_id")
+    seen = boxes.filter("s % 2 = 1").withColumn("xc", F.col("xc") + 0.003).withColumnRenamed("id", "det_id")
+    claims = evaluate.claim_truths(seen, true, "image_id", "det_id", "truth_id", by_class=False)
+    return claims.select("image_id", "det_id", "claimed", v.r6(F.col("iou"), "iou"), v.r6(F.col("beaten_iou"), "beaten_iou"))
+
+
 @query(f"""WITH {DETECTIONS}, v_iou AS (SELECT d.image_id, d.det_id, t.truth_id, t.class_id AS true_class,
     greatest(0.0, least(d.xc + d.w / 2.0, t.xc + t.w / 2.0) - greatest(d.xc - d.w / 2.0, t.xc - t.w / 2.0))
     * greatest(0.0, least(d.yc + d.h / 2.0, t.yc + t.h / 2.0) - greatest(d.yc - d.h / 2.0, t.yc - t.h / 2.0)) AS inter,

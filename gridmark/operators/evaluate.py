@@ -11,6 +11,9 @@ from gridmark.operators.ranking import cumulative_counts, order_statistics
 
 # IoU thresholds of the averaged metric, 0.50 to 0.95.
 IOU_STEPS = tuple(round(0.50 + 0.05 * i, 2) for i in range(10))
+PARTS = ("xc", "yc", "w", "h")
+CROWDED = 512  # truths of a picture (and class) that still travel as one array; no result depends on it
+CELL_TRUTHS = 16  # truths a cell of the finest grid has, about
 
 
 def _cells(target: Column, pred: Column) -> dict[str, Column]:
@@ -130,34 +133,30 @@ def interpolated_percentiles(df: DataFrame, group: list[str], value: str,
 
 def claim_truths(
     detections: DataFrame, truths: DataFrame, image: str, det_id: str, truth_id: str,
-    by_class: bool = True,
+    by_class: bool = True, crowded: int = CROWDED,
 ) -> DataFrame:
     """The truth every detection points at, and how well stronger detections fit it.
 
     A detection points at the truth of its image (and class, unless told
-    otherwise) with the largest IoU. It is right at a threshold when its own
+    otherwise) with the largest IoU, of equal ones at that of the smallest id. It is right at a threshold when its own
     ``iou`` reaches it and ``beaten_iou``, the best overlap of more confident
-    detections on the same truth, does not. All boxes take part. The truths of
-    one picture travel as one array, as long as the picture has boxes; detections
-    and truths are never paired up as rows.
+    detections on the same truth, does not. All boxes take part; ``det_id`` and ``truth_id`` are unique in an image.
+
+    The truths of an ordinary picture travel as one array, and detections and truths are never paired up as
+    rows. Pictures of more than ``crowded`` truths go through a grid instead (``grid_claims``), whose cells spread
+    over tasks. Whether there are any is looked up first; both ways give the same rows.
     """
-    parts = ("xc", "yc", "w", "h")
     keys = [image, "class_id"] if by_class else [image]
-    packed = truths.groupBy(*keys).agg(
-        F.collect_list(F.struct(F.col(truth_id).alias("id"), F.col("class_id").alias("kind"), *parts)).alias("_truths")
-    )
-    own = Box(*(F.col(c) for c in parts))
-    candidates = F.transform(
-        F.col("_truths"),
-        lambda t: F.struct(
-            overlap_ratio(own, Box(*(t[c] for c in parts))).alias("iou"), (-t["id"]).alias("neg"),
-            t["kind"].alias("kind"),
-        ),
-    )
-    best = F.array_max(F.filter(candidates, lambda c: c["iou"] > 0))
-    pointed = detections.join(packed, keys, "left").select(
-        image, det_id, "class_id", "conf", best.alias("_best")
-    )
+    sizes = truths.groupBy(*keys).agg(F.count("*").alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= crowded:
+        pointed = _packed_claims(detections, truths, keys, image, det_id, truth_id)
+    else:
+        full = sizes.filter(F.col("_n") > crowded)
+        few = [side.join(full, keys, "left_anti") for side in (detections, truths)]
+        many = [side.join(full, keys) for side in (detections, truths)]
+        pointed = _packed_claims(*few, keys, image, det_id, truth_id).unionByName(
+            grid_claims(*many, keys, image, det_id, truth_id)
+        )
     # The detections of one image that share a truth are one window group.
     stronger = (
         Window.partitionBy(image, F.col("_best.neg"))
@@ -172,6 +171,76 @@ def claim_truths(
     )
 
 
+def _packed_claims(
+    detections: DataFrame, truths: DataFrame, keys: list[str], image: str, det_id: str, truth_id: str
+) -> DataFrame:
+    """Detections with ``_best`` (iou, negative truth id, truth class), NULL without any overlap."""
+    packed = truths.groupBy(*keys).agg(
+        F.collect_list(F.struct(F.col(truth_id).alias("id"), F.col("class_id").alias("kind"), *PARTS)).alias("_truths")
+    )
+    own = Box(*(F.col(c) for c in PARTS))
+    candidates = F.transform(
+        F.col("_truths"),
+        lambda t: F.struct(
+            overlap_ratio(own, Box(*(t[c] for c in PARTS))).alias("iou"), (-t["id"]).alias("neg"),
+            t["kind"].alias("kind"),
+        ),
+    )
+    best = F.array_max(F.filter(candidates, lambda c: c["iou"] > 0))
+    return detections.join(packed, keys, "left").select(image, det_id, "class_id", "conf", best.alias("_best"))
+
+
+def grid_claims(
+    detections: DataFrame, truths: DataFrame, keys: list[str], image: str, det_id: str, truth_id: str
+) -> DataFrame:
+    """``_packed_claims`` of crowded pictures, by cells of nested grids.
+
+    Both sides carry ``_n``, the truths of their picture. A truth lies on the grid whose cells are the
+    smallest that are no smaller than the truth, though not smaller than the picture's number of truths asks for; it is
+    copied to the four cells at most that it touches. A detection is copied to the cells it touches on each grid that its picture
+    uses, within the cells in use. Boxes that overlap meet in each cell they share, and are
+    compared in one of them: that of the first corner of their intersection. Partial maxima per detection
+    are combined before they are shuffled.
+    """
+    finest = F.ceil(F.log2(F.col("_n") / F.lit(float(CELL_TRUTHS))) / 2.0)
+    side = F.greatest("w", "h")
+    level = F.least(finest, F.floor(-F.log2(side))).cast("int")
+    x0, y0 = F.col("xc") - F.col("w") / 2.0, F.col("yc") - F.col("h") / 2.0
+    x1, y1 = F.col("xc") + F.col("w") / 2.0, F.col("yc") + F.col("h") / 2.0
+    has_area = (F.col("w") > 0) & (F.col("h") > 0) & ~F.isnan(x0 + y0 + x1 + y1) & (F.abs(x0 + y0) + F.abs(x1 + y1) < F.lit(float("inf")))
+
+    def cell(at: Column, on: Column) -> Column:
+        return F.floor(at * F.pow(F.lit(2.0), on)).cast("bigint")
+
+    def cells(first: Column, last: Column) -> Column:
+        return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
+
+    at = F.col("_level")
+    placed = truths.filter(has_area).select(
+        *keys, F.col(truth_id).alias("_id"), F.col("class_id").alias("_kind"), *[F.col(c).alias(f"_t{c}") for c in PARTS],
+        level.alias("_level"), x0.alias("_tx0"), y0.alias("_ty0"), x1.alias("_tx1"), y1.alias("_ty1"),
+    )
+    copies = placed.withColumn("_cx", cells(cell(F.col("_tx0"), at), cell(F.col("_tx1"), at))).withColumn(
+        "_cy", cells(cell(F.col("_ty0"), at), cell(F.col("_ty1"), at)))
+    used = copies.groupBy(*keys, "_level").agg(
+        F.min("_cx").alias("_lx"), F.max("_cx").alias("_hx"), F.min("_cy").alias("_ly"), F.max("_cy").alias("_hy"))
+    grids = used.groupBy(*keys).agg(F.collect_list(F.struct("_level", "_lx", "_hx", "_ly", "_hy")).alias("_grids"))
+    probes = detections.filter(has_area).join(grids, keys).select(
+        *keys, *[c for c in (image, det_id, "class_id", "conf", *PARTS) if c not in keys],
+        x0.alias("_dx0"), y0.alias("_dy0"), x1.alias("_dx1"), y1.alias("_dy1"), F.inline("_grids"),
+    )
+    probes = probes.withColumn("_cx", cells(F.greatest("_lx", cell(F.col("_dx0"), at)), F.least("_hx", cell(F.col("_dx1"), at)))).withColumn(
+        "_cy", cells(F.greatest("_ly", cell(F.col("_dy0"), at)), F.least("_hy", cell(F.col("_dy1"), at)))).drop("_lx", "_hx", "_ly", "_hy")
+    met = probes.join(copies, [*keys, "_level", "_cx", "_cy"]).filter(
+        (cell(F.greatest("_dx0", "_tx0"), at) == F.col("_cx")) & (cell(F.greatest("_dy0", "_ty0"), at) == F.col("_cy"))
+    )
+    iou = overlap_ratio(Box(*(F.col(c) for c in PARTS)), Box(*(F.col(f"_t{c}") for c in PARTS)))
+    found = F.struct(iou.alias("iou"), (-F.col("_id")).alias("neg"), F.col("_kind").alias("kind"))
+    pairs = met.select(image, det_id, "class_id", "conf", found.alias("_best")).filter(F.col("_best.iou") > 0)
+    alone = detections.select(image, det_id, "class_id", "conf", F.lit(None).cast(pairs.schema["_best"].dataType).alias("_best"))
+    return pairs.unionByName(alone).groupBy(image, det_id, "class_id", "conf").agg(F.max("_best").alias("_best"))
+
+
 def is_right(threshold: float | Column) -> Column:
     """True positive test of a claim at an IoU threshold."""
     return (F.col("iou") >= threshold) & (F.col("beaten_iou") < threshold)

@@ -388,3 +388,31 @@ def test_average_precision_by_hand(spark):
     got = {c: (n, d, t, round(ap, 6)) for c, n, d, _, t, ap in rows(table)}
     assert got == {0: (2, 4, 2, round((1 + 2 / 3) / 2, 6)), 5: (1, 0, 0, 0.0)}
     assert round(evaluate.mean_average_precision(table).first()["map_50"], 6) == round((1 + 2 / 3) / 4, 6)
+
+
+@pytest.mark.parametrize("by_class", [True, False])
+def test_grid_claims_equal_packed_ones(spark, by_class):
+    rng = random.Random(5)
+
+    def box(i):
+        size = rng.choice([0.0, 0.001, 0.02, 0.02, 0.3, 1.0, 40.0])
+        return (f"p{i % 2}", i, rng.randrange(2), rng.choice([0.5, rng.random()]), rng.choice([rng.random(), 0.25, -3.0]), rng.random(),
+                size, rng.choice([size, 0.01, 0.5]))
+
+    schema = "image STRING, {} INT, class_id INT, conf DOUBLE, xc DOUBLE, yc DOUBLE, w DOUBLE, h DOUBLE"
+    truth = spark.createDataFrame([box(i) for i in range(700)] + [("p0", 900 + i, 1, 1.0, 0.5, 0.5, 0.1, 0.1) for i in range(3)], schema.format("truth_id")).drop("conf")
+    det = spark.createDataFrame([box(i) for i in range(300)] + [("none", 0, 1, 0.5, 0.5, 0.5, 0.1, 0.1), (None, 1, 1, 0.5, 0.5, 0.5, 0.1, 0.1)], schema.format("det_id"))
+    claims = lambda crowded: sorted(rows(evaluate.claim_truths(det, truth, "image", "det_id", "truth_id", by_class, crowded)), key=str)
+    packed = claims(10**6)
+    assert len(packed) == 302 and sum(r[4] is not None for r in packed) > 100
+    assert claims(0) == packed
+
+
+def test_one_crowded_picture_spreads_over_tasks(spark):
+    boxes = spark.range(100_000).select(
+        F.lit("p").alias("image"), F.col("id").cast("int").alias("truth_id"), F.lit(1).alias("class_id"),
+        ((F.col("id") % 317 + 0.5) / 317.0).alias("xc"), (F.floor(F.col("id") / 317) / 317.0 + 0.002).alias("yc"), F.lit(0.003).alias("w"), F.lit(0.003).alias("h"),
+    )
+    det = boxes.withColumnRenamed("truth_id", "det_id").withColumns({"conf": F.lit(0.5), "xc": F.col("xc") + 0.0005})
+    claims = evaluate.claim_truths(det, boxes, "image", "det_id", "truth_id")
+    assert claims.filter("claimed = det_id AND iou > 0.7 AND beaten_iou = 0").count() == 100_000
