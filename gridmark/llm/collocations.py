@@ -9,7 +9,7 @@ counts what survives exactly, with its words. All later steps are joins and grou
 
 Everything is counted per language. Words are runs of bytes other than blank and tab, within pieces that end at
 `.,;:!?` and line ends; A-Z are lower-cased. n-grams stay within pieces, overlaps count. In the second pass 64-bit hashes
-stand for phrases, in the first 48 bits (a chance of letting a rare one through).
+stand for phrases, in the first fewer bits (a chance of letting a rare one through).
 
 Defined results: null texts are empty, null languages are `und`; repeated rows count each; other columns are ignored; an empty
 table gives no rows. Scores are exact up to counts of 10**15.
@@ -36,11 +36,15 @@ UNKNOWN = "und"
 BUCKET_BYTES = 8 << 20  # text of a bucket, about
 MOST_BUCKETS = 1 << 17
 MOST_PARTITIONS = 20_000
+SLICE = 2 << 20  # bytes of text read together
 HELD = 3_000_000  # n-grams that a task holds before it sends them on
+PHRASES_HELD = 700_000  # phrases that a task holds in the second pass
 MERGED = 1_000_000  # entries merged into a summary at a time
 MOST_FILTER_BITS = 1 << 27
 SALTS = 64  # groups of a language in which its best phrases are sought first
-KEY_BITS = 48
+# Bits of the hashes in the first pass by the bytes of all texts: differences between those a task sends then fit
+# two, three or four bytes. Fewer bits let more rare n-grams through, so more text needs more.
+KEY_BITS = ((1 << 33, 34), (1 << 41, 42), (1 << 63, 50))
 
 _BREAK, _SEPARATES = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\v\f\r")] = True
@@ -88,8 +92,8 @@ class PieceWords:
         counts = np.bincount(self.lang, minlength=len(self.names))
         return mix(self.name_hashes), counts.astype(np.int64)
 
-    def phrases(self, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes and lengths of phrases by first word and size: language, line end, words with blanks between them."""
+    def phrases(self, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes and lengths of phrases by first word and size: language, line end, words with blanks between them. Also how they begin."""
         ends = np.cumsum(self.lengths + 1)
         spaced = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
         spaced[np.arange(len(self.bytes)) + np.repeat(np.arange(len(self.lengths)), self.lengths)] = self.bytes
@@ -103,7 +107,10 @@ class PieceWords:
         firsts = np.cumsum(head + lengths) - (head + lengths)
         out[_runs(firsts, head)] = names[_runs((np.cumsum(name_sizes) - name_sizes)[lang], head)]
         out[_runs(firsts + head, lengths)] = spaced[_runs(begins, lengths)]
-        return out, head + lengths
+        begun = np.zeros(len(at), np.uint64)
+        for i in range(8):
+            begun = begun << np.uint64(8) | np.where(i < lengths, spaced[np.minimum(begins + i, len(spaced) - 1)] if len(spaced) else 0, 0).astype(np.uint64)
+        return out, head + lengths, begun
 
 
 def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -112,11 +119,17 @@ def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _words_of(batch: pa.RecordBatch) -> Iterator[PieceWords]:
-    for part in slices(batch, "text"):
+    for part in slices(batch, "text", SLICE):
         langs = [(UNKNOWN if lang is None else lang).encode() for lang in part.column("lang").to_pylist()]
         yield PieceWords(*utf8_column(part.column("text")), langs)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row at a time, since rows are long."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Numbers byte by byte, all first bytes first, so that leading zeros are runs."""
     return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
@@ -167,18 +180,18 @@ class Summary:
         return self.keys[self.counts + self.lost >= threshold]
 
 
-def _filter_places(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _filter_places(keys: np.ndarray, key_bits: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Word of the filter of each key, by its leading bits, and the bits it sets there."""
     spread = mix(keys)
     bits = np.zeros(len(keys), np.uint64)
     for i in range(4):
         bits |= np.uint64(1) << ((spread >> np.uint64(6 * i)) & np.uint64(63))
-    return (keys >> np.uint64(KEY_BITS - (words.bit_length() - 1))).astype(np.int64), bits
+    return (keys >> np.uint64(key_bits - (words.bit_length() - 1))).astype(np.int64), bits
 
 
-def survivors(docs: DataFrame, buckets: int, longest: int, threshold: int, filter_words: int) -> np.ndarray:
+def survivors(docs: DataFrame, buckets: int, longest: int, threshold: int, key_bits: int, filter_words: int) -> np.ndarray:
     """First pass: the filter of all n-grams that may be frequent."""
-    shift = KEY_BITS - (buckets.bit_length() - 1)
+    shift = key_bits - (buckets.bit_length() - 1)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -198,7 +211,7 @@ def survivors(docs: DataFrame, buckets: int, longest: int, threshold: int, filte
             ], names=names)
 
         for words in (w for batch in batches for w in _words_of(batch)):
-            held += [words.grams(size)[1] >> np.uint64(64 - KEY_BITS) for size in range(1, longest + 1)]
+            held += [words.grams(size)[1] >> np.uint64(64 - key_bits) for size in range(1, longest + 1)]
             if sum(map(len, held)) > HELD:
                 yield packed()
                 held.clear()
@@ -220,12 +233,12 @@ def survivors(docs: DataFrame, buckets: int, longest: int, threshold: int, filte
         def part() -> pa.RecordBatch:
             flush()
             words = np.zeros(per_bucket, np.uint64)
-            place, bits = _filter_places(summary.at_least(threshold), filter_words)
+            place, bits = _filter_places(summary.at_least(threshold), key_bits, filter_words)
             np.bitwise_or.at(words, place - now * per_bucket, bits)
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([words.tobytes()], pa.binary())], names=["bucket", "words"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if row["bucket"] != now:
                     if now >= 0:
                         yield part()
@@ -248,12 +261,12 @@ def survivors(docs: DataFrame, buckets: int, longest: int, threshold: int, filte
     return found
 
 
-def _combined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """(hash, count, size, phrase bytes, phrase lengths) with each hash once."""
-    hashes, counts, sizes, raw, lengths = (np.concatenate([p[i] for p in parts]) for i in range(5))
+def _combined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(hash, count, size, phrase bytes, phrase lengths, beginnings) with each hash once."""
+    hashes, counts, sizes, raw, lengths, begun = (np.concatenate([p[i] for p in parts]) for i in range(6))
     keys, sums, at = _summed(hashes, counts)
     starts = np.cumsum(lengths) - lengths
-    return keys, sums, sizes[at], raw[_runs(starts[at], lengths[at])], lengths[at]
+    return keys, sums, sizes[at], raw[_runs(starts[at], lengths[at])], lengths[at], begun[at]
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD) -> DataFrame:
@@ -264,23 +277,28 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, threshold: int = T
     named = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"))
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(MOST_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length())
+    key_bits = next(bits for most, bits in KEY_BITS if size < most)
     # About as many bits as bytes of text, or the most: 64 bits a word, one word a bucket at least.
     filter_words = max(buckets, 1 << (max(1 << 20, min(MOST_FILTER_BITS, 1 << size.bit_length())) // 64).bit_length() - 1)
-    shared = docs.sparkSession.sparkContext.broadcast(survivors(named, buckets, longest, threshold, filter_words))
+    shared = docs.sparkSession.sparkContext.broadcast(survivors(named, buckets, longest, threshold, key_bits, filter_words))
     shift = 64 - (buckets.bit_length() - 1)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def packed() -> pa.RecordBatch:
-            hashes, counts, sizes, raw, lengths = _combined(held)
+            hashes, counts, sizes, raw, lengths, begun = _combined(held)
             rows = _cuts(hashes, shift) if buckets > 1 else [(0, 0, len(hashes))]
+            # Within a bucket by how phrases begin, so that neighbours are alike and compress.
+            order = np.concatenate([a + np.argsort(begun[a:b], kind="stable") for _, a, b in rows] or [np.zeros(0, np.int64)])
+            starts = np.cumsum(lengths) - lengths
+            raw, counts, sizes, lengths = raw[_runs(starts[order], lengths[order])], counts[order], sizes[order], lengths[order]
             ends = np.concatenate([[0], np.cumsum(lengths)])
             blobs = lambda values: pa.array([_planes(values[a:b]) for _, a, b in rows], pa.binary())
             return pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.int32()), blobs(hashes), blobs(counts), blobs(sizes.astype("u1")),
+                pa.array([r[0] for r in rows], pa.int32()), blobs(counts.astype("<u4")), blobs(sizes.astype("u1")),
                 pa.array([raw[ends[a] : ends[b]].tobytes() for _, a, b in rows], pa.binary()), blobs(lengths.astype("<u4")),
-            ], names=["bucket", "hashes", "counts", "sizes", "raw", "lengths"])
+            ], names=["bucket", "counts", "sizes", "raw", "lengths"])
 
         known = shared.value
         for words in (w for batch in batches for w in _words_of(batch)):
@@ -291,15 +309,17 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, threshold: int = T
             found = [(totals[0][some], totals[1][some], first_of_lang[some], np.zeros(len(some), np.int64))]
             for size in range(1, longest + 1):
                 at, hashes = words.grams(size)
-                place, bits = _filter_places(hashes >> np.uint64(64 - KEY_BITS), filter_words)
+                place, bits = _filter_places(hashes >> np.uint64(64 - key_bits), key_bits, filter_words)
                 hit = (known[place] & bits) == bits
                 keys, sums, which = _summed(hashes[hit], np.ones(int(hit.sum()), np.int64))
                 found.append((keys, sums, at[hit][which], np.full(len(keys), size)))
             hashes, counts, at, sizes = (np.concatenate([p[i] for p in found]) for i in range(4))
             held.append((hashes, counts, sizes, *words.phrases(at, sizes)))
-            if sum(len(h[0]) for h in held) > HELD // 4:
-                yield packed()
-                held.clear()
+            if sum(len(h[0]) for h in held) > PHRASES_HELD:
+                held[:] = [_combined(held)]
+                if len(held[0][0]) > PHRASES_HELD // 2:
+                    yield packed()
+                    held.clear()
         if held:
             yield packed()
 
@@ -307,7 +327,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, threshold: int = T
         now, held = -1, []
 
         def part() -> pa.RecordBatch:
-            hashes, counts, sizes, raw, lengths = _combined(held)
+            _, counts, sizes, raw, lengths, _ = _combined(held)
             held.clear()
             some = (counts >= threshold) | (sizes == 0)
             ends = np.cumsum(lengths)
@@ -317,20 +337,21 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, threshold: int = T
             return pa.RecordBatch.from_arrays([texts.cast(pa.string()), pa.array(sizes[some].astype(np.int32)), pa.array(counts[some])], names=["named", "k", "f"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if row["bucket"] != now and held:
                     yield part()
                 now = row["bucket"]
+                raw, lengths = np.frombuffer(row["raw"], np.uint8), _numbers(row["lengths"], "<u4").astype(np.int64)
                 held.append((
-                    _numbers(row["hashes"], "<u8"), _numbers(row["counts"], "<i8"), _numbers(row["sizes"], "u1").astype(np.int64),
-                    np.frombuffer(row["raw"], np.uint8), _numbers(row["lengths"], "<u4").astype(np.int64),
+                    run_hashes(raw, lengths), _numbers(row["counts"], "<u4").astype(np.int64), _numbers(row["sizes"], "u1").astype(np.int64),
+                    raw, lengths, np.zeros(len(lengths), np.uint64),
                 ))
                 if len(held) > 1 and sum(len(h[0]) for h in held) > MERGED:
                     held[:] = [_combined(held)]
         if held:
             yield part()
 
-    rows = named.mapInArrow(sent, "bucket int, hashes binary, counts binary, sizes binary, raw binary, lengths binary")
+    rows = named.mapInArrow(sent, "bucket int, counts binary, sizes binary, raw binary, lengths binary")
     dealt = rows.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
     phrases = dealt.mapInArrow(counted, "named string, k int, f bigint")
     return materialize(phrases).select(
