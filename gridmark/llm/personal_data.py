@@ -3,8 +3,8 @@
 The fixed patterns give the seeds: e-mail addresses, IP addresses, card and phone numbers. All tokens
 that hold a digit or an at sign are instances; the words around them are their patterns: the two words
 before, the word before, and the words on both sides. On the graph of patterns and instances, seeds
-score 1. In every round a pattern's confidence is the mean score of its instances, lowered where it has few,
-and an instance's score the mean confidence of its patterns. At last, believed tokens where no seed
+score 1; so do tokens of a shape that only keys and digests have, which no fixed pattern covers. In every round a pattern's confidence is the mean score of its instances, lowered where it has few,
+and an instance's score the mean confidence of its patterns. At last, believed tokens where no base span
 covers them, in the context of a pattern of high confidence that seeds support SUPPORT times, become spans of kind `id`.
 
 All of it is DataFrame functions. Positions come from splitting a text at the matches: the lengths of
@@ -17,7 +17,7 @@ an empty table gives no rows; other columns are ignored, and kept by `redact`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmark.session import materialize
@@ -34,12 +34,19 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # What lies between runs of digits joined by single blanks or hyphens.
 NO_CARD = r"[^0-9\x20-][^0-9]*+|[\x20-][^0-9]++"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# Seeds by shape alone: long hexadecimal strings, as keys and digests are.
+SHAPE = r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$"
+BLOCK = 256  # matches whose list grows one by one
 SPAN = "array<struct<start:int,end:int,kind:int,found:string>>"
 
 
 def _running(first: Column, second: Column, kind: int, second_is_match: bool) -> Column:
-    """Spans of the pieces `second` (or `first`) of a text that is first[0] second[0] first[1] ..."""
+    """Spans of the pieces `second` (or `first`) of a text that is first[0] second[0] first[1] ...
+
+    Lists grow within blocks, and the list of all by whole blocks, so that a text of many matches costs little more than each of them.
+    """
     empty = F.expr(f"cast(array() as {SPAN})")
+    count = F.size(second) if second_is_match else F.size(first)
 
     def step(acc: Column, i: Column) -> Column:
         a = F.length(F.get(first, i))
@@ -49,9 +56,17 @@ def _running(first: Column, second: Column, kind: int, second_is_match: bool) ->
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), found.alias("found"))
         return F.struct((at + b).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    count = F.size(second) if second_is_match else F.size(first)
+    def block(acc: Column, k: Column) -> Column:
+        inside = F.sequence(k * BLOCK, F.least(k * BLOCK + BLOCK, count) - 1)
+        joined = lambda part: F.struct(part["at"].alias("at"), F.concat(acc["spans"], part["spans"]).alias("spans"))
+        return F.aggregate(inside, F.struct(acc["at"].alias("at"), empty.alias("spans")), step, joined)
+
     start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.when(count > 0, F.aggregate(F.sequence(F.lit(0), count - 1), start, step)["spans"]).otherwise(empty)
+    return F.when(count > 0, F.aggregate(_blocks(count), start, block)["spans"]).otherwise(empty)
+
+
+def _blocks(count: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int"))
 
 
 def _digits(found: Column) -> Column:
@@ -83,7 +98,7 @@ def _card_holds(found: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """The given columns, `base`: the spans of the fixed patterns, and `tokens`: all instances with their context.
+    """The given columns, `base`: the spans of the fixed patterns, and `_tokens`: all instances with the text around them.
 
     Patterns are only searched in texts that hold what every match holds.
     """
@@ -115,8 +130,12 @@ def base_spans(docs: DataFrame, columns: list[str], text: str = "text") -> DataF
     cards = _running(F.col("_card_gaps"), F.col("_card_found"), 2, False)
     cards = F.transform(F.filter(cards, lambda s: (F.length(s["found"]) >= 14) & _card_holds(s["found"])), trimmed)
     order = F.transform(F.concat(mails, ips, cards, phones), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    tokens = _running(F.col("_token_gaps"), F.col("_token_found"), 4, True)
-    return cut.select(*columns, F.array_sort(order).alias("base"), tokens.alias("_tokens"), F.col("_token_gaps").alias("_gaps"))
+    around = lambda t, i: F.struct(
+        t["start"].alias("start"), t["found"].alias("found"),
+        F.substring(F.get(F.col("_token_gaps"), i), -REACH, REACH).alias("before"), F.substring(F.get(F.col("_token_gaps"), i + 1), 1, REACH).alias("after"),
+    )
+    tokens = F.transform(_running(F.col("_token_gaps"), F.col("_token_found"), 4, True), around)
+    return cut.select(*columns, F.array_sort(order).alias("base"), tokens.alias("_tokens"))
 
 
 def _words(text: Column) -> Column:
@@ -124,16 +143,16 @@ def _words(text: Column) -> Column:
 
 
 def instances(spans: DataFrame) -> DataFrame:
-    """row, start, end, token, seed, and the contexts of every token with a digit or an at sign."""
-    rows = spans.where(F.size("_tokens") > 0).select("row", "base", "_gaps", F.posexplode("_tokens").alias("i", "t"))
-    gap_before, gap_after = F.get(F.col("_gaps"), F.col("i")), F.get(F.col("_gaps"), F.col("i") + 1)
-    lead = F.length(F.regexp_extract(F.col("t.found"), r"^[^\p{L}\p{N}]*+", 0))
-    body = F.regexp_replace(F.regexp_replace(F.col("t.found"), r"^[^\p{L}\p{N}]++", ""), r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    """row, start, end, token, covered, seed, and the contexts of every token with a digit or an at sign.
+
+    A token is covered where a base span overlaps it; seeds are covered or have a shape that only identifiers have.
+    """
+    rows = spans.select("row", F.inline("_tokens"))
+    lead = F.length(F.regexp_extract("found", r"^[^\p{L}\p{N}]*+", 0))
+    body = F.regexp_replace(F.regexp_replace("found", r"^[^\p{L}\p{N}]++", ""), r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
     rows = rows.select(
-        "row", "base", (F.col("t.start") + lead).alias("start"), body.alias("token"),
-        _words(F.substring(gap_before, -REACH, REACH)).alias("l"), _words(F.substring(gap_after, 1, REACH)).alias("r"),
+        "row", (F.col("start") + lead).alias("start"), body.alias("token"), _words(F.col("before")).alias("l"), _words(F.col("after")).alias("r"),
     ).where(F.length("token") > 0).withColumn("end", F.col("start") + F.length("token"))
-    seed = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     one, two = F.coalesce(F.try_element_at("l", F.lit(-1)), F.lit("")), F.coalesce(F.try_element_at("l", F.lit(-2)), F.lit(""))
     after = F.coalesce(F.try_element_at("r", F.lit(1)), F.lit(""))
     patterns = F.filter(
@@ -144,7 +163,13 @@ def instances(spans: DataFrame) -> DataFrame:
         ),
         lambda p: p.isNotNull(),
     )
-    return rows.select("row", "start", "end", "token", seed.alias("seed"), patterns.alias("patterns"))
+    # Of the base spans of a text that begin before a token ends, one reaches into it if that ending last does.
+    tokens = rows.select("row", "start", "end", "token", patterns.alias("patterns"), F.col("end").alias("at"), F.lit(0).alias("reach"))
+    base = spans.select("row", F.inline("base")).select("row", F.col("start").alias("at"), F.col("end").alias("reach"))
+    upto = Window.partitionBy("row").orderBy("at", "reach").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = tokens.unionByName(base, allowMissingColumns=True).withColumn("reached", F.max("reach").over(upto)).where(F.col("token").isNotNull())
+    covered = F.col("reached") > F.col("start")
+    return marked.select("row", "start", "end", "token", covered.alias("covered"), (covered | F.col("token").rlike(SHAPE)).alias("seed"), "patterns")
 
 
 def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -167,9 +192,9 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFram
 
 
 def discovered(found: DataFrame) -> DataFrame:
-    """row, start, end of tokens that trusted patterns find where no seed covers them, whatever covers them elsewhere."""
+    """row, start, end of tokens that trusted patterns find where no base span covers them, whatever covers them elsewhere."""
     trusted, believed = confident_patterns(found)
-    open_ = found.where(~F.col("seed")).join(believed, "token", "left_semi")
+    open_ = found.where(~F.col("covered")).join(believed, "token", "left_semi")
     hits = open_.select("row", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")
     return hits.select("row", "start", "end").distinct()
 
@@ -183,11 +208,11 @@ def _listed(spans: Column) -> Column:
 def _with_all_spans(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """The columns, `base`, and `all`: base and discovered spans by start, then kind."""
     stored = materialize(base_spans(docs, columns, text).withColumn("row", F.monotonically_increasing_id()))
-    found = materialize(instances(stored.select("row", "base", "_tokens", "_gaps")))
+    found = materialize(instances(stored.select("row", "base", "_tokens")))
     new = discovered(found).groupBy("row").agg(
         F.collect_list(F.struct(F.col("start").alias("start"), F.lit(4).alias("kind"), F.col("end").alias("end"))).alias("new")
     )
-    joined = stored.drop("_tokens", "_gaps").join(new, "row", "left")
+    joined = stored.drop("_tokens").join(new, "row", "left")
     every = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "new")))
     return joined.withColumn("all", every)
 
@@ -212,15 +237,24 @@ def redact(docs: DataFrame) -> DataFrame:
     text = F.col("doc.text")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(acc: Column, s: Column) -> Column:
+    def step(acc: Column, i: Column) -> Column:
+        s = F.get(F.col("all"), i)
         fresh = s["start"] >= acc["at"]
-        between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        between = F.substring(acc["piece"], acc["at"] - acc["from"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], between, F.get(names, s["kind"]))).otherwise(acc["out"]).alias("out"),
+            F.when(fresh, F.concat(acc["out"], between, F.get(names, s["kind"]))).otherwise(acc["out"]).alias("out"), acc["piece"].alias("piece"), acc["from"].alias("from"),
         )
 
+    def block(acc: Column, k: Column) -> Column:
+        """Blocks of spans cut their own piece off the text, since a substring is found by counting from the start."""
+        last = F.least(k * BLOCK + BLOCK, F.size("all")) - 1
+        piece = F.substring(text, acc["at"] + 1, F.greatest(F.get(F.col("all"), last)["start"] - acc["at"], F.lit(0)))
+        begin = F.struct(acc["at"].alias("at"), F.lit("").alias("out"), piece.alias("piece"), acc["at"].alias("from"))
+        joined = lambda part: F.struct(part["at"].alias("at"), F.concat(acc["out"], part["out"]).alias("out"))
+        return F.aggregate(F.sequence(k * BLOCK, last), begin, step, joined)
+
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    built = F.aggregate("all", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    built = F.aggregate(_blocks(F.size("all")), start, block, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     clean = F.when(F.size("all") > 0, built).otherwise(text)
     return rows.select(*[clean.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -227,6 +227,32 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[100] == "please note contact number: [ID], thank you" and "[PHONE]" in clean[0] and clean[200] == text[200]
 
 
+def test_texts_of_very_many_tokens(spark):
+    words = [f"w{i}" if i % 3 else f"é{i}@b.c" for i in range(200_000)]
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, text), (2, "x " * 400_000 + "a@b.c"), (3, "1 " * 100_000)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in personal_data.personal_data(df).collect()}
+    places = [m.span() for m in re.finditer(r"[0-9]+@b[.]c", text)]
+    assert found[1]["spans"] == ",".join(f"email:{a}:{b}" for a, b in places) and found[1]["n_email"] == 66_667
+    assert found[2]["spans"] == "email:800000:800005" and found[3]["spans"] == ""
+    clean = {r["doc_id"]: r["text"] for r in personal_data.redact(df).collect()}
+    assert clean[1] == re.sub(r"[0-9]+@b[.]c", "[EMAIL]", text) and clean[2] == "x " * 400_000 + "[EMAIL]"
+
+
+def test_keys_are_found_by_shape_and_teach_their_context(spark):
+    rng = random.Random(1)
+    key = lambda n: "".join(rng.choices("0123456789abcdef", k=n)) + "a1"
+    rows = [(i, f'xy{i} token = "{key(38)}" zz{i}') for i in range(20)]
+    rows += [(100, 'x1 token = "pa55word" z2'), (101, "room 4711b is free"), (102, f"digest {key(38)} stands alone"), (103, f"mail token = me@{'a' * 40}.org")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["spans"] for r in personal_data.personal_data(df).collect()}
+    text = dict(rows)
+    for i in [*range(20), 100]:
+        kind, start, end = found[i].split(":")
+        assert kind == "id" and text[i][int(start) - 1] == text[i][int(end)] == '"'
+    assert found[101] == found[102] == "" and found[103].startswith("email:") and "id" not in found[103]
+
+
 def test_contexts_find_what_base_spans_cover_elsewhere(spark):
     rows = [(i, f"please note contact number: +49 30 1234567{i % 10} thank you") for i in range(30)]
     rows += [(100, "reach them at +49 0171-5551234 today"), (101, "please note contact number: 0171-5551234, thank you"), (102, "lot 0171-5551234 is sold")]
