@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmark.llm import packed_rows
+from gridmark.llm import packed_rows, worker_memory
 from gridmark.llm.components import components
 from gridmark.llm.tables import slices, utf8_column
 from gridmark.llm.word_hashes import TextWords, mix
@@ -58,6 +58,8 @@ def frequent_hashes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.claim("near_duplicates")
+
         def counts() -> pa.RecordBatch:
             hashes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
             some = n > 1
@@ -104,6 +106,7 @@ def profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
     hashes, counts = frequent
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.claim("near_duplicates")
         for batch in (part for whole in batches for part in slices(whole, "text")):
             sets = _sets(batch)
             sizes = np.array([len(s) for s in sets], np.int64)

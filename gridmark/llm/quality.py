@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridmark.llm import worker_memory
 from gridmark.llm.tables import slices, utf8_column
 from gridmark.llm.word_hashes import TextWords, mix, repeated, run_hashes
 from gridmark.session import materialize
@@ -34,6 +35,7 @@ from gridmark.session import materialize
 RISK, LEVEL = 0.05, 0.05
 COST = 5  # bad documents that must be caught for each good one that is lost
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
+SLICE = 1 << 20  # bytes of text counted together
 GRID = 20  # cutoffs of a rule: 1/20, 2/20, ... of its largest sensible value
 
 COUNTS = (
@@ -93,21 +95,26 @@ def count_features(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     ]).astype(np.int64)
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Two columns: `row`, a struct of all given columns, and `counts`, a struct of the COUNTS."""
+def counts_of(text: Column) -> Column:
+    """The COUNTS of a text as a struct. Only texts go to Python; the other columns of their rows stay where they are."""
     kinds = T.StructType([T.StructField(name, T.LongType()) for name in COUNTS])
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    schema = T.StructType([packed.schema["row"], T.StructField("counts", kinds)])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("row").field(text)
-            for part in slices(pa.RecordBatch.from_arrays([batch.column("row"), texts], names=["row", "text"]), "text"):
-                values = count_features(*utf8_column(part.column("text")))
-                counts = pa.StructArray.from_arrays([pa.array(v) for v in values], names=COUNTS)
-                yield pa.RecordBatch.from_arrays([part.column("row"), counts], names=["row", "counts"])
+    @F.arrow_udf(kinds)
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_memory.claim("quality")
+        for texts in batches:
+            parts = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", SLICE)
+            found = [np.zeros((len(COUNTS), 0), np.int64), *[count_features(*utf8_column(part.column("text"))) for part in parts]]
+            yield pa.StructArray.from_arrays([pa.array(v) for v in np.concatenate(found, axis=1)], names=COUNTS)
+
+    # Filters on the counts must not evaluate them once more.
+    return counted.asNondeterministic()(text)
+
 
-    return packed.mapInArrow(counted, schema)
+def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Two columns: `row`, a struct of all given columns, and `counts`, a struct of the COUNTS."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return packed.select("row", counts_of(F.col("row")[text]).alias("counts"))
 
 
 def ratio(counts: Column, rule: str) -> Column:
@@ -130,10 +137,10 @@ def log_binomial_tail(k: int, n: int, p: float) -> float:
     return float(top + math.log(np.exp(terms - top).sum()))
 
 
-def risk_controlled_cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+def risk_controlled_cutoffs(features: DataFrame, labels: DataFrame, strata: int, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """stratum, cutoffs: a map from rule to its cutoff.
 
-    features(doc_id, stratum, counts). Documents are first counted by stratum, rule, grid cell and
+    features(doc_id, stratum, counts) of the labelled documents at least; strata: how many all documents have. Documents are first counted by stratum, rule, grid cell and
     label, so a stratum with a third of all rows is a few hundred numbers.
     """
     judged = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -146,7 +153,6 @@ def risk_controlled_cutoffs(features: DataFrame, labels: DataFrame, risk: float
         labelled.select("stratum", (F.col("quality") > 0).alias("good"), F.explode(cells).alias("c"))
         .groupBy("stratum", "c.rule", "c.cell").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     )
-    strata = features.select("stratum").distinct().count()
     bound = math.log(level / max(1, strata * len(RULES) * GRID))
 
     def best_cutoff(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -178,12 +184,16 @@ def stratum_of(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def _strata(narrow: DataFrame) -> int:
+    return narrow.select("stratum").distinct().count()
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """doc_id, counts, base_failed, kept of every document."""
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", stratum_of(F.col(stratum)).alias("stratum"))
     counted = with_counts(narrow).select("row.doc_id", "row.stratum", "counts")
     features = materialize(counted)
-    cutoffs = risk_controlled_cutoffs(features, labels, risk, level)
+    cutoffs = risk_controlled_cutoffs(features, labels, _strata(narrow), risk, level)
     failed = base_failed(F.col("counts"))
     return features.join(cutoffs, "stratum", "left").select(
         "doc_id", "counts", failed.alias("base_failed"), (~failed & ~rejected(F.col("counts"), F.col("cutoffs"))).alias("kept")
@@ -197,7 +207,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: f
     # Only labelled documents are needed for the cutoffs.
     some = narrow.join(judged.select("doc_id").distinct(), "doc_id", "left_semi")
     strata = with_counts(some).select("row.doc_id", "row.stratum", "counts")
-    cutoffs = materialize(risk_controlled_cutoffs(materialize(strata), judged, risk, level))
+    cutoffs = materialize(risk_controlled_cutoffs(materialize(strata), judged, _strata(narrow), risk, level))
     counts = F.col("counts")
     rows = with_counts(docs).withColumn("stratum", stratum_of(F.col(f"row.{stratum}")))
     kept = rows.join(cutoffs, "stratum", "left").where(~base_failed(counts) & ~rejected(counts, F.col("cutoffs")))

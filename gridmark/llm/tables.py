@@ -23,7 +23,7 @@ def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """Parts of a batch whose texts hold about `limit` bytes at most (one text at least)."""
     index = batch.schema.get_field_index(column)
     _, bounds = utf8_column(batch.column(index))

@@ -12,6 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from gridmark.llm import worker_memory
+
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores already
 
 from tokenizers import Tokenizer  # noqa: E402
@@ -136,6 +138,14 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, blank_joins_next: bool) -> PieceEncoder:
-    """The worker's encoder; workers live longer than tasks, so its memory does, too."""
+def _encoder(path: str, blank_joins_next: bool) -> PieceEncoder:
     return PieceEncoder(path, blank_joins_next)
+
+
+worker_memory.forgets(_encoder.cache_clear)
+
+
+def encoder(path: str, blank_joins_next: bool) -> PieceEncoder:
+    """The worker's encoder; workers live longer than tasks, so its memory does, too, until another operator comes."""
+    worker_memory.claim(path)
+    return _encoder(path, blank_joins_next)

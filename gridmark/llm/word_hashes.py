@@ -10,6 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from gridmark.llm import worker_memory
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -35,6 +37,9 @@ def _powers(size: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
+worker_memory.forgets(_powers.cache_clear)
+
+
 def powers(n: int) -> np.ndarray:
     return _powers(1 << max(10, int(n).bit_length()))
 

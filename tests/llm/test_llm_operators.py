@@ -149,6 +149,17 @@ def _components(sets):
     return {i: root(i) for i in ids}
 
 
+def test_both_paths_count_the_same_strata(spark):
+    """Languages without labels count as tests in the operator and in the filtering stage alike."""
+    rows = [(i, "good words " * 9 + f"number {i} here in this line", "en") for i in range(1000)]
+    rows += [(5000 + i, f"### $$$ %%% junk{i} ### $$$ " + " ".join(f"w{i}x{j}" for j in range(9)), "en") for i in range(60)]
+    rows += [(9000 + i, " ".join(f"v{i}y{j}" for j in range(12)), f"l{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    marks = spark.createDataFrame([(r[0], int(r[0] < 5000)) for r in rows if r[0] < 9000], "doc_id bigint, quality int")
+    kept = {r["doc_id"] for r in quality.judge(df, marks).where("kept").collect()}
+    assert kept == {r["doc_id"] for r in quality.keep_good(df, marks).collect()}
+
+
 def test_near_duplicates(docs, odd):
     sets = _sets((r[0], r[1]) for r in corpus())
     named = _components(sets)
