@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from checks import views as v
 from gridmark.functions import geometry, scores
-from gridmark.operators import evaluate, features, ranking
+from gridmark.functions.headers import picture_header
+from gridmark.functions.once import compute_once
+from gridmark.operators import evaluate, features, ranking, sketches
+from gridmark.session import materialize
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -110,6 +113,50 @@ def image_thumbnails(spark, sf_dir):
     return features.decide_domain(fused)
 
 
+def _hex(value, size, little=False):
+    """Hex digits of an integer column as so many bytes."""
+    text = F.lpad(F.hex(value), 2 * size, "0")
+    return F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))]) if little else text
+
+
+@query("""SELECT doc_id, (['png', 'jpeg', 'bmp', 'webp'])[doc_id % 4 + 1] AS format, n_chars % 5000 + 1 AS width, doc_id % 3000 + 1 AS height,
+  CASE WHEN doc_id % 4 = 1 OR doc_id % 8 < 4 THEN 3 ELSE 4 END AS channels, doc_id % 5 > 0 AS complete FROM documents WHERE doc_id % 7 > 0
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 7 = 0""")
+def picture_headers(spark, sf_dir):
+    """Headers around the bytes of every document; one in five lacks its end, one in seven is no picture."""
+    docs = v.table(spark, sf_dir, "documents")
+    w, h, body, alpha = F.col("n_chars") % 5000 + 1, F.col("doc_id") % 3000 + 1, F.hex(F.encode("text", "UTF-8")), F.col("doc_id") % 8 >= 4
+    size, cut = F.octet_length("text"), F.col("doc_id") % 5 == 0
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    end = lambda text: F.when(cut, "").otherwise(text)
+    claimed = lambda n: _hex(n + F.when(cut, 1).otherwise(0), 4, True)
+    png = join("89504E470D0A1A0A0000000D49484452", _hex(w, 4), _hex(h, 4), "08", F.when(alpha, "06").otherwise("02"), "00000000000000", body, end("0000000049454E44AE426082"))
+    jpeg = join("FFD8FFE000104A46494600010100000100010000FFFE", _hex(F.octet_length("source") + 2, 2), F.hex(F.encode("source", "UTF-8")),
+                "FFC0001108", _hex(h, 2), _hex(w, 2), "03012200021101031101FFDA", body, end("FFD9"))
+    bmp = join("424D", claimed(54 + size), "000000003600000028000000", _hex(w, 4, True), _hex(h, 4, True), "0100", F.when(alpha, "2000").otherwise("1800"), "0" * 48, body)
+    webp = join("52494646", claimed(22 + size), "57454250565038580A000000", F.when(alpha, "10").otherwise("00"), "000000", _hex(w - 1, 3, True), _hex(h - 1, 3, True), body)
+    kind = F.col("doc_id") % 4
+    data = F.unhex(F.when(F.col("doc_id") % 7 == 0, join("00", body)).when(kind == 0, png).when(kind == 1, jpeg).when(kind == 2, bmp).otherwise(webp))
+    made = compute_once(docs, {"data": data}).select("doc_id", picture_header(F.col("data")).alias("header"))
+    return compute_once(made, {"head": F.col("header")}).select("doc_id", "head.*")
+
+
+@query("""SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, true AS p50_holds, true AS p95_holds FROM events GROUP BY 1""")
+def latency_sketches(spark, sf_dir):
+    """Sketches of each day, stored and merged; their quantiles have ranks within the stated error."""
+    events = v.table(spark, sf_dir, "events")
+    daily = materialize(sketches.quantile_sketches(events.withColumn("day", F.to_date("ts")), ["event_type", "day"], "value"))
+    found = sketches.sketch_quantiles(
+        sketches.merge_sketches(daily, ["event_type"]), ["event_type"], {"low": 0.0, "p50": 0.5, "p95": 0.95, "high": 1.0})
+    # Ranks of the answers by counting: a value stands for the ranks from below it to at it.
+    ranks = events.select("event_type", "value").join(found, "event_type").groupBy("event_type", "n", "low", "high").agg(*[
+        F.count_if(test).alias(f"{name}_{p}") for p in ("p50", "p95") for name, test in (("under", F.col("value") < F.col(p)), ("upto", F.col("value") <= F.col(p)))
+    ])
+    error = sketches.rank_error() * F.col("n")
+    holds = lambda p, q: ((F.col(f"under_{p}") - error <= q * F.col("n")) & (F.col(f"upto_{p}") + error >= q * F.col("n"))).alias(f"{p}_holds")
+    return ranks.select("event_type", "n", "low", "high", holds("p50", 0.5), holds("p95", 0.95))
+
+
 CELLS = (0, 5461, 8256, 16383)  # places in a thumbnail, row by row
 
 

@@ -22,18 +22,19 @@ COUNTS = "class_counts"
 
 def scan_pool(
     spark: SparkSession, root: str, domain: str, source_name: str, is_negative: bool = False,
-    labels_dir: str | None = None, pool_order: int = 0,
+    labels_dir: str | None = None, pool_order: int = 0, hashes: DataFrame | None = None,
 ) -> DataFrame:
     """Samples of one folder: image, label, hash, class counts and negative flag.
 
     Labels are looked up under ``labels_dir`` when it is given and there, else in
     a parallel ``labels`` folder (also the one beside the root itself), else
-    beside the image. Of equal images the build keeps that of the smallest ``pool_order``.
+    beside the image. ``hashes`` are those of ``images.hash_table``, which reads only what changed since
+    an earlier run; else every image is read. Of equal images the build keeps that of the smallest ``pool_order``.
     """
     root = listing.qualified(spark, root)
     tree = listing.list_files(spark, root)
     found = images.scan_images(tree, domain, source_name, is_negative)
-    hashed = images.with_hashes(found, images.content_hashes(spark, root))
+    hashed = images.with_hashes(found, images.content_hashes(spark, root) if hashes is None else hashes)
     explicit = labels_dir is not None and listing.exists(listing.qualified(spark, labels_dir))
     if explicit:
         roots = [listing.qualified(spark, labels_dir)]

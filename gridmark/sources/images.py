@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmark.config import IMAGE_EXTENSIONS
+from gridmark.functions.headers import has_size, picture_header
 from gridmark.functions.paths import is_image, is_listed_image
-from gridmark.sources.listing import qualified, relative_path
+from gridmark.sources.listing import list_files, open_file, qualified, relative_path
 
-# The JVM decodes these; other accepted extensions are checked by their signature.
-_SIGNED = {".webp": ("^52494646.{8}57454250")}
+# The JVM decodes the others; of these the header is read.
+_BY_HEADER = (".webp",)
+MODIFIED = ["path", "length", "modified"]  # what tells whether a file is still the one that was hashed
+BUFFER = 1 << 20
 
 
 def _glob(extensions: tuple[str, ...]) -> str:
@@ -41,6 +48,35 @@ def content_hashes(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def hash_table(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
+    """path, rel_path, length, modified, sha256, actual_md5 of every image below a root.
+
+    ``known`` is such a table of an earlier run. Files whose path, length and time of change it holds keep their hashes
+    and are not read; only the others are, a buffer at a time. Files that are gone drop out.
+    """
+    files = list_files(spark, root, modified=True).filter(is_image(F.col("rel_path")))
+    fresh = files if known is None else files.join(known, MODIFIED, "left_anti")
+    hashed = fresh.mapInArrow(_hashed, fresh.schema.simpleString()[7:-1].replace(":", " ") + ", sha256 string, actual_md5 string")
+    if known is None:
+        return hashed
+    same = files.join(known.select(*MODIFIED, "sha256", "actual_md5").dropDuplicates(MODIFIED), MODIFIED)
+    return hashed.unionByName(same.select(hashed.columns))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            sha256, md5 = hashlib.sha256(), hashlib.md5(usedforsecurity=False)
+            with open_file(path) as handle:
+                while block := handle.read(BUFFER):
+                    sha256.update(block)
+                    md5.update(block)
+            found.append((sha256.hexdigest(), md5.hexdigest()))
+        columns = [*batch.columns, *[pa.array([f[i] for f in found], pa.string()) for i in range(2)]]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "sha256", "actual_md5"])
+
+
 def with_hashes(images: DataFrame, hashes: DataFrame) -> DataFrame:
     """Attach hashes by path; an empty file has the hash of nothing.
 
@@ -74,18 +110,15 @@ def image_errors(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """(rel_path, image_error) of images that are empty or cannot be decoded."""
     root = qualified(spark, root)
     listed = files.filter(is_listed_image(F.col("rel_path"))).select("rel_path", "length")
-    jvm = tuple(e for e in IMAGE_EXTENSIONS if e not in _SIGNED)
+    jvm = tuple(e for e in IMAGE_EXTENSIONS if e not in _BY_HEADER)
     sizes = decoded_images(spark, root, jvm).select(
         F.col("image_id").alias("rel_path"), ((F.col("height") > 0) & (F.col("width") > 0)).alias("ok")
     )
-    for ext, signature in _SIGNED.items():
-        raw = spark.read.format("binaryFile").load(
-            root, recursiveFileLookup=True, pathGlobFilter=_glob((ext,))
-        )
-        sizes = sizes.unionByName(raw.select(
-            relative_path(F.col("_metadata.file_path"), root).alias("rel_path"),
-            F.hex(F.substring("content", 1, 12)).rlike(signature).alias("ok"),
-        ))
+    raw = spark.read.format("binaryFile").load(root, recursiveFileLookup=True, pathGlobFilter=_glob(_BY_HEADER))
+    header = picture_header(F.col("content"))
+    sizes = sizes.unionByName(raw.select(
+        relative_path(F.col("_metadata.file_path"), root).alias("rel_path"), (has_size(header) & header["complete"]).alias("ok"),
+    ))
     error = F.when(F.col("length") == 0, "Image file is 0 bytes (empty file)").when(
         ~F.coalesce("ok", F.lit(False)), "Image cannot be decoded"
     )
