@@ -190,3 +190,8 @@ def sample_rows(images: DataFrame, label_counts: DataFrame) -> DataFrame:
 def _no_match(path):
     """A join key that equals no path: absent keys spread out instead of meeting in one task."""
     return F.concat(F.lit("?"), path)
+
+
+def first_pairs(pairs: DataFrame, n: int) -> DataFrame:
+    """The first pairs by image path, as many as a report shows; every task sends that many at most."""
+    return pairs.orderBy("image_path").limit(n)

@@ -12,6 +12,7 @@ from gridmark.functions.once import compute_once
 from gridmark.operators.audit import percent
 
 # Camera elevations of the sweep, in degrees.
+LISTED_PIECES = 12  # fixed value: pieces of an image that a report lists
 SWEEP_DEGREES = (30.0, 45.0, 60.0, 75.0)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmark.config import ScreenWeights
 from gridmark.operators import features, pairing, parallax, standardize
-from gridmark.sinks import canonical_annotations
+from gridmark.sinks import canonical_annotations, write_parallax_report
 from gridmark.sources import images, labels, listing
 from gridmark.vocabulary import Vocabulary
 
@@ -20,7 +20,7 @@ def paired_annotations(spark: SparkSession, root: str, vocab: Vocabulary | None
     """
     pairs = pairing.annotated_pairs(listing.list_files(spark, root))
     if first is not None:
-        pairs = pairs.orderBy("image_path").limit(first)
+        pairs = pairing.first_pairs(pairs, first)
     contents = labels.read_label_text(spark, root).withColumnRenamed("rel_path", "label_path")
     wanted = contents.join(pairs, "label_path").withColumnRenamed("image_path", "image_id")
     parsed = labels.parse_labels(labels.label_lines(wanted))
@@ -29,6 +29,11 @@ def paired_annotations(spark: SparkSession, root: str, vocab: Vocabulary | None
     )
 
 
+def write_contact_report(annotations: DataFrame, target: str, dataset: str) -> None:
+    """Diagnostics of every image, and their summary."""
+    write_parallax_report(contact_diagnostics(annotations), target, dataset)
+
+
 def contact_diagnostics(annotations: DataFrame, sweep: bool = False) -> DataFrame:
     """Per-image accuracy, optionally for every sweep angle."""
     if sweep:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmark.config import SPLITS, SplitRatio
 from gridmark.functions.paths import stem
+from gridmark.operators.parallax import macro_average
 from gridmark.operators.standardize import OUT_BOX, label_line
 from gridmark.vocabulary import Vocabulary
 
@@ -60,6 +61,18 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.coalesce(1).write.mode(mode).json(path)
 
 
+def write_parallax_report(images: DataFrame, target: str, dataset: str) -> None:
+    """``diagnostics``, one row per image, and ``summary``, one JSON row of their means, below a target.
+
+    Diagnostics grow with the images, so they are a table and no list within the summary, which is
+    computed from the table as stored.
+    """
+    spark = images.sparkSession
+    write_table(images, f"{target}/diagnostics")
+    stored = spark.read.schema(images.schema).parquet(f"{target}/diagnostics")
+    write_json(macro_average(stored).withColumn("dataset_dir", F.lit(dataset)), f"{target}/summary")
+
+
 def append_metrics(df: DataFrame, path: str) -> None:
     """Append epochs to a metrics log."""
     df.write.mode("append").json(path)
