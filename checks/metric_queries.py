@@ -350,7 +350,7 @@ def running_best(spark, sf_dir):
 # -- detector evaluation -------------------------------------------------------------
 
 # Every box takes part; a number within its image names it.
-NUMBERED = "row_number() OVER (PARTITION BY image_id ORDER BY l_partkey, l_suppkey, l_linenumber)"
+NUMBERED = "row_number() OVER (PARTITION BY image_id ORDER BY l_partkey, l_suppkey, l_linenumber, conf, w, h, xc, yc)"
 DETECTIONS = f"""{v.PIECES},
 v_truth AS (SELECT *, {NUMBERED} AS truth_id FROM v_pieces),
 v_dets AS (SELECT image_id, {NUMBERED} AS det_id,
@@ -383,7 +383,7 @@ v_ap AS (SELECT c.class_id, t.threshold, c.truths, coalesce(detections, 0) AS de
 
 
 def numbered(boxes, name):
-    order = Window.partitionBy("image_id").orderBy("l_partkey", "l_suppkey", "l_linenumber")
+    order = Window.partitionBy("image_id").orderBy("l_partkey", "l_suppkey", "l_linenumber", "conf", "w", "h", "xc", "yc")
     return boxes.withColumn(name, F.row_number().over(order))
 
 

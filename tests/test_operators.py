@@ -416,3 +416,16 @@ def test_one_crowded_picture_spreads_over_tasks(spark):
     det = boxes.withColumnRenamed("truth_id", "det_id").withColumns({"conf": F.lit(0.5), "xc": F.col("xc") + 0.0005})
     claims = evaluate.claim_truths(det, boxes, "image", "det_id", "truth_id")
     assert claims.filter("claimed = det_id AND iou > 0.7 AND beaten_iou = 0").count() == 100_000
+
+
+def test_expressions_computed_once_occur_once(spark):
+    from gridmark.functions.once import compute_once
+    from gridmark.sources import voc
+
+    df = spark.range(3).select(F.concat(F.lit('{"a": '), F.col("id").cast("string"), F.lit("}")).alias("text"))
+    parsed = compute_once(df, {"doc": F.from_json("text", "a INT")}).select("doc.*").filter("a > 0 AND a < 2")
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    xml = df.select(F.lit("x").alias("path"), F.lit("<annotation/>").alias("value"), "text").withColumn("value", F.concat("value", "text"))
+    plan = voc.objects(voc.parse_text(xml.drop("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1
+    assert rows(parsed) == [(1,)]
