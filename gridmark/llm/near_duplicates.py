@@ -12,7 +12,7 @@ Equal sets are joined to one representative first. For every document it is coun
 prefix hashes stand in other prefixes at all; no pair can share more. Pairs are verified in two steps: every
 document with the one among those of a hash that shares most, as an original does, which links groups of
 copies without listing their pairs; then, exactly, all candidate pairs that are not yet in one component and
-that the counts do not rule out. So no link between components is lost, and components are those of all links.
+that the counts do not rule out. With large components documents meet set by set in bounded parts, and pairs there are no rows. So no link between components is lost, and components are those of all links.
 
 Defined results: null and empty texts have empty sets and stand alone; texts of fewer than five
 words are one window; repeated rows are equal documents; a null doc_id keeps a null component; rows that share
@@ -42,7 +42,8 @@ PER_BUCKET = 100_000  # prefix hashes of a bucket, about
 FILTER_BITS = 1 << 23  # of the prefilter of documents; no result depends on it
 PROFILE = "doc_id bigint, n bigint, sign_a bigint, sign_b bigint, matches int, prefix binary"
 BIG = 64  # documents of a large component; no result depends on it
-POSTING = {"token": "<u8", "doc": "<i8", "size": "<i4", "matches": "u1", "shared": "<i4", "comp": "<i8", "big": "u1", "near": "<i4"}
+MEMBERS, ASKED = 256, 1024  # sets of a large component, and sets asking, that meet in one group, about
+POSTING = {"token": "<u8", "doc": "<i8", "size": "<i4", "matches": "u1", "shared": "<i4", "comp": "<i8", "big": "u1"}
 SHARED = {"doc": "<i8", "comp": "<i8", "shared": "<i4"}
 
 
@@ -145,11 +146,11 @@ def _postings(reps: DataFrame, buckets: int) -> DataFrame:
             token = np.frombuffer(b"".join(prefixes), "<u8")
             times = [len(p) // 8 for p in prefixes]
             columns = {"token": token}
-            for name, source in (("doc", "rep"), ("size", "n"), *((name, name) for name in ("matches", "shared", "comp", "big", "near"))):
+            for name, source in (("doc", "rep"), ("size", "n"), *((name, name) for name in ("matches", "shared", "comp", "big"))):
                 columns[name] = np.repeat(batch.column(source).to_numpy().astype(POSTING[name]), times)
             yield packed_rows.scatter((mix(token) % np.uint64(buckets)).astype(np.int64), columns)
 
-    rows = reps.select("rep", "n", "matches", "shared", "comp", "big", "near", "prefix").mapInArrow(packed, packed_rows.schema(list(POSTING)))
+    rows = reps.select("rep", "n", "matches", "shared", "comp", "big", "prefix").mapInArrow(packed, packed_rows.schema(list(POSTING)))
     return rows.repartition("bucket")
 
 
@@ -160,9 +161,9 @@ def _groups(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_counts(reps: DataFrame, buckets: int, with_big: bool = False) -> DataFrame:
-    """rep, shared: how many of its prefix hashes stand in another prefix, too. Those that share none are left out.
+    """rep, comp, shared: how many of its prefix hashes stand in another prefix, too (comp is 0). Those that share none are left out.
 
-    `with_big`: only prefixes of one large component other than its own count, the one that gives most.
+    `with_big`: one row for each large component other than its own, and only its prefixes count.
     """
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +191,11 @@ def shared_counts(reps: DataFrame, buckets: int, with_big: bool = False) -> Data
         if not len(doc):
             return
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (comp[1:] != comp[:-1])]))
-        sums, doc = np.add.reduceat(n, first), doc[first]
-        starts, _ = _groups(doc)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(np.maximum.reduceat(sums, starts).astype(np.int32))], names=["rep", "shared"])
+        sums = np.add.reduceat(n, first).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(comp[first]), pa.array(sums)], names=["rep", "comp", "shared"])
 
     marks = _postings(reps, buckets).mapInArrow(marked, packed_rows.schema(list(SHARED)))
-    return marks.repartition("bucket").mapInArrow(summed, "rep bigint, shared int")
+    return marks.repartition("bucket").mapInArrow(summed, "rep bigint, comp bigint, shared int")
 
 
 def _beside_big(found: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,6 +203,7 @@ def _beside_big(found: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndar
     docs, comps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if len(starts):
         has_big = np.maximum.reduceat(found["big"], starts) > 0
+        has_big &= np.minimum.reduceat(found["comp"], starts) != np.maximum.reduceat(found["comp"], starts)
         for start, size in zip(starts[has_big].tolist(), sizes[has_big].tolist(), strict=True):
             part = slice(start, start + size)
             for comp in np.unique(found["comp"][part][found["big"][part] > 0]):
@@ -243,10 +244,9 @@ def _needed(found: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
 
 
 def _can_meet(found: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Pairs whose sizes allow the similarity, and that share enough with anyone, or with the large component of the other."""
-    most_x = np.where(found["big"][y] > 0, found["near"][x], found["shared"][x])
-    most_y = np.where(found["big"][x] > 0, found["near"][y], found["shared"][y])
-    return _fits(found["size"][x], found["size"][y]) & (np.minimum(most_x, most_y) >= need)
+    """Pairs whose sizes allow the similarity, and that share enough with anyone."""
+    most = np.minimum(found["shared"][x], found["shared"][y])
+    return _fits(found["size"][x], found["size"][y]) & (most >= need)
 
 
 def _pairs_with_first(found: dict[str, np.ndarray]) -> Iterator[tuple]:
@@ -259,7 +259,9 @@ def _pairs_with_first(found: dict[str, np.ndarray]) -> Iterator[tuple]:
 
 
 def _pairs_across(found: dict[str, np.ndarray]) -> Iterator[tuple]:
-    """Pairs of a hash that lie in different components, in pieces of bounded size."""
+    """Pairs of a hash that lie in different components, none of them large, in pieces of bounded size."""
+    small = found["big"] == 0
+    found = {name: values[small] for name, values in found.items()}
     starts, sizes = _groups(found["token"])
     comp = found["comp"]
     mixed = sizes > 1
@@ -315,10 +317,9 @@ def _filter_words(ids: DataFrame) -> np.ndarray:
     return words
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar; sets are made again from the texts of these documents."""
-    ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    words = _filter_words(ends)
+def _sets_of(docs: DataFrame, ids: DataFrame, as_bytes: bool = False) -> DataFrame:
+    """id, tokens: the sets of the documents with these ids (and of few others), made again from their texts; as arrays or bytes."""
+    words = _filter_words(ids)
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,18 +328,77 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = (words[at >> 5] >> (at & 31)) & 1
             for part in slices(batch.filter(pa.array(keep.astype(bool))), "text"):
                 sets = _sets(part)
-                ends_ = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends_), pa.array(values))], names=["id", "tokens"])
+                if as_bytes:
+                    tokens = pa.array([s.tobytes() for s in sets], pa.binary())
+                else:
+                    ends_ = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+                    values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                    tokens = pa.ListArray.from_arrays(pa.array(ends_), pa.array(values))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), tokens], names=["id", "tokens"])
 
     sets = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("slot", slot)
-    sets = sets.mapInArrow(made, "id bigint, tokens array<bigint>")
+    return sets.mapInArrow(made, f"id bigint, tokens {'binary' if as_bytes else 'array<bigint>'}")
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar; sets are made again from the texts of these documents."""
+    ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = _sets_of(docs, ends)
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= SIMILAR * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def large_links(docs: DataFrame, grouped: DataFrame, buckets: int) -> DataFrame:
+    """a, b: the links between the members of large components and documents outside of them.
+
+    A document whose prefix meets that of a member is asked, with its whole set, what it shares with all sets of the component together,
+    which bounds its overlap with each. Where that is enough, its set meets those of the members in parts of bounded
+    size, and overlaps are counted there; pairs are no rows unless they link.
+    """
+    met = shared_counts(grouped, buckets, with_big=True).select("rep").distinct().withColumn("meets", F.lit(1))
+    wanted = grouped.drop("prefix").join(met, "rep", "left").where(F.col("meets").isNotNull() | (F.col("big") > 0)).drop("meets")
+    sets = _sets_of(docs, wanted.select(F.col("rep").alias("id")), as_bytes=True)
+    whole = materialize(wanted.join(sets.select(F.col("id").alias("rep"), F.col("tokens").alias("prefix")), "rep"))
+    shares = shared_counts(whole, buckets, with_big=True).withColumnRenamed("comp", "large")
+    large = whole.where(F.col("big") > 0).groupBy(F.col("comp").alias("large")).agg(F.count("*").alias("members"), F.min("n").alias("least"))
+    size = F.greatest(F.col("least"), F.ceil(SIMILAR * F.col("n") / 100))  # of the smallest member that fits
+    enough = F.col("shared") * (100 + SIMILAR) >= SIMILAR * (F.col("n") + size)
+    asked = materialize(shares.join(whole.select("rep", "n"), "rep").join(large, "large").where(enough).select("rep", "large").distinct())
+    parts = asked.groupBy("large").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("askers")).join(large, "large").select(
+        "large", "askers", F.ceil(F.col("members") / MEMBERS).cast("int").alias("shards"))
+    spread = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["large", "shard", "asker", "asks", "rep", "n", "prefix"]
+    queries = asked.join(whole.select("rep", "n", "prefix"), "rep").join(parts, "large").withColumns({"asker": spread("askers"), "asks": F.lit(True)})
+    members = whole.where(F.col("big") > 0).withColumnRenamed("comp", "large").join(parts, "large").withColumns({"shard": spread("shards"), "asks": F.lit(False)})
+    both = queries.withColumn("shard", every("shards")).select(columns).unionByName(members.withColumn("asker", every("askers")).select(columns))
+    return both.groupBy("large", "shard", "asker").applyInArrow(_links_within, "a bigint, b bigint")
+
+
+def _links_within(rows: pa.Table) -> pa.Table:
+    """Similar pairs of an asking set and a member's."""
+    asks = rows.column("asks").to_numpy()
+    reps, sizes, blobs = rows.column("rep").to_numpy(), rows.column("n").to_numpy(), rows.column("prefix").to_pylist()
+    inside = np.flatnonzero(~asks)
+    tokens = np.frombuffer(b"".join([blobs[i] for i in inside.tolist()]), "<u8")
+    owner = np.repeat(np.arange(len(inside)), [len(blobs[i]) // 8 for i in inside.tolist()])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(asks).tolist():
+        own = np.frombuffer(blobs[i], "<u8")
+        first, end = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+        n = end - first
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        shared = np.bincount(owner[at], minlength=len(inside))
+        hits = inside[100 * shared >= SIMILAR * (sizes[i] + sizes[inside] - shared)]
+        left.append(np.minimum(reps[hits], reps[i]))
+        right.append(np.maximum(reps[hits], reps[i]))
+    return pa.table({"a": np.concatenate(left).astype(np.int64), "b": np.concatenate(right).astype(np.int64)})
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
@@ -349,21 +409,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     total = classes.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), int(total // PER_BUCKET))
-    none = {"shared": F.lit(0), "big": F.lit(0), "near": F.lit(0)}
-    plain = classes.withColumn("comp", F.col("rep")).withColumns(none)
+    plain = classes.withColumn("comp", F.col("rep")).withColumns({"shared": F.lit(0), "big": F.lit(0)})
     # Documents that share no prefix hash with any other are done.
-    alone = materialize(plain.drop("shared").join(shared_counts(plain, buckets), "rep"))
+    alone = materialize(plain.drop("shared").join(shared_counts(plain, buckets).drop("comp"), "rep"))
     links = materialize(verified(docs, materialize(candidates(alone, buckets, across=False))))
     first = components(links)
-    # What a document shares with all of a large component bounds what it shares with each of its members.
+    # Large components meet other documents set by set, others pair by pair.
     large = first.groupBy("component").count().where(F.col("count") >= BIG).select("component", F.lit(1).alias("is_big"))
     named = first.withColumnRenamed("node", "rep").join(large, "component", "left")
     grouped = alone.drop("comp", "big").join(named, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     grouped = materialize(grouped.withColumn("big", F.coalesce("is_big", F.lit(0))).drop("component", "is_big"))
-    near = shared_counts(grouped, buckets, with_big=True).withColumnRenamed("shared", "near")
-    grouped = materialize(grouped.drop("near").join(near, "rep", "left").withColumn("near", F.coalesce("near", F.lit(0))))
     rest = materialize(candidates(grouped, buckets, across=True))
-    more = materialize(verified(docs, rest)) if rest.limit(1).count() else rest
+    more = verified(docs, rest) if rest.limit(1).count() else rest
+    if large.limit(1).count():
+        more = more.unionAll(large_links(docs, grouped, buckets))
+    more = materialize(more)
     final = components(links.unionAll(more)) if more.limit(1).count() else first
     named = classes.select("sign_a", "sign_b", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("sign_a", "sign_b", "n", F.coalesce("component", "rep").alias("named"))
