@@ -172,6 +172,27 @@ def test_near_duplicates(docs, odd):
     assert near_duplicates.near_duplicates(empty(docs)).count() == 0
 
 
+def test_large_components_meet_others_set_by_set(spark, monkeypatch):
+    """Groups of near copies, and documents just below and above the threshold beside them, with parts of few sets."""
+    for name, value in (("BIG", 3), ("MEMBERS", 2), ("ASKED", 2)):
+        monkeypatch.setattr(near_duplicates, name, value)
+    rng = random.Random(11)
+    rows = []
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(120)]
+        for k in range(14):
+            words = list(base)
+            # One edit is similar to the base and to most others, three are similar to few.
+            for e in range(rng.choice([1, 1, 1, 2, 2, 3])):
+                words[rng.randrange(120)] = f"e{k if rng.random() < 0.5 else k - 1}x{e}"
+            rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join(base[:60] + [f"g{(group + 1) % 4}w{i}" for i in range(60, 120)])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(df).collect()}
+    want = _components(_sets(rows))
+    assert found == want and 4 < len(set(want.values())) < 45
+
+
 def test_links_across_stars(spark):
     """A chain of near copies: each is similar to the next, not to the first."""
     words = [f"w{i}" for i in range(204)]
