@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import views as v
 from gridmark.functions import paths
 from gridmark.operators import dedup, files, split, standardize, summary
-from gridmark.session import shared_folder
+from gridmark.session import delete_at_end, shared_folder
 from gridmark.sources import coco, voc
 
 QUERIES: dict = {}
@@ -357,6 +357,7 @@ def coco_elements(spark, sf_dir):
     text = docs.select(F.to_json(F.struct(named.alias("images"), "annotations")).alias("value"))
     folder = f"{shared_folder(spark).rstrip('/')}/coco-{uuid.uuid4().hex}"
     text.write.text(folder)
+    delete_at_end(spark, folder)
     found = coco.element_annotations(coco.read_elements(spark, folder, size=1 << 18))
     return found.select("file_name", "image_id", "raw_label", "image_listed", *[v.r6(F.col(c), c) for c in ("xc", "yc", "w", "h")])
 

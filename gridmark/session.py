@@ -44,6 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete what is stored at a path when the driver ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it back.
 
@@ -53,8 +59,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{STAGE}{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
