@@ -42,6 +42,7 @@ PER_BUCKET = 100_000  # prefix hashes of a bucket, about
 FILTER_BITS = 1 << 23  # of the prefilter of documents; no result depends on it
 PROFILE = "doc_id bigint, n bigint, sign_a bigint, sign_b bigint, matches int, prefix binary"
 BIG = 64  # documents of a large component; no result depends on it
+PAIRS = 500_000  # pairs of places that a task looks at together
 MEMBERS, ASKED = 256, 1024  # sets of a large component, and sets asking, that meet in one group, about
 POSTING = {"token": "<u8", "doc": "<i8", "size": "<i4", "matches": "u1", "shared": "<i4", "comp": "<i8", "big": "u1"}
 SHARED = {"doc": "<i8", "comp": "<i8", "shared": "<i4"}
@@ -237,10 +238,9 @@ def _needed(found: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
     Both prefixes ask for their matches. Besides, of the overlap that the sizes demand, what is not shared within
     the prefixes must lie behind the prefix that ends first in the order of hashes, so in at most that many hashes.
     """
-    m, n = found["matches"].astype(np.int64), found["size"].astype(np.int64)
-    behind = required(n) - m
-    overlap = -(-SIMILAR * (n[x] + n[y]) // (100 + SIMILAR))
-    return np.maximum(np.minimum(m[x], m[y]), overlap - np.maximum(behind[x], behind[y]))
+    mx, my, nx, ny = (found[name][i].astype(np.int64) for name in ("matches", "size") for i in (x, y))
+    overlap = -(-SIMILAR * (nx + ny) // (100 + SIMILAR))
+    return np.maximum(np.minimum(mx, my), overlap - np.maximum(required(nx) - mx, required(ny) - my))
 
 
 def _can_meet(found: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
@@ -267,22 +267,32 @@ def _pairs_across(found: dict[str, np.ndarray]) -> Iterator[tuple]:
     mixed = sizes > 1
     if len(starts):
         mixed &= np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-    held, n = [], 0
-    for start, size in zip(starts[mixed].tolist(), sizes[mixed].tolist(), strict=True):
-        for i in range(start, start + size - 1):
-            rest = np.arange(i + 1, start + size)
-            rest = rest[comp[rest] != comp[i]]
-            need = _needed(found, rest, np.full(len(rest), i))
-            good = _can_meet(found, rest, np.full(len(rest), i), need)
-            rest, need = rest[good], need[good]
-            if len(rest):
-                held.append((np.full(len(rest), found["doc"][i]), found["doc"][rest], need))
-                n += len(rest)
-        if n > 2_000_000:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+    starts, sizes = starts[mixed], sizes[mixed]
+    # Every place of these groups with all places behind it in its group, a bounded number of pairs at a time.
+    at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    behind = np.repeat(starts + sizes, sizes) - 1 - at
+    upto = np.cumsum(behind)
+    held, n, first = [], 0, 0
+    while first < len(at):
+        done = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, done + PAIRS, side="right")))
+        counts = behind[first:last]
+        x = np.repeat(at[first:last], counts)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
+        first = last
+        apart = comp[x] != comp[y]
+        x, y = x[apart], y[apart]
+        apart = _fits(found["size"][x], found["size"][y])
+        x, y = x[apart], y[apart]
+        need = _needed(found, x, y)
+        good = _can_meet(found, x, y, need)
+        held.append((found["doc"][x[good]], found["doc"][y[good]], need[good]))
+        n += len(held[-1][0])
+        if n > 2 * PAIRS:
+            yield tuple(np.concatenate(p) for p in zip(*held, strict=True))
             held, n = [], 0
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+    if n:
+        yield tuple(np.concatenate(p) for p in zip(*held, strict=True))
 
 
 def candidates(reps: DataFrame, buckets: int, across: bool) -> DataFrame:
