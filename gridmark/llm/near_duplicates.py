@@ -152,7 +152,7 @@ def _postings(reps: DataFrame, buckets: int) -> DataFrame:
             yield packed_rows.scatter((mix(token) % np.uint64(buckets)).astype(np.int64), columns)
 
     rows = reps.select("rep", "n", "matches", "shared", "comp", "big", "prefix").mapInArrow(packed, packed_rows.schema(list(POSTING)))
-    return rows.repartition("bucket")
+    return packed_rows.dealt(rows, buckets)
 
 
 def _groups(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +196,7 @@ def shared_counts(reps: DataFrame, buckets: int, with_big: bool = False) -> Data
         yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(comp[first]), pa.array(sums)], names=["rep", "comp", "shared"])
 
     marks = _postings(reps, buckets).mapInArrow(marked, packed_rows.schema(list(SHARED)))
-    return marks.repartition("bucket").mapInArrow(summed, "rep bigint, comp bigint, shared int")
+    return packed_rows.dealt(marks, buckets).mapInArrow(summed, "rep bigint, comp bigint, shared int")
 
 
 def _beside_big(found: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -444,7 +444,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, with their own columns, whose doc_id names their group; of rows that repeat it, one.
+    """The documents, with their own columns, whose doc_id names their group; of rows that repeat it, one for each text.
 
     Texts are not shuffled by group: the ids that go are found first. Rows without an id stay, as nothing links them.
     """
@@ -454,8 +454,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = docs.join(named.distinct(), docs["doc_id"].cast("bigint") == F.col("_kept"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
     if not twice.limit(1).count():
         return kept
-    again = kept.join(twice, kept["doc_id"].cast("bigint") == F.col("_kept"), "left_semi").groupBy("doc_id").agg(
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct("text")).alias("row")
+    # Rows of one id are one document only if their texts are equal.
+    again = kept.join(twice, kept["doc_id"].cast("bigint") == F.col("_kept"), "left_semi").groupBy("doc_id", F.sha2("text", 256)).agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
     )
     single = kept.join(twice, kept["doc_id"].cast("bigint") == F.col("_kept"), "left_anti")
     return single.unionByName(again.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -13,12 +13,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def schema(names: list[str]) -> str:
     return ", ".join(["bucket int", *[f"{name} binary" for name in names]])
 
 
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """The rows of a bucket in one task, two buckets a task or so.
+
+    Buckets are at least twice the session's shuffle partitions; where the volume asks for more, tasks follow it, so
+    that what a task holds stays as large as it is.
+    """
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return rows.repartition(buckets // 2, "bucket") if buckets > 2 * usual else rows.repartition("bucket")
+
+
 def scatter(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """One row a bucket, its records in their order."""
     order = np.argsort(bucket, kind="stable")
