@@ -35,6 +35,7 @@ from gridmark.session import materialize
 RISK, LEVEL = 0.05, 0.05
 COST = 5  # bad documents that must be caught for each good one that is lost
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
+BROADCAST_STRATA = 10_000
 SLICE = 1 << 20  # bytes of text counted together
 GRID = 20  # cutoffs of a rule: 1/20, 2/20, ... of its largest sensible value
 
@@ -207,7 +208,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: f
     # Only labelled documents are needed for the cutoffs.
     some = narrow.join(judged.select("doc_id").distinct(), "doc_id", "left_semi")
     strata = with_counts(some).select("row.doc_id", "row.stratum", "counts")
-    cutoffs = materialize(risk_controlled_cutoffs(materialize(strata), judged, _strata(narrow), risk, level))
+    number = _strata(narrow)
+    cutoffs = materialize(risk_controlled_cutoffs(materialize(strata), judged, number, risk, level))
+    # One row a stratum; a few kilobytes in many small files would pass for too much to broadcast, and texts be shuffled.
+    cutoffs = F.broadcast(cutoffs) if number <= BROADCAST_STRATA else cutoffs
     counts = F.col("counts")
     rows = with_counts(docs).withColumn("stratum", stratum_of(F.col(f"row.{stratum}")))
     kept = rows.join(cutoffs, "stratum", "left").where(~base_failed(counts) & ~rejected(counts, F.col("cutoffs")))
