@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridmark.config import AuditConfig, SplitRatio
@@ -408,6 +409,39 @@ def test_grid_claims_equal_packed_ones(spark, by_class):
     assert claims(0) == packed
 
 
+def test_dense_pictures_look_at_close_boxes_first(spark):
+    rng = random.Random(6)
+    size = lambda: rng.choice([0.001, 0.01, 0.011, 0.02, 0.3, 1e-9])
+    box = lambda i: ("p", i, 1, rng.random(), rng.randrange(100) / 100, rng.randrange(40) / 40 - 0.5, size(), size())
+    schema = "image STRING, {} INT, class_id INT, conf DOUBLE, xc DOUBLE, yc DOUBLE, w DOUBLE, h DOUBLE"
+    first = [box(i) for i in range(800)]
+    truth = spark.createDataFrame(first, schema.format("truth_id")).drop("conf")
+    near = [(*b[:4], b[4] + 0.0005 * (i % 3), b[5], b[6] * (1 + i % 5 / 8), b[7]) for i, b in enumerate(first[:400])]
+    det = spark.createDataFrame(near + [box(i) for i in range(400, 700)], schema.format("det_id"))
+    claims = lambda crowded, dense: sorted(rows(evaluate.claim_truths(det, truth, "image", "det_id", "truth_id", False, crowded, dense)), key=str)
+    packed = claims(10**6, 1)
+    assert sum(r[6] > 0.5 for r in packed) > 300 and sum(0 < r[6] < 0.5 for r in packed) > 50
+    assert claims(0, 1) == packed  # three rounds: 0.875, 0.75, 0.5
+
+
+def test_copies_in_a_crowded_picture_are_looked_at_once(spark):
+    # 60,000 detections of 60,000 equal truths: pair by pair they would be 3.6 thousand million rows.
+    boxes = spark.range(60_000).select(F.lit("p").alias("image"), F.col("id").alias("truth_id"), F.lit(1).alias("class_id"), *[F.lit(0.1).alias(c) for c in ("xc", "yc", "w", "h")])
+    det = boxes.select("image", F.col("truth_id").alias("det_id"), "class_id", (F.col("truth_id") / 60_000).alias("conf"), "xc", "yc", "w", "h")
+    claims = evaluate.claim_truths(det, boxes, "image", "det_id", "truth_id")
+    assert claims.filter("claimed = 0 AND iou > 0.999").count() == 60_000
+    assert rows(claims.filter("beaten_iou < 0.999"), "det_id") == [(59_999,)]
+
+
+def test_numbers_of_a_large_group_by_stretches(spark):
+    from gridmark.operators.ranking import numbered
+
+    df = spark.createDataFrame([(i % 2 or None, (i * 7) % 50 - 9 if i % 11 else None, i) for i in range(200)], "g INT, a INT, b INT")
+    got = numbered(df, ["g"], "a", [F.col("b")], "n", width=4)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("a", "b")))
+    assert sorted(rows(got, "g", "a", "b", "n"), key=str) == sorted(rows(want, "g", "a", "b", "n"), key=str)
+
+
 def test_one_crowded_picture_spreads_over_tasks(spark):
     boxes = spark.range(100_000).select(
         F.lit("p").alias("image"), F.col("id").cast("int").alias("truth_id"), F.lit(1).alias("class_id"),
