@@ -102,10 +102,13 @@ def run_length(cells: Column) -> Column:
 
 def unfold_placement(placement: Column) -> Column:
     """64 characters, rank 8 first, dots for empty squares."""
-    board = F.replace(placement, F.lit("/"), F.lit(""))
+    return _unfold_digits(F.replace(placement, F.lit("/"), F.lit("")))
+
+
+def _unfold_digits(text: Column) -> Column:
     for length in range(8, 0, -1):
-        board = F.replace(board, F.lit(str(length)), F.lit("." * length))
-    return board
+        text = F.replace(text, F.lit(str(length)), F.lit("." * length))
+    return text
 
 
 def placement_of(fen: Column) -> Column:
@@ -115,12 +118,10 @@ def placement_of(fen: Column) -> Column:
 
 def is_well_formed(placement: Column) -> Column:
     """Eight ranks of exactly eight files, only known symbols, no two adjacent digits."""
-    ranks = F.split(placement, "/")
     return (
-        (F.size(ranks) == 8)
-        & placement.rlike("^[1-8PNBRQKpnbrqk/]+$")
+        placement.rlike("^[1-8PNBRQKpnbrqk/]+$")
         & ~placement.rlike("[1-8][1-8]")
-        & F.forall(ranks, lambda r: F.length(unfold_placement(r)) == 8)
+        & _unfold_digits(placement).rlike("^[^/]{8}(/[^/]{8}){7}\\z")
     )
 
 
@@ -129,9 +130,9 @@ def count_symbol(board: Column, symbol: str) -> Column:
     return F.length(board) - F.length(F.replace(board, F.lit(symbol), F.lit("")))
 
 
-def legality_warnings(placement: Column) -> Column:
-    """Array of the count-based rules a placement breaks; empty means legal."""
-    board = unfold_placement(placement)
+def legality_warnings(placement: Column, board: Column | None = None) -> Column:
+    """Array of the count-based rules a placement breaks; empty means legal. ``board`` is the placement unfolded, if at hand."""
+    board = unfold_placement(placement) if board is None else board
     edge_ranks = F.concat(F.substring(board, 1, 8), F.substring(board, 57, 8))
     rules = [
         (~is_well_formed(placement), "malformed_placement"),

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from gridmark.functions import geometry, scores
 from gridmark.functions.boxes import from_yolo
-from gridmark.functions.classes import color_of, file_letter, symbol_of
+from gridmark.functions.classes import color_of, file_letter
+from gridmark.functions.once import compute_once
 from gridmark.operators.ranking import top_per_group
+from gridmark.vocabulary import SYMBOLS
 
 
 def grid_squares(boards: DataFrame) -> DataFrame:
@@ -120,23 +122,21 @@ def flip(df: DataFrame, flipped: Column) -> DataFrame:
 def placements(df: DataFrame, board: str) -> DataFrame:
     """Piece placement string of every board, from at most one piece per square.
 
-    A board has at most 64 squares, so the collected map is bounded.
+    A rank is one number of eight hexadecimal digits, a digit a square, so boards are added up without collecting their pieces.
     """
-    index = (F.lit(7) - F.col("rank_idx")) * 8 + F.col("file_idx")
-    cells = F.map_from_entries(
-        F.collect_list(F.struct(index.cast("int"), symbol_of(F.col("class_id"))))
-    )
-    rank = lambda r: F.array_join(
-        F.transform(
-            F.sequence(F.lit(r * 8), F.lit(r * 8 + 7)),
-            lambda i: F.coalesce(F.try_element_at(F.col("_cells"), i), F.lit(".")),
-        ),
-        "",
-    )
+    index = ((F.lit(7) - F.col("rank_idx")) * 8 + F.col("file_idx")).cast("int")
+    known = index.between(0, 63)
+    digit = F.when(F.col("class_id").between(0, len(SYMBOLS) - 1), F.col("class_id") + 1).otherwise(0).cast("bigint")
+    place = F.element_at(F.array(*[F.lit(1 << 4 * (7 - f)) for f in range(8)]), F.pmod(index, F.lit(8)) + 1)
+    lines = [F.coalesce(F.sum(F.when(F.floor(index / 8) == r, digit * place)), F.lit(0)).alias(f"_rank{r}") for r in range(8)]
+    # One bit a square: two pieces on one square are refused, as their digits would add up to another piece.
+    taken = F.bit_count(F.bit_or(F.when(known, F.expr("shiftleft(1L, cast((7 - rank_idx) * 8 + file_idx as int))"))))
+    summed = df.groupBy(board).agg(*lines, taken.alias("_squares"), F.count_if(known).alias("_pieces"))
+    rank = lambda r: F.translate(F.lpad(F.hex(f"_rank{r}"), 8, "0"), "0123456789ABC", "." + SYMBOLS)
     rows = F.concat_ws("/", *[rank(r) for r in range(8)])
-    return df.groupBy(board).agg(cells.alias("_cells")).select(
-        board, scores.run_length(rows).alias("placement")
-    )
+    twice = F.raise_error(F.lit("two pieces on one square")).cast("string")
+    whole = F.when(F.col("_squares") < F.col("_pieces"), twice).otherwise(scores.run_length(rows))
+    return compute_once(summed, {"placement": whole}).select(board, "placement")
 
 
 def explode_placement(df: DataFrame, placement: str = "placement") -> DataFrame:
@@ -154,9 +154,10 @@ def explode_placement(df: DataFrame, placement: str = "placement") -> DataFrame:
 
 def legality(df: DataFrame, placement: str = "placement") -> DataFrame:
     """Warnings, legality flag and error code of every placement."""
-    warnings = scores.legality_warnings(F.col(placement))
+    unfolded = compute_once(df, {"_board": scores.unfold_placement(F.col(placement))})
+    found = compute_once(unfolded, {"warnings": scores.legality_warnings(F.col(placement), F.col("_board"))})
     return (
-        df.withColumn("warnings", warnings)
+        found.drop("_board")
         .withColumn("is_legal", F.size("warnings") == 0)
         .withColumn("error_code", scores.error_code(F.col("warnings")))
     )

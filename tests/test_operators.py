@@ -409,6 +409,42 @@ def test_grid_claims_equal_packed_ones(spark, by_class):
     assert claims(0) == packed
 
 
+def test_boards_are_added_up_without_collecting(spark):
+    from gridmark.operators import positions
+
+    cells = [("a", r, f, (r * 8 + f) % 13 - (f == 7)) for r in range(8) for f in range(8) if (r * f) % 5 != 2] + [("b", 0, 7, 11), ("b", 7, 0, 99)]
+    df = spark.createDataFrame(cells, "board STRING, rank_idx INT, file_idx INT, class_id INT")
+    found = positions.placements(df, "board")
+    want = {}
+    for b in "ab":
+        lines = []
+        for r in range(7, -1, -1):
+            line = "".join(next(("PNBRQKpnbrqk"[c] if 0 <= c < 12 else "." for x, y, z, c in cells if (x, y, z) == (b, r, f)), ".") for f in range(8))
+            for n in range(8, 0, -1):
+                line = line.replace("." * n, str(n))
+            lines.append(line)
+        want[b] = "/".join(lines)
+    assert dict(rows(found, "board", "placement")) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    with pytest.raises(Exception, match="two pieces on one square"):
+        rows(positions.placements(df.union(df), "board"))
+
+
+def test_claims_by_class_shuffle_each_side_once(spark):
+    """Rows that lie by picture stay where they are, also where classes have to agree."""
+    box = ["id % 50 AS image", "cast(id % 3 AS int) AS class_id", "0.5D AS conf", "id / 1000 AS xc", "0.5D AS yc", "0.1D AS w", "0.1D AS h"]
+    side = lambda name: spark.range(1000).selectExpr(*box, f"id AS {name}").withColumn(
+        name, F.row_number().over(Window.partitionBy("image").orderBy(name)))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        claims = evaluate.claim_truths(side("det_id"), side("truth_id"), "image", "det_id", "truth_id")
+        assert claims._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_dense_pictures_look_at_close_boxes_first(spark):
     rng = random.Random(6)
     size = lambda: rng.choice([0.001, 0.01, 0.011, 0.02, 0.3, 1e-9])
