@@ -14,7 +14,7 @@ from gridmark import sinks
 from gridmark.config import SplitRatio
 from gridmark.file_sink import write_files
 from gridmark.operators import dedup, pairing, parallax, ranking, summary
-from gridmark.session import shared_folder
+from gridmark.session import materialize, shared_folder
 from gridmark.sources import labels, listing, tables
 from gridmark.vocabulary import Vocabulary
 
@@ -46,7 +46,8 @@ def label_export(spark, sf_dir):
     boxes = named.filter("l_suppkey % 9 > 0").withColumn("line_number", F.col("l_linenumber"))
     target = folder(spark, "labels")
     write_files(sinks.label_files(boxes, named.select("rel_path").distinct()), target)
-    contents = labels.read_label_text(spark, target)
+    # Small files are opened once, whatever is asked of their texts.
+    contents = materialize(labels.read_label_text(spark, target))
     # The text source leaves out empty files; the listing has them.
     files = listing.list_files(spark, target).select("rel_path", (F.col("length") == 0).alias("empty"))
     blank = contents.select("rel_path", labels.is_blank().alias("blank"))

@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -141,10 +142,14 @@ def write_files(files: DataFrame, target: str) -> DataFrame:
     spark = files.sparkSession
     target = listing.qualified(spark, target)
     none = F.lit(None).cast("string")
-    rows = files.select("rel_path", *[F.col(c) if c in files.columns else none.alias(c) for c in ("content", "copy_from")]).distinct()
-    twice = rows.groupBy("rel_path").count().filter("count > 1").first()
-    if twice is not None:
-        raise GridmarkError(f"{twice['count']} files would be named {twice['rel_path']}")
-    spark.dataSource.register(FileExport)
-    rows.write.format(FORMAT).mode("overwrite").option("path", target).save()
+    # Put together once, for the look at their names and for the writer.
+    rows = files.select("rel_path", *[F.col(c) if c in files.columns else none.alias(c) for c in ("content", "copy_from")]).distinct().persist(StorageLevel.DISK_ONLY)
+    try:
+        twice = rows.groupBy("rel_path").count().filter("count > 1").first()
+        if twice is not None:
+            raise GridmarkError(f"{twice['count']} files would be named {twice['rel_path']}")
+        spark.dataSource.register(FileExport)
+        rows.write.format(FORMAT).mode("overwrite").option("path", target).save()
+    finally:
+        rows.unpersist()
     return listing.list_files(spark, target).select("rel_path", "length")

@@ -460,6 +460,22 @@ def test_cells_are_those_of_whole_thumbnails(spark):
         assert len(got) == 16 and {(i, c): v for i, c, v in got} == want
 
 
+def test_files_are_put_together_once(spark, tmp_path):
+    """The look for names given twice and the writer use the same rows."""
+    from gridmark.file_sink import write_files
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    files = spark.range(5).selectExpr("concat('l/', id, '.txt') AS rel_path", "'x' AS content").mapInPandas(count, "rel_path STRING, content STRING")
+    assert write_files(files, str(tmp_path / "t")).count() == 5
+    assert made.value == 5
+
+
 def test_dense_pictures_look_at_close_boxes_first(spark):
     rng = random.Random(6)
     size = lambda: rng.choice([0.001, 0.01, 0.011, 0.02, 0.3, 1e-9])
