@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,9 +118,11 @@ def read_elements(spark: SparkSession, path: str, size: int = json_ranges.RANGE)
             for row in batch.to_pylist():
                 for part in json_ranges.elements(row, ARRAYS):
                     fixed = {"path": row["path"], "document": part.document, "kind": part.kind}
+                    names = set().union(*part.values)
                     columns = [
-                        pa.array([fixed[f.name]] * len(part.values) if f.name in fixed
-                                 else [takers.get(f.name, _whole)(v.get(f.name)) for v in part.values], f.type)
+                        pa.repeat(pa.scalar(fixed[f.name], f.type), len(part.values)) if f.name in fixed
+                        else _column([v.get(f.name) for v in part.values], takers.get(f.name, _whole), f.type) if f.name in names
+                        else pa.nulls(len(part.values), f.type)
                         for f in schema
                     ]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -126,6 +130,19 @@ def read_elements(spark: SparkSession, path: str, size: int = json_ranges.RANGE)
     return json_ranges.ranges(spark, path, size).mapInArrow(read, ELEMENT)
 
 
+def _column(values: list, taker: Callable, kind: pa.DataType) -> pa.Array:
+    """Values of one field; a column that only holds its own type is taken whole."""
+    found = set(map(type, values))
+    if taker is _numbers and found == {list}:
+        flat = list(chain.from_iterable(values))
+        if set(map(type, flat)) <= {int, float}:
+            ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+            return pa.ListArray.from_arrays(ends, pa.array(list(map(float, flat)), pa.float64()))
+    if taker is _whole and found <= {int, type(None)} or taker is _text and found <= {str, type(None)} or taker is _number and found <= {float, type(None)}:
+        return pa.array(values, kind)
+    return pa.array([taker(v) for v in values], kind)
+
+
 def _whole(value) -> int | None:
     return value if isinstance(value, int) and not isinstance(value, bool) else None
 

@@ -135,3 +135,18 @@ def test_sketches_merge_within_the_error(spark, tmp_path):
 @pytest.mark.parametrize("size", [200, 800])
 def test_the_stated_error(size):
     assert 0.003 < sketches.rank_error(size) < 0.014
+
+
+def test_columns_taken_whole_equal_value_by_value():
+    import pyarrow as pa
+
+    from gridmark.sources import coco
+
+    for taker, kind, columns in (
+        (coco._whole, pa.int64(), [[1, None, 2], [True, 1, None], [1.0, 2], ["1"], []]),
+        (coco._text, pa.string(), [["a", None], [1, "b"]]),
+        (coco._number, pa.float64(), [[1.5, None], [1, 2.5], [True, "x"]]),
+        (coco._numbers, pa.list_(pa.float64()), [[[1, 2.5], []], [[1, True, "x"], None], [[None, 1]], [None]]),
+    ):
+        for values in columns:
+            assert coco._column(values, taker, kind).equals(pa.array([taker(v) for v in values], kind))
