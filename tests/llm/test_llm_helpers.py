@@ -118,6 +118,15 @@ def test_pieces_give_the_ids_of_whole_texts(name, joins):
             assert ids == encoder.ids(text), text
 
 
+@pytest.mark.parametrize("name, joins", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_marks_behind_other_marks_are_one_word_with_them(name, joins):
+    encoder = PieceEncoder(public_tokenizers.path(name), joins)
+    heads = [f"a{end}" for end in (">", ")", "</w>", '"', "]", "'", "-", "1", "e\u0301")]
+    encoder.encode(["x " + " ".join(heads)])  # known when the marks come
+    for text in ["x " + " ".join(head + tail for head in heads) for tail in (",", ".", ",.", "|>", "!!")]:
+        assert encoder.encode([text]) == [encoder.ids(text)], text
+
+
 def test_binomial_tail():
     from math import comb, exp
 
