@@ -36,6 +36,7 @@ from gridmark.session import materialize
 
 SIMILAR = 80  # percent
 FREQUENT = 1 << 18  # at most so many frequent hashes are known by their counts
+LEAST, COUNTS = 4, 1 << 16  # counts from which a hash is frequent, and up to which they are told apart to find the limit
 COUNTED = 4_000_000  # hashes that a task counts together
 MOST_MATCHES = 8
 PER_BUCKET = 100_000  # prefix hashes of a bucket, about
@@ -55,8 +56,8 @@ def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
 def frequent_hashes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that are frequent in the table, sorted, and their counts (lower bounds).
 
-    Tasks count hashes that occur twice or more in a part of their texts; the sums are kept if they
-    reach 1 in FREQUENT of all that was counted, so that at most FREQUENT are sent to the driver.
+    Tasks count hashes that occur twice or more in a part of their texts. The FREQUENT largest sums or fewer are sent to
+    the driver, from LEAST on: a limit that grew with the table would leave ever larger groups unknown, whose pairs grow with their square.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,13 +77,26 @@ def frequent_hashes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield counts()
 
     sums = materialize(docs.select("text").mapInArrow(counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    found = sums.where(F.col("n") >= max(4, -(-total // FREQUENT))).toPandas()
+    found = sums.where(F.col("n") >= _least_count(sums)).toPandas()
     hashes = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], found["n"].to_numpy(np.int64)[order]
 
 
+def _least_count(sums: DataFrame) -> int:
+    """The smallest count, LEAST or more, that at most FREQUENT hashes reach."""
+    rows = sums.where(F.col("n") >= LEAST).groupBy(F.least("n", F.lit(COUNTS)).alias("n")).agg(F.count("*").alias("hashes"), F.sum("n").alias("total"))
+    by_count = sorted(rows.collect(), reverse=True)  # at most COUNTS rows
+    reached, least = 0, None
+    for n, hashes, _ in by_count:
+        reached += hashes
+        if reached > FREQUENT:
+            # If even those of COUNTS or more are too many: at most FREQUENT can hold 1 in FREQUENT of all.
+            return least or -(-sum(row["total"] for row in by_count) // FREQUENT)
+        least = n
+    return LEAST
+
+
 def required(n: int | np.ndarray) -> int | np.ndarray:
     """Least overlap of a set of n hashes with any similar one."""
     return -(-SIMILAR * n // 100)

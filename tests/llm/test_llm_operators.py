@@ -531,3 +531,14 @@ def test_pipeline(spark, tmp_path, labels):
     empty(frame).write.parquet(none + "/documents.parquet")
     labels.write.parquet(none + "/labels.parquet")
     assert corpus_pipeline.run(spark, none).count() == 0
+
+
+def test_one_very_frequent_hash_does_not_hide_other_frequent_ones(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "FREQUENT", 8)
+    monkeypatch.setattr(near_duplicates, "COUNTED", 10**9)
+    texts = ["all of us say this"] * 400 + [f"phrase number {i} is here" for i in range(7)] * 6 + [f"only {i} is said twice" for i in range(20)] * 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1)
+    hashes, counts = near_duplicates.frequent_hashes(docs)
+    assert sorted(counts.tolist()) == [6] * 7 + [400]
+    monkeypatch.setattr(near_duplicates, "FREQUENT", 7)  # no room for the seven of one count
+    assert near_duplicates.frequent_hashes(docs)[1].tolist() == [400]
