@@ -76,7 +76,7 @@ def frequent_hashes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 held = []
         yield counts()
 
-    sums = materialize(docs.select("text").mapInArrow(counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
+    sums = materialize(docs.select("text").mapInArrow(worker_memory.trimmed(counted), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
     found = sums.where(F.col("n") >= _least_count(sums)).toPandas()
     hashes = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -147,7 +147,7 @@ def profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                 names=["doc_id", "n", "sign_a", "sign_b", "matches", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(profiled, PROFILE)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(worker_memory.trimmed(profiled), PROFILE)
 
 
 def _postings(reps: DataFrame, buckets: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _postings(reps: DataFrame, buckets: int) -> DataFrame:
                 columns[name] = np.repeat(batch.column(source).to_numpy().astype(POSTING[name]), times)
             yield packed_rows.scatter((mix(token) % np.uint64(buckets)).astype(np.int64), columns)
 
-    rows = reps.select("rep", "n", "matches", "shared", "comp", "big", "prefix").mapInArrow(packed, packed_rows.schema(list(POSTING)))
+    rows = reps.select("rep", "n", "matches", "shared", "comp", "big", "prefix").mapInArrow(worker_memory.trimmed(packed), packed_rows.schema(list(POSTING)))
     return packed_rows.dealt(rows, buckets)
 
 
@@ -209,8 +209,8 @@ def shared_counts(reps: DataFrame, buckets: int, with_big: bool = False) -> Data
         sums = np.add.reduceat(n, first).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(comp[first]), pa.array(sums)], names=["rep", "comp", "shared"])
 
-    marks = _postings(reps, buckets).mapInArrow(marked, packed_rows.schema(list(SHARED)))
-    return packed_rows.dealt(marks, buckets).mapInArrow(summed, "rep bigint, comp bigint, shared int")
+    marks = _postings(reps, buckets).mapInArrow(worker_memory.trimmed(marked), packed_rows.schema(list(SHARED)))
+    return packed_rows.dealt(marks, buckets).mapInArrow(worker_memory.trimmed(summed), "rep bigint, comp bigint, shared int")
 
 
 def _beside_big(found: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +323,7 @@ def candidates(reps: DataFrame, buckets: int, across: bool) -> DataFrame:
             a, b, need, n = _summed(np.minimum(a, b), np.maximum(a, b), need)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32)), pa.array(n)], names=["a", "b", "need", "n"])
 
-    pairs = _postings(reps, buckets).mapInArrow(met, "a bigint, b bigint, need int, n bigint")
+    pairs = _postings(reps, buckets).mapInArrow(worker_memory.trimmed(met), "a bigint, b bigint, need int, n bigint")
     good = pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("n").alias("n")).where(F.col("n") >= F.col("need"))
     if across:
         return good.select("a", "b")
@@ -361,7 +361,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, as_bytes: bool = False) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), tokens], names=["id", "tokens"])
 
     sets = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("slot", slot)
-    return sets.mapInArrow(made, f"id bigint, tokens {'binary' if as_bytes else 'array<bigint>'}")
+    return sets.mapInArrow(worker_memory.trimmed(made), f"id bigint, tokens {'binary' if as_bytes else 'array<bigint>'}")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmark.llm import worker_memory
 from gridmark.llm.exact_fill import plan_sequences, slots
 from gridmark.llm.tables import slices
 from gridmark.llm.tokenizing import BATCH_BYTES, encoder
@@ -46,7 +47,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, bl
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(worker_memory.trimmed(cut), PIECES)
 
 
 def ranked_by_length(pieces: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 
@@ -29,8 +30,23 @@ def claim(owner: str) -> None:
     for clear in _FORGET:
         clear()
     gc.collect()
+    _give_back()
+
+
+def _give_back() -> None:
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # a C library without it
         pass
+
+
+def trimmed(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The step; what it has freed goes back to the system at the end of each task, not when the idle worker is next used."""
+
+    @wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        _give_back()
+
+    return run

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from gridmark.llm import chat, repeats
+from gridmark.llm import chat, repeats, worker_memory
 from gridmark.llm.deep_shallow import BlindTrie, sort_windows
 from gridmark.llm.exact_fill import plan_sequences, slots
 from gridmark.llm.lexicon_trie import Trie, tolerated
@@ -127,6 +127,19 @@ def test_marks_behind_other_marks_are_one_word_with_them(name, joins):
         assert encoder.encode([text]) == [encoder.ids(text)], text
 
 
+def test_freed_memory_goes_back_at_the_end_of_a_task(monkeypatch):
+    done = []
+    monkeypatch.setattr(worker_memory, "_give_back", lambda: done.append("back"))
+
+    def step(batches):
+        for batch in batches:
+            yield batch
+        done.append("step")
+
+    assert list(worker_memory.trimmed(step)(iter([1, 2]))) == [1, 2]
+    assert done == ["step", "back"]
+
+
 def test_binomial_tail():
     from math import comb, exp
 
