@@ -47,6 +47,8 @@ PAIRS = 500_000  # pairs of places that a task looks at together
 MEMBERS, ASKED = 256, 1024  # sets of a large component, and sets asking, that meet in one group, about
 POSTING = {"token": "<u8", "doc": "<i8", "size": "<i4", "matches": "u1", "shared": "<i4", "comp": "<i8", "big": "u1"}
 SHARED = {"doc": "<i8", "comp": "<i8", "shared": "<i4"}
+MEETING = {"a": "<i8", "b": "<i8", "need": "<i4", "n": "<i4"}
+PAIR_SHARE = 16  # buckets of hashes for a place of pairs
 
 
 def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -309,9 +311,14 @@ def _pairs_across(found: dict[str, np.ndarray]) -> Iterator[tuple]:
         yield tuple(np.concatenate(p) for p in zip(*held, strict=True))
 
 
-def candidates(reps: DataFrame, buckets: int, across: bool) -> DataFrame:
-    """a < b: pairs of representatives that share as many prefix hashes as they must."""
+def meetings(reps: DataFrame, buckets: int, across: bool) -> DataFrame:
+    """a < b, need, n: pairs of representatives that meet, and in how many prefix hashes.
+
+    A pair meets in as many tasks as it shares hashes in, more of them the more tasks there are. What tasks have counted travels
+    packed to the place of the pair and is a row only there, one a pair, unless a task holds more than COUNTED.
+    """
     paired = _pairs_across if across else _pairs_with_first
+    places = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), buckets // PAIR_SHARE)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = packed_rows.gather(batches, POSTING)
@@ -320,10 +327,33 @@ def candidates(reps: DataFrame, buckets: int, across: bool) -> DataFrame:
         order = order[np.repeat(sizes > 1, sizes)]
         found = {name: values[order] for name, values in found.items()}
         for a, b, need in paired(found):
-            a, b, need, n = _summed(np.minimum(a, b), np.maximum(a, b), need)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32)), pa.array(n)], names=["a", "b", "need", "n"])
+            columns = dict(zip(MEETING, _summed(np.minimum(a, b), np.maximum(a, b), need), strict=True))
+            if len(columns["a"]):
+                place = mix(mix(columns["a"].view(np.uint64)) ^ columns["b"].view(np.uint64)) % np.uint64(places)
+                yield packed_rows.scatter(place.astype(np.int64), {name: columns[name].astype(kind) for name, kind in MEETING.items()})
 
-    pairs = _postings(reps, buckets).mapInArrow(worker_memory.trimmed(met), "a bigint, b bigint, need int, n bigint")
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def sums() -> pa.RecordBatch:
+            a, b, need, n = _summed(*(np.concatenate(parts) for parts in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32)), pa.array(n)], names=list(MEETING))
+
+        for batch in batches:
+            held.append(tuple(packed_rows.gather(iter([batch]), MEETING).values()))
+            if sum(len(part[0]) for part in held) > COUNTED:
+                yield sums()
+                held = []
+        if held:
+            yield sums()
+
+    rows = _postings(reps, buckets).mapInArrow(worker_memory.trimmed(met), packed_rows.schema(list(MEETING)))
+    return packed_rows.dealt(rows, places).mapInArrow(worker_memory.trimmed(together), "a bigint, b bigint, need int, n bigint")
+
+
+def candidates(reps: DataFrame, buckets: int, across: bool) -> DataFrame:
+    """a < b: pairs of representatives that share as many prefix hashes as they must."""
+    pairs = meetings(reps, buckets, across)
     good = pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("n").alias("n")).where(F.col("n") >= F.col("need"))
     if across:
         return good.select("a", "b")

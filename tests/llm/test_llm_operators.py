@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -542,3 +543,20 @@ def test_one_very_frequent_hash_does_not_hide_other_frequent_ones(spark, monkeyp
     assert sorted(counts.tolist()) == [6] * 7 + [400]
     monkeypatch.setattr(near_duplicates, "FREQUENT", 7)  # no room for the seven of one count
     assert near_duplicates.frequent_hashes(docs)[1].tolist() == [400]
+
+
+def test_pairs_that_meet_in_many_tasks_are_one_row_each(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    shared = rng.integers(1, 2**62, 400, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([shared[rng.random(400) < 0.95], rng.integers(1, 2**62, 5, dtype=np.uint64)])) for _ in range(30)]
+    data = [(i - 3, len(s), 1, len(s), i - 3, 0, bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    reps = spark.createDataFrame(data, "rep long, n long, matches int, shared int, comp long, big int, prefix binary")
+    want = {(i - 3, j - 3): len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(i + 1, 30)}
+    rows = near_duplicates.meetings(reps, 64, across=True).collect()
+    assert len(rows) == len(want) and {(r["a"], r["b"]): r["n"] for r in rows} == want
+    hub = near_duplicates.meetings(reps, 64, across=False).collect()
+    assert len(hub) == len({(r["a"], r["b"]) for r in hub}) and all(r["n"] <= want[r["a"], r["b"]] for r in hub)
+    # Sums in bounded parts are candidates all the same.
+    whole = {tuple(r) for r in near_duplicates.candidates(reps, 64, across=True).collect()}
+    monkeypatch.setattr(near_duplicates, "COUNTED", 50)
+    assert {tuple(r) for r in near_duplicates.candidates(reps, 64, across=True).collect()} == whole == set(want)
