@@ -46,6 +46,8 @@ BIG = 64  # documents of a large component; no result depends on it
 PAIRS = 500_000  # pairs of places that a task looks at together
 MEMBERS, ASKED = 256, 1024  # sets of a large component, and sets asking, that meet in one group, about
 POSTING = {"token": "<u8", "doc": "<i8", "size": "<i4", "matches": "u1", "shared": "<i4", "comp": "<i8", "big": "u1"}
+PLAIN = {name: POSTING[name] for name in ("token", "doc")}
+BESIDE = {name: POSTING[name] for name in ("token", "doc", "comp", "big")}
 SHARED = {"doc": "<i8", "comp": "<i8", "shared": "<i4"}
 MEETING = {"a": "<i8", "b": "<i8", "need": "<i4", "n": "<i4"}
 PAIR_SHARE = 16  # buckets of hashes for a place of pairs
@@ -152,8 +154,9 @@ def profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(worker_memory.trimmed(profiled), PROFILE)
 
 
-def _postings(reps: DataFrame, buckets: int) -> DataFrame:
-    """Prefix hashes with what is known of its document, packed by bucket of the hash."""
+def _postings(reps: DataFrame, buckets: int, kinds: dict[str, str]) -> DataFrame:
+    """Prefix hashes with what is asked of its document, packed by bucket of the hash."""
+    sources = {name: {"doc": "rep", "size": "n"}.get(name, name) for name in kinds if name != "token"}
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,11 +166,11 @@ def _postings(reps: DataFrame, buckets: int) -> DataFrame:
             token = np.frombuffer(b"".join(prefixes), "<u8")
             times = [len(p) // 8 for p in prefixes]
             columns = {"token": token}
-            for name, source in (("doc", "rep"), ("size", "n"), *((name, name) for name in ("matches", "shared", "comp", "big"))):
-                columns[name] = np.repeat(batch.column(source).to_numpy().astype(POSTING[name]), times)
+            for name, source in sources.items():
+                columns[name] = np.repeat(batch.column(source).to_numpy().astype(kinds[name]), times)
             yield packed_rows.scatter((mix(token) % np.uint64(buckets)).astype(np.int64), columns)
 
-    rows = reps.select("rep", "n", "matches", "shared", "comp", "big", "prefix").mapInArrow(worker_memory.trimmed(packed), packed_rows.schema(list(POSTING)))
+    rows = reps.select(*sources.values(), "prefix").mapInArrow(worker_memory.trimmed(packed), packed_rows.schema(list(kinds)))
     return packed_rows.dealt(rows, buckets)
 
 
@@ -177,21 +180,45 @@ def _groups(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(token)))
 
 
-def shared_counts(reps: DataFrame, buckets: int, with_big: bool = False) -> DataFrame:
-    """rep, comp, shared: how many of its prefix hashes stand in another prefix, too (comp is 0). Those that share none are left out.
+def shared_prefixes(reps: DataFrame, buckets: int) -> DataFrame:
+    """rep, shared, prefix: its prefix hashes that stand in another prefix, too, and how many. Those that share none are left out.
 
-    `with_big`: one row for each large component other than its own, and only its prefixes count.
+    Hashes that stand nowhere else meet nothing; most do, and they travel only once.
     """
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = packed_rows.gather(batches, POSTING)
-        order = np.lexsort((found["comp"], found["token"])) if with_big else np.argsort(found["token"], kind="stable")
+        found = packed_rows.gather(batches, PLAIN)
+        order = np.argsort(found["token"], kind="stable")
+        _, sizes = _groups(found["token"][order])
+        order = order[np.repeat(sizes > 1, sizes)]
+        if len(order):
+            columns = {name: values[order] for name, values in found.items()}
+            yield packed_rows.scatter((mix(columns["doc"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), columns)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = packed_rows.gather(batches, PLAIN)
+        order = np.argsort(found["doc"], kind="stable")
+        doc, token = found["doc"][order], found["token"][order]
+        if not len(doc):
+            return
+        starts, sizes = _groups(doc)
+        prefixes = [token[first : first + n].tobytes() for first, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(sizes.astype(np.int32)), pa.array(prefixes, pa.binary())], names=["rep", "shared", "prefix"])
+
+    marks = _postings(reps, buckets, PLAIN).mapInArrow(worker_memory.trimmed(marked), packed_rows.schema(list(PLAIN)))
+    return packed_rows.dealt(marks, buckets).mapInArrow(worker_memory.trimmed(joined), "rep bigint, shared int, prefix binary")
+
+
+def shared_with_big(reps: DataFrame, buckets: int) -> DataFrame:
+    """rep, comp, shared: for each large component other than its own, how many of its prefix hashes stand in a prefix there."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = packed_rows.gather(batches, BESIDE)
+        order = np.lexsort((found["comp"], found["token"]))
         starts, sizes = _groups(found["token"][order])
         order = order[np.repeat(sizes > 1, sizes)]
-        docs, comps = found["doc"][order], np.zeros(len(order), np.int64)
-        if with_big:
-            starts, sizes = _groups(found["token"][order])
-            docs, comps = _beside_big({name: values[order] for name, values in found.items()}, starts, sizes)
+        starts, sizes = _groups(found["token"][order])
+        docs, comps = _beside_big({name: values[order] for name, values in found.items()}, starts, sizes)
         rank = np.lexsort((comps, docs))
         docs, comps = docs[rank], comps[rank]
         first = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (comps[1:] != comps[:-1])])) if len(docs) else np.zeros(0, np.int64)
@@ -211,7 +238,7 @@ def shared_counts(reps: DataFrame, buckets: int, with_big: bool = False) -> Data
         sums = np.add.reduceat(n, first).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(comp[first]), pa.array(sums)], names=["rep", "comp", "shared"])
 
-    marks = _postings(reps, buckets).mapInArrow(worker_memory.trimmed(marked), packed_rows.schema(list(SHARED)))
+    marks = _postings(reps, buckets, BESIDE).mapInArrow(worker_memory.trimmed(marked), packed_rows.schema(list(SHARED)))
     return packed_rows.dealt(marks, buckets).mapInArrow(worker_memory.trimmed(summed), "rep bigint, comp bigint, shared int")
 
 
@@ -347,7 +374,7 @@ def meetings(reps: DataFrame, buckets: int, across: bool) -> DataFrame:
         if held:
             yield sums()
 
-    rows = _postings(reps, buckets).mapInArrow(worker_memory.trimmed(met), packed_rows.schema(list(MEETING)))
+    rows = _postings(reps, buckets, POSTING).mapInArrow(worker_memory.trimmed(met), packed_rows.schema(list(MEETING)))
     return packed_rows.dealt(rows, places).mapInArrow(worker_memory.trimmed(together), "a bigint, b bigint, need int, n bigint")
 
 
@@ -411,11 +438,11 @@ def large_links(docs: DataFrame, grouped: DataFrame, buckets: int) -> DataFrame:
     which bounds its overlap with each. Where that is enough, its set meets those of the members in parts of bounded
     size, and overlaps are counted there; pairs are no rows unless they link.
     """
-    met = shared_counts(grouped, buckets, with_big=True).select("rep").distinct().withColumn("meets", F.lit(1))
+    met = shared_with_big(grouped, buckets).select("rep").distinct().withColumn("meets", F.lit(1))
     wanted = grouped.drop("prefix").join(met, "rep", "left").where(F.col("meets").isNotNull() | (F.col("big") > 0)).drop("meets")
     sets = _sets_of(docs, wanted.select(F.col("rep").alias("id")), as_bytes=True)
     whole = materialize(wanted.join(sets.select(F.col("id").alias("rep"), F.col("tokens").alias("prefix")), "rep"))
-    shares = shared_counts(whole, buckets, with_big=True).withColumnRenamed("comp", "large")
+    shares = shared_with_big(whole, buckets).withColumnRenamed("comp", "large")
     large = whole.where(F.col("big") > 0).groupBy(F.col("comp").alias("large")).agg(F.count("*").alias("members"), F.min("n").alias("least"))
     size = F.greatest(F.col("least"), F.ceil(SIMILAR * F.col("n") / 100))  # of the smallest member that fits
     enough = F.col("shared") * (100 + SIMILAR) >= SIMILAR * (F.col("n") + size)
@@ -463,9 +490,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     total = classes.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), int(total // PER_BUCKET))
-    plain = classes.withColumn("comp", F.col("rep")).withColumns({"shared": F.lit(0), "big": F.lit(0)})
-    # Documents that share no prefix hash with any other are done.
-    alone = materialize(plain.drop("shared").join(shared_counts(plain, buckets).drop("comp"), "rep"))
+    # Documents that share no prefix hash with any other are done, and so are hashes that stand in one prefix only.
+    plain = classes.select("rep", "n", "matches", F.col("rep").alias("comp"), F.lit(0).alias("big"))
+    alone = materialize(plain.join(shared_prefixes(classes, buckets), "rep"))
     links = materialize(verified(docs, materialize(candidates(alone, buckets, across=False))))
     first = components(links)
     # Large components meet other documents set by set, others pair by pair.

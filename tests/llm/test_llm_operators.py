@@ -560,3 +560,10 @@ def test_pairs_that_meet_in_many_tasks_are_one_row_each(spark, monkeypatch):
     whole = {tuple(r) for r in near_duplicates.candidates(reps, 64, across=True).collect()}
     monkeypatch.setattr(near_duplicates, "COUNTED", 50)
     assert {tuple(r) for r in near_duplicates.candidates(reps, 64, across=True).collect()} == whole == set(want)
+
+
+def test_only_shared_prefix_hashes_are_kept(spark):
+    prefixes = {1: [10, 11, 12], 2: [12, 13], 3: [14, 10, 12], 4: [15]}
+    reps = spark.createDataFrame([(i, bytearray(np.array(p, np.uint64).tobytes())) for i, p in prefixes.items()], "rep long, prefix binary")
+    found = {r["rep"]: (r["shared"], sorted(np.frombuffer(bytes(r["prefix"]), np.uint64).tolist())) for r in near_duplicates.shared_prefixes(reps, 8).collect()}
+    assert found == {1: (2, [10, 12]), 2: (1, [12]), 3: (2, [10, 12])}
