@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmark.llm import bit_filter
 from gridmark.session import materialize
 
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -209,12 +210,13 @@ def _with_all_spans(docs: DataFrame, columns: list[str], text: str = "text") ->
     """The columns, `base`, and `all`: base and discovered spans by start, then kind."""
     stored = materialize(base_spans(docs, columns, text).withColumn("row", F.monotonically_increasing_id()))
     found = materialize(instances(stored.select("row", "base", "_tokens")))
-    new = discovered(found).groupBy("row").agg(
+    new = materialize(discovered(found).groupBy("row").agg(
         F.collect_list(F.struct(F.col("start").alias("start"), F.lit(4).alias("kind"), F.col("end").alias("end"))).alias("new")
-    )
-    joined = stored.drop("_tokens").join(new, "row", "left")
+    ))
+    # Rows without new spans stay where they are, with their texts.
+    some, others = bit_filter.split(stored.drop("_tokens"), "row", new.select("row"))
     every = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "new")))
-    return joined.withColumn("all", every)
+    return some.join(new, "row", "left").withColumn("all", every).drop("new").unionByName(others.withColumn("all", F.col("base")))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmark.llm import worker_memory
+from gridmark.llm import bit_filter, worker_memory
 from gridmark.llm.tables import slices, utf8_column
 from gridmark.llm.word_hashes import TextWords, mix, repeated, run_hashes
 from gridmark.session import materialize
@@ -205,8 +205,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: f
     """The documents that are kept, with the columns they came with."""
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", stratum_of(F.col(stratum)).alias("stratum"))
     judged = labels.select("doc_id", "quality")
-    # Only labelled documents are needed for the cutoffs.
-    some = narrow.join(judged.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Only labelled documents are needed for the cutoffs. Their counts meet the labels, texts are not shuffled for that.
+    some, _ = bit_filter.split(narrow, "doc_id", judged.select("doc_id"))
     strata = with_counts(some).select("row.doc_id", "row.stratum", "counts")
     number = _strata(narrow)
     cutoffs = materialize(risk_controlled_cutoffs(materialize(strata), judged, number, risk, level))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridmark.llm import chat, components, mixing, near_duplicates, packing, personal_data, quality, repeats, token_orc, topk, toxicity
+from gridmark.llm import bit_filter, chat, components, mixing, near_duplicates, packing, personal_data, quality, repeats, token_orc, topk, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, row string, counts int"
@@ -567,3 +567,42 @@ def test_only_shared_prefix_hashes_are_kept(spark):
     reps = spark.createDataFrame([(i, bytearray(np.array(p, np.uint64).tobytes())) for i, p in prefixes.items()], "rep long, prefix binary")
     found = {r["rep"]: (r["shared"], sorted(np.frombuffer(bytes(r["prefix"]), np.uint64).tolist())) for r in near_duplicates.shared_prefixes(reps, 8).collect()}
     assert found == {1: (2, [10, 12]), 2: (1, [12]), 3: (2, [10, 12])}
+
+
+def test_ids_are_split_by_a_filter_that_misses_none(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, str(i)) for i in [*range(-500, 500), None]], "id bigint, text string")
+    ids = spark.createDataFrame([(i,) for i in range(-500, 500, 7)], "id int")
+    for bits in (1 << 23, 64):
+        monkeypatch.setattr(bit_filter, "BITS", bits)
+        some, others = bit_filter.split(rows, "id", ids)
+        a, b = {r["id"] for r in some.collect()}, {r["id"] for r in others.collect()}
+        assert a >= set(range(-500, 500, 7)) and not a & b and a | b == {*range(-500, 500), None} and some.columns == rows.columns
+        assert bits == 64 or len(a) < 160
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    doubles = spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, doubles, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_stages_do_not_shuffle_texts_for_labels_or_new_spans(spark, tmp_path):
+    rng = random.Random(3)
+    filler = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(8000))
+    data = [(i, filler() + (f" token {rng.getrandbits(128) | 1 << 127:032x}a1 " if i % 50 == 0 else ""), "en", "s", "r", 1) for i in range(500)]
+    spark.createDataFrame(data, DOCS).repartition(4).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 500, 2)], "doc_id bigint, quality int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (lambda: quality.keep_good(docs, labels), lambda: personal_data.redact(docs)):
+            written = _shuffled(spark)
+            assert stage().count() == 500
+            stage().write.parquet(str(tmp_path / f"out{written}"))
+            assert _shuffled(spark) - written < 1_000_000  # of 4 MB of texts
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
