@@ -509,6 +509,100 @@ def test_numbers_of_a_large_group_by_stretches(spark):
     assert sorted(rows(got, "g", "a", "b", "n"), key=str) == sorted(rows(want, "g", "a", "b", "n"), key=str)
 
 
+@pytest.mark.parametrize("kind", range(5))
+def test_best_truths_in_arrays_equal_all_pairs(kind, monkeypatch):
+    import numpy as np
+
+    from gridmark.operators import matching
+
+    rng = np.random.default_rng(kind)
+    power = lambda low, high, n: 10 ** rng.uniform(low, high, n)
+    draw = [
+        lambda n: (rng.random(n), rng.random(n), rng.uniform(0.001, 0.2, n), rng.uniform(0.001, 0.2, n)),
+        lambda n: (rng.integers(0, 20, n) / 20, rng.integers(0, 9, n) / 9, rng.choice([0.05, 0.1, 0.11, 0.4], n), rng.choice([0.05, 0.1, 0.3], n)),
+        lambda n: (rng.normal(0, 1e6, n), rng.normal(0, 1, n), power(-3, 7, n), power(-6, 2, n)),
+        lambda n: (1e9 + rng.integers(0, 9, n) * 1e-7, rng.random(n), rng.choice([1e-7, 1e-6, 1.0], n), rng.uniform(0.01, 1, n)),
+        lambda n: (0.5 + rng.choice([0, 1e-12, 1e-3], n), np.full(n, 0.5), power(-1, 0, n), rng.choice([0.1, 1e160, 1e-160], n)),
+    ][kind]
+    monkeypatch.setattr(matching, "FEW", 0)
+    monkeypatch.setattr(matching, "PAIRS", 100)
+    with np.errstate(all="ignore"):
+        boxes, truths = draw(150), draw(250)
+        ids = np.sort(rng.choice(10**6, 250, replace=False))
+        d, t, best = matching.Boxes(*boxes), matching.Boxes(*truths), matching.Best(150)
+        for block in (slice(0, 90), slice(90, 250)):
+            matching.improve(d, matching.Boxes(*[c[block] for c in truths]), ids[block], ids[block].astype(np.int32), best)
+        shared = np.maximum(0, np.minimum(d.x1[:, None], t.x1) - np.maximum(d.x0[:, None], t.x0)) * np.maximum(
+            0, np.minimum(d.y1[:, None], t.y1) - np.maximum(d.y0[:, None], t.y0))
+        whole = d.area[:, None] + t.area - shared
+        iou = np.where((shared > 0) & (whole > 0), shared / whole, 0.0)
+    assert (best.iou == iou.max(1)).all()
+    assert (best.id == np.where(best.iou > 0, ids[iou.argmax(1)], matching.NONE)).all()  # the first of equal ones has the smallest id
+
+
+def _on_disk(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()))
+
+
+def test_crowded_claims_write_each_box_a_few_times(spark):
+    # Sizes and places as in the query: a box met 16 cells a round, and their rows were all written.
+    place = lambda m: F.pmod(F.hash("id", F.lit(m)), F.lit(m)) / F.lit(float(m))
+    boxes = spark.range(150_000).select(
+        F.lit(1).alias("image"), F.col("id").alias("truth_id"), F.lit(1).alias("class_id"), place(5000).alias("xc"), place(1000).alias("yc"),
+        (place(7) * 0.024 + 0.0025).alias("w"), (place(50) / 30.0 + 0.0006).alias("h"), place(10_000).alias("conf"))
+    det = boxes.withColumnRenamed("truth_id", "det_id").withColumn("xc", F.col("xc") + 0.003)
+    before, usual = _on_disk(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")  # as for tables that are larger than this one
+    try:
+        claims = evaluate.claim_truths(det, boxes.drop("conf"), "image", "det_id", "truth_id", by_class=False)
+        assert claims.filter("iou > 0.4").count() > 100_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    written = (_on_disk(spark) - before) / 150_000
+    assert written < 150  # bytes: a detection to its cell and to its truth, a truth to its cells
+
+
+def test_odd_crowds_equal_packed_ones(spark):
+    rng = random.Random(8)
+    size = lambda: rng.choice([0.001, 0.01, 0.3, 5e11])
+    box = lambda i: ("p", i, rng.choice([0, 1, None]), rng.random(), rng.choice([0.5, rng.random(), 1e12 * rng.random(), -1e300]), rng.choice([0.5, rng.random()]), size(), size())
+    schema = "image STRING, {} BIGINT, class_id SMALLINT, conf FLOAT, xc DOUBLE, yc DOUBLE, w DOUBLE, h DOUBLE"
+    truth = spark.createDataFrame([box(i) for i in range(500)], schema.format("truth_id")).drop("conf")
+    det = spark.createDataFrame([box(i) for i in range(500)] + [("p", 700 + i, 1, 0.5, 0.5, 0.5, 0.3, 0.3) for i in range(90)], schema.format("det_id"))
+    for by_class in (True, False):
+        claims = lambda crowded, dense: evaluate.claim_truths(det, truth, "image", "det_id", "truth_id", by_class, crowded, dense)  # noqa: B023, E731
+        packed = claims(10**6, 1)
+        found = sorted(rows(packed), key=str)
+        assert len(found) == 590 and sum(r[4] is not None for r in found) > 200
+        for dense in (2, 40, 10**6):  # cells of many detections in parts, one cell
+            crowded = claims(0, dense)
+            assert sorted(rows(crowded), key=str) == found and crowded.schema.simpleString() == packed.schema.simpleString()
+
+
+def test_numbered_rows_are_shuffled_once(spark):
+    from gridmark.operators.ranking import numbered
+
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
+        plan = numbered(df, ["g"], "id", [], "n", width=4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    left = plan[plan.index("SortMergeJoin"):].split("HashAggregate")[0]
+    assert left.count("Exchange hashpartitioning") == 1 + 2  # the rows; counts for the join and the running sum
+
+
+def test_freed_results_leave_no_shuffle_behind(spark):
+    from gridmark.session import FREE, materialize
+
+    before = _on_disk(spark)
+    stored = materialize(spark.range(300_000).repartition(3, "id"), free=True)
+    assert stored.count() == 300_000 and spark.conf.get(FREE, None) is None
+    assert _on_disk(spark) - before < 100_000
+
+
 def test_one_crowded_picture_spreads_over_tasks(spark):
     boxes = spark.range(100_000).select(
         F.lit("p").alias("image"), F.col("id").cast("int").alias("truth_id"), F.lit(1).alias("class_id"),
